@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import re
 import struct
 import tempfile
 import unicodedata
@@ -99,18 +98,20 @@ class Vocabulary:
         return [p for p, on in zip(parts, alive) if on]
 
 
-def unassigned() -> re.Pattern:
-    """Finds characters that this Python's Unicode doesn't assign: libraries disagree on
-    whether such a character is a letter."""
-    ranges, start = [], None
-    for i in range(0x110001):
-        loose = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
-        if loose and start is None:
-            start = i
-        elif not loose and start is not None:
-            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(i - 1))}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
+class Assigned:
+    """Tells texts whose characters this Python's Unicode all assigns: libraries disagree on
+    whether an unassigned character is a letter."""
+
+    def __init__(self):
+        self.known: set[str] = set()
+
+    def __call__(self, text: str) -> bool:
+        new = set(text) - self.known
+        if new:
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return False
+            self.known |= new
+        return True
 
 
 def normalized(text: str) -> str:
@@ -258,32 +259,50 @@ def frequent_words(docs: DataFrame, keep: int = LEXICON_WORDS) -> list[str]:
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(keep).collect()]
 
 
+class Words(dict):
+    """Word to (ids as little-endian unsigned 32-bit integers, tokens with blanks between).
+
+    Filled on demand; when it holds ``bound`` words they become the older generation, from
+    which words come back when met again."""
+
+    def __init__(self, code, bound: int):
+        super().__init__()
+        self.code, self.bound, self.older = code, bound, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        out = self.older.get(word)
+        if out is None:
+            out = self.code(word)
+        if len(word) <= 200:
+            if len(self) >= self.bound:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Coder:
     """Encodes and decodes whole texts; remembers words already seen (bounded)."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, bound: int = 150_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, bound: int = 250_000):
         self.vocabulary = Vocabulary(path)
         self.names = {i: t for t, i in self.vocabulary.ids.items()} | {i: t for t, i in self.vocabulary.special.items()}
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.bound = bound
-        self.seen: dict[str, tuple[bytes, str, int]] = {}
-        self.path, self.library, self.loose = path, None, unassigned()
+        self.words = Words(self.word, bound)
+        self.path, self.library, self.assigned = path, None, Assigned()
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True)))) if self.vocabulary.special else None
 
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """(ids as little-endian unsigned 32-bit integers, tokens with blanks between, how many)."""
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids and tokens of a word: from the lexicon, else by merging."""
         ids = self.lexicon.get(word) if self.lexicon and len(word) <= 200 else None
-        if ids is None:
-            ids = [self.vocabulary.ids[t] for t in self.vocabulary.merge(word)]
-        out = self.packed(ids)
-        if len(self.seen) >= self.bound:
-            self.seen.clear()
-        if len(word) <= 200:
-            self.seen[word] = out
-        return out
+        if ids is not None:
+            return self.packed(ids)
+        tokens = self.vocabulary.merge(word)
+        of = self.vocabulary.ids
+        return struct.pack(f"<{len(tokens)}I", *[of[t] for t in tokens]), " ".join(tokens)
 
-    def packed(self, ids: list[int]) -> tuple[bytes, str, int]:
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]), len(ids)
+    def packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
 
     def by_library(self, text: str) -> list[int]:
         """Ids of a text with unassigned characters, by the tokenizer library itself."""
@@ -295,20 +314,19 @@ class Coder:
             self.library.no_padding()
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str, int]]:
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
         """What ``word`` gives, for each word of the text and each special token in it."""
-        if not text.isascii() and self.loose.search(text):
-            yield self.packed(self.by_library(text))
-            return
-        at = 0
-        get, word = self.seen.get, self.word
-        for m in [*self.split.finditer(text), None] if self.split and "<|" in text else [None]:
-            part = text[at : m.start()] if m else text[at:]
-            for w in WORD.findall(normalized(part)):
-                yield get(w) or word(w)
-            if m:
-                yield self.packed([self.vocabulary.special[m.group()]])
-                at = m.end()
+        if not text.isascii() and not self.assigned(text):
+            return [self.packed(self.by_library(text))]
+        words = self.words
+        if not self.split or "<|" not in text:
+            return [words[w] for w in WORD.findall(normalized(text))]
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [words[w] for w in WORD.findall(normalized(text[at : m.start()]))]
+            out.append(self.packed([self.vocabulary.special[m.group()]]))
+            at = m.end()
+        return out + [words[w] for w in WORD.findall(normalized(text[at:]))]
 
     def encode(self, text: str | None) -> list[int]:
         data = b"".join([p[0] for p in self.pieces(text or "")])
@@ -320,10 +338,10 @@ class Coder:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """How many ids, sha256 of the ids, sha256 of the decoded text."""
-        parts = list(self.pieces(text or ""))
-        ids = hashlib.sha256(b"".join([p[0] for p in parts])).hexdigest()
+        parts = self.pieces(text or "")
+        data = b"".join([p[0] for p in parts])
         decoded = " ".join([p[1] for p in parts])
-        return sum([p[2] for p in parts]), ids, hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+        return len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
 def default_path() -> str:

@@ -7,14 +7,18 @@ so boilerplate counts less, but copies don't weigh down the very shingles they s
 
 Each text has ``BANDS * ROWS`` samples; texts that agree in a band meet in a bucket.
 1. Every text is compared with its bucket's pivot, the text with the most exact copies.
-2. Texts of a bucket that are still in different components are compared with each other;
-   buckets of more than ``LARGE`` texts are first split by the next band's samples.
+2. Texts of a bucket that are still in different components are compared with each other.
+   In buckets of more than ``SMALL`` texts only pairs meet that agree in ``LEAST_SAME`` of
+   all samples, three standard deviations below what the threshold lets expect; they are
+   counted block by block, so that no task holds a bucket. Buckets of more than ``LARGE``
+   texts are first split by the next band's samples.
 Weighted Jaccard similarity of at least ``THRESHOLD`` links two texts; classes are the
 connected components of the links. Exact copies are found by their text and compared once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,7 +36,10 @@ CELLS = 1 << 18
 BLOCKS = 16
 LEAST_IDF = 0.75
 COMMON_SHARE = 0.1
-LARGE = 64
+SMALL, LARGE = 32, 8192
+#: Texts of a large bucket that a task compares with as many others at once.
+BLOCK = 512
+LEAST_SAME = math.ceil(BANDS * ROWS * THRESHOLD - 3 * math.sqrt(BANDS * ROWS * THRESHOLD * (1 - THRESHOLD)))
 TABLE = 1 << 16
 #: Shingles sampled in one go.
 AT_ONCE = 400_000
@@ -139,9 +146,9 @@ class Sampler:
         flipped = np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(0x80000000))
         return flipped.astype(np.uint64) << np.uint64(32)
 
-    def bands(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Band hashes (one row for each text) of texts that have shingles. A sample is the
-        least a of a text with its shingle's hash: a tells t apart as well."""
+    def bands(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Band hashes, and a byte of each sample, one row for each text; texts have shingles.
+        A sample is the least a of a text with its shingle's hash: a tells t apart as well."""
         h = np.concatenate([x for x, _ in texts])
         sizes = np.array([len(x) for x, _ in texts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -150,6 +157,7 @@ class Sampler:
         log_s = np.log(w[odd_ones]).astype(np.float32)
         low = h >> np.uint64(32)
         out = np.empty((len(texts), BANDS), np.uint64)
+        short = np.empty((len(texts), BANDS * ROWS), np.uint8)
         for band in range(BANDS):
             mixed = np.full(len(texts), band + 1, np.uint64)
             for k in range(band * ROWS, band * ROWS + ROWS):
@@ -158,22 +166,25 @@ class Sampler:
                 if len(odd_ones):
                     a[odd_ones] = self.sortable(self.log_a(k, at[odd_ones], log_s))
                 a |= low
-                mixed = (mixed ^ np.minimum.reduceat(a, starts)) * MIX[k % 4]
+                least = np.minimum.reduceat(a, starts)
+                short[:, k] = (least * MIX[4] >> np.uint64(56)).astype(np.uint8)
+                mixed = (mixed ^ least) * MIX[k % 4]
                 mixed ^= mixed >> np.uint64(29)
             out[:, band] = mixed * MIX[4]
-        return out.view(np.int64)
+        return out.view(np.int64), short
 
 
 def sketched(docs: DataFrame, shared) -> DataFrame:
-    """key, rid, bands for each row that has shingles."""
+    """key, rid, bands, short (a byte of each sample) for each row that has shingles."""
 
     def run(batches: Iterator) -> Iterator:
         make, sampler = shingler(), Sampler(shared.value)
-        names = ["key", "rid", "bands"]
+        names = ["key", "rid", "bands", "short"]
 
         def done(keys, rids, texts):
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(sampler.bands(texts).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rids, pa.int64()), bands], names=names)
+            bands, short = sampler.bands(texts)
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rids, pa.int64()), bands, pa.array([x.tobytes() for x in short], pa.binary())], names=names)
 
         keys, rids, texts, n = [], [], [], 0
         for batch in batches:
@@ -191,7 +202,37 @@ def sketched(docs: DataFrame, shared) -> DataFrame:
         if texts:
             yield done(keys, rids, texts)
 
-    return docs.select("key", "rid", "text").mapInArrow(run, "key binary, rid long, bands array<long>")
+    return docs.select("key", "rid", "text").mapInArrow(run, "key binary, rid long, bands array<long>, short binary")
+
+
+def likely_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of large buckets that may reach the threshold by their samples.
+
+    ``members``: band, h, key, root, main (the bucket's most frequent root), size, short. A
+    text outside the main component is compared with all of other components. A bucket is
+    cut into blocks of about BLOCK texts, and every pair of blocks is a group of its own."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.select("band", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", (F.col("root") == F.col("main")).alias("inside"), "short")
+
+    def run(table: pa.Table) -> pa.Table:
+        key, root = table["key"].to_pylist(), np.array([hash(r) for r in table["root"].to_pylist()])
+        block, inside = table["block"].to_numpy(), table["inside"].to_numpy(zero_copy_only=False)
+        short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(key), -1)
+        both_blocks = table["i"][0].as_py() != table["j"][0].as_py()
+        a, b = [], []
+        for x in np.flatnonzero(~inside):
+            fits = root != root[x]
+            if both_blocks:  # pairs inside a block belong to the block's own group
+                fits &= block != block[x]
+            near = np.flatnonzero(fits)
+            near = near[(short[near] == short[x]).sum(1) >= LEAST_SAME]
+            for y in near[inside[near] | (near > x)]:
+                a.append(min(key[x], key[y]))
+                b.append(max(key[x], key[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return cut.groupBy("band", "h", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, threshold: float) -> DataFrame:
@@ -256,7 +297,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     frequency, n = document_frequencies(base)
     shared = docs.sparkSession.sparkContext.broadcast(idf_of(frequency, n))
     copies = base.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    sketches = sketched(base, shared).groupBy("key").agg(F.first("bands").alias("bands"))
+    sketches = sketched(base, shared).groupBy("key").agg(F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = reliable_checkpoint(copies.join(sketches, "key", "left"))
     spread = nodes.select("key", "n", "bands", F.posexplode("bands").alias("band", "h")).select("key", "n", "band", "h", F.get("bands", (F.col("band") + 1) % BANDS).alias("more"))
 
@@ -268,10 +309,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = components(edges)
 
     labelled = met.join(roots, "key", "left").select("key", "band", F.when(F.col("size") > LARGE, F.struct("h", "more")).otherwise(F.struct("h", F.lit(0).cast("long").alias("more"))).alias("h"), F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "h")
+    counted = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("band", "h").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
     open_ = reliable_checkpoint(labelled.join(mixed, ["band", "h"]))
-    left, right = open_.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra")), open_.select("band", "h", F.col("key").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, ["band", "h"]).where("a < b AND ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    few = open_.where(F.col("size") <= SMALL)
+    left, right = few.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra")), few.select("band", "h", F.col("key").alias("b"), F.col("root").alias("rb"))
+    rest = left.join(right, ["band", "h"]).where("a < b AND ra <> rb").select("a", "b")
+    rest = rest.unionByName(likely_pairs(open_.where(F.col("size") > SMALL).join(nodes.select("key", "short"), "key")))
+    rest = rest.distinct().join(first, ["a", "b"], "left_anti")
     more = reliable_checkpoint(verified(reliable_checkpoint(rest), nodes, base, shared, threshold))
     if not more.isEmpty():
         edges = edges.unionByName(more)

@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..constants import COMMAND_FLAGS
@@ -33,7 +32,7 @@ COLUMNS = {
     "zeek_ssl": ["ts", "id.orig_h", "id.resp_h", "id.resp_p", "server_name", "version", "cipher", "validation_status", "uid"],
 }
 
-EVE_SCHEMA = T.StructType.fromDDL(
+EVE_SCHEMA = (
     "event_type string, timestamp string, src_ip string, dest_ip string, dest_port string, flow_id string, "
     "http struct<status:string,length:string,http_method:string,url:string,http_user_agent:string>, "
     "fileinfo struct<filename:string,size:string>, alert struct<signature:string>"
@@ -124,7 +123,8 @@ def azure_events(df: DataFrame) -> DataFrame:
         F.transform(F.slice("paths", 1, 5), lambda p: made("WRITE", actor, p, "FILE", evidence=F.col("message"), size=zero)),
     )
     words = F.trim(F.concat_ws(" ", "cmd", "msg"))
-    rows = f.select("*", *[c.alias(k) for k, c in {**X.command_flags(either), **X.signals(words)}.items()], F.posexplode(found).alias("part", "e"))
+    rows = f.select("*", *[c.alias(k) for k, c in {**X.command_flags(either), **X.signals(words)}.items()], found.alias("_made"))
+    rows = rows.select("*", F.posexplode("_made").alias("part", "e"))
     more = [*COMMAND_FLAGS, *X.signals(words)]
     return rows.select("scenario", F.lit("azure_events").alias("log"), "source_file", "row_idx", "part", "e.edge_type", F.lit("PROC").alias("src_type"), "e.src_key", "e.dst_type", "e.dst_key", "ts", F.col("row_idx").alias("ord"), "e.cmdline", "e.evidence", "e.bytes", "e.bytes_sent", "e.bytes_recv", "e.direction", "e.protocol", *more)
 

@@ -165,3 +165,30 @@ def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=T
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    words = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+    def places(phrase: str) -> str:
+        return "[i FOR i IN range(len(ws)) IF " + " AND ".join(f"coalesce(ws[i + {k + 1}] = '{w}', FALSE)" for k, w in enumerate(phrase.split())) + "]"
+
+    def share(tokens: list[str]) -> str:
+        listed = ", ".join(f"'{t}'" for t in tokens)
+        return f"list_max([len(list_intersect(b, [{listed}])) FOR b IN blocks]) / CAST({len(tokens)} AS DOUBLE)"
+
+    plans = [(label, tokens, needed(len(tokens), THRESHOLD) / len(tokens)) for label, tokens in templates_of()]
+    found = ", ".join(f"CASE WHEN s[{i + 1}] >= CAST({least!r} AS DOUBLE) - 1e-9 THEN '{label}' END" for i, (label, _, least) in enumerate(plans))
+    shares = ", ".join(f"CASE WHEN s[{i + 1}] >= CAST({least!r} AS DOUBLE) - 1e-9 THEN s[{i + 1}] END" for i, (_, _, least) in enumerate(plans))
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))
+    every = " || ".join(f"p{i}" for i in range(len(PHRASES)))
+    sort = "array_to_string(list_sort(list_distinct([x FOR x IN {0} IF x IS NOT NULL])), ',')"
+    return f"""WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS low FROM documents),
+w AS (SELECT doc_id, {words.format("low")} AS ws, [list_distinct({words.format("line")}) FOR line IN string_split_regex(low, '[\\r\\n]+')] AS blocks FROM low),
+p AS (SELECT doc_id, len(ws) AS n_words, {", ".join(f"{places(p)} AS p{i}" for i, (p, _) in enumerate(PHRASES))}, [{", ".join(share(t) for _, t, _ in plans)}] AS s FROM w),
+q AS (SELECT doc_id, n_words, {every} AS places, [{base}] AS base, [{found}] AS found, list_max([{shares}]) AS best FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, {sort.format("base")} AS base_labels, {sort.format("base || found")} AS labels, CASE WHEN len(places) > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(best, 0) END AS score FROM q"""
+
+
+#: The same rows in DuckDB's SQL.
+ORACLE_SQL = _oracle()

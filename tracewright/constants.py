@@ -198,3 +198,14 @@ FEATURE_BUCKETS = 8
 AUDIT_FILES = ("azure_conn.csv", "azure_process.csv", "azure_events.csv", "azure_syslog.csv")
 FAMILY_ALIASES = {"all": "full", "azure": "audit", "ids": "eve", "suricata": "eve"}
 FAMILIES = ("full", "audit", "zeek", "eve")
+
+#: The known scenarios and their log files, all of which carry indicators.
+SCENARIO_FILES = {
+    "sc1": ("windows/azure_events.csv", "windows/azure_conn.csv", "windows/azure_process.csv"),
+    "sc2": ("azure_events.csv",),
+    "sc3": ("eve.json", "azure_syslog.csv", "zeek_conn.csv", "zeek_dns.csv", "zeek_http.csv"),
+    "sc4": ("eve.json", "azure_syslog.csv", "zeek_conn.csv", "zeek_dns.csv", "zeek_ssl.csv"),
+    "sc5": ("azure_events.csv",),
+    "sc6": ("victim/azure_events.csv",),
+    "sc7": ("eve.json", "zeek_conn.csv", "zeek_http.csv", "zeek_files.csv"),
+}

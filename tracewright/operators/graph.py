@@ -52,6 +52,21 @@ def augmented(events: DataFrame, mode: str = "level0", **how) -> DataFrame:
     return events if mode == "off" else events.unionByName(causal_edges(events, mode, **how), allowMissingColumns=True)
 
 
+def with_defaults(events: DataFrame) -> DataFrame:
+    """Canonical attributes that an edge type has and an event lacks take their defaults;
+    other columns stay as they are."""
+    every: dict[str, list[str]] = {}
+    for edge, attrs in K.EDGE_DEFAULTS.items():
+        for a in attrs:
+            every.setdefault(a, []).append(edge)
+    filled = {}
+    for a, edges in every.items():
+        value = K.EDGE_DEFAULTS[edges[0]][a]
+        own = F.col(a) if a in events.columns else F.lit(None).cast({str: "string", int: "bigint", float: "double"}[type(value)])
+        filled[a] = F.coalesce(own, F.when(F.col("edge_type").isin(edges), F.lit(value)))
+    return events.withColumns(filled)
+
+
 def mismatched(events: DataFrame) -> DataFrame:
     """Events whose node types aren't those of their edge type."""
     ends = F.create_map(*[F.lit(x) for e, (a, b) in K.EDGE_ENDS.items() for x in (e, f"{a}>{b}")])
@@ -123,10 +138,10 @@ def offset_streams(stream: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame, etypes: int) -> DataFrame:
     """scenario, node, log1p of in- and out-degree, and the share of each edge type among the
-    node's edges (both ends)."""
+    edges that the node is the source of (all 0 for a node without)."""
     ends = edges.select("scenario", "etype", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
     flat = ends.select("scenario", "etype", "e.*")
-    kinds = [F.sum((F.col("etype") == k).cast("double")).alias(f"k{k}") for k in range(etypes)]
+    kinds = [F.sum(F.when(F.col("etype") == k, F.col("o")).otherwise(0).cast("double")).alias(f"k{k}") for k in range(etypes)]
     sums = flat.groupBy("scenario", "node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), *kinds)
     total = F.greatest(F.lit(1.0), reduce(lambda a, b: a + b, [F.col(f"k{k}") for k in range(etypes)]))
     return sums.select("scenario", "node", F.log1p("n_in").alias("log_in"), F.log1p("n_out").alias("log_out"), *[(F.col(f"k{k}") / total).alias(f"share_{k}") for k in range(etypes)])
@@ -150,6 +165,6 @@ def node_features(found: DataFrame) -> DataFrame:
     """scenario, node, x: one-hot type and six attribute numbers (0 where absent)."""
     hot = [(F.col("node_type") == t).cast("double") for t in K.NODE_TYPES]
     have = set(found.columns)
-    names = ("port", "path_sensitivity", "parent_depth", "is_lolbin", "is_known_registry", "tls_valid")
+    names = ("is_lolbin", "path_sensitivity", "parent_depth", "port_sensitivity", "is_system_path", "is_temp_path")
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in names]
     return found.select("scenario", F.col("global_id").alias("node"), F.array(*hot, *numbers).alias("x"))

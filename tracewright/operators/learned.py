@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, OneHotEncoder, StringIndexer, Tokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import both_ways, degrees, neighbour_means
 from .scores import with_split
 from .training import sampled_negatives
 
@@ -52,6 +53,43 @@ def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic",
     return scored.select(*stream.columns, "pos", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("score"))
 
 
+def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_relation: bool = False, seed: int = 42) -> DataFrame:
+    """Tail rows with ``score``, from a static graph of the training part.
+
+    Node features (degrees, shares of edge types) are averaged over in-neighbours, layer by
+    layer (for each edge type with ``by_relation``), and a logistic model tells training
+    edges from sampled ones by the features of both ends and their products."""
+    stream = stream.drop("score")
+    split = with_split(stream, share)
+    train = split.where("NOT is_tail").drop("is_tail", "pos")
+    etypes = (train.agg(F.max("etype")).first()[0] or 0) + 1
+    d = degrees(train, etypes)
+    names = [c for c in d.columns if c not in ("scenario", "node")]
+    x = d.select("scenario", "node", F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    width = len(names)
+    edges = both_ways(train.select("scenario", "src", "dst", "etype"), etypes)
+    for _ in range(layers):
+        mean = neighbour_means(edges, x, width, by_relation)
+        if by_relation:  # relations of a node, averaged
+            mean = mean.groupBy("scenario", "node").agg(F.array(*[F.avg(F.get("mean", F.lit(i))) for i in range(width)]).alias("mean"))
+        zero = F.array(*[F.lit(0.0)] * width)
+        x = x.join(mean, ["scenario", "node"], "left").select("scenario", "node", F.zip_with("x", F.coalesce("mean", zero), lambda a, b: (a + b) / 2).alias("x"))
+    x = x.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else x
+    wrong = sampled_negatives(train, "random", 0.0, seed).where("negative IS NOT NULL")
+    wrong = wrong.withColumn("dst", F.col("negative")).select(*train.columns)
+    every = split.drop("pos").withColumn("y", F.lit(1.0)).unionByName(wrong.withColumn("is_tail", F.lit(False)).withColumn("y", F.lit(0.0)))
+    zero = F.array(*[F.lit(0.0)] * width)
+    end = lambda side: x.select("scenario", F.col("node").alias(side), F.col("x").alias(f"x_{side}"))
+    joined = every.join(end("src"), ["scenario", "src"], "left").join(end("dst"), ["scenario", "dst"], "left")
+    joined = joined.withColumn("x_src", F.coalesce("x_src", zero)).withColumn("x_dst", F.coalesce("x_dst", zero))
+    kind = F.array(*[(F.col("etype") == k).cast("double") for k in range(etypes)])
+    vector = F.concat("x_src", "x_dst", F.zip_with("x_src", "x_dst", lambda a, b: a * b), kind)
+    ready = joined.withColumn("features", array_to_vector(vector))
+    fitted = LogisticRegression(labelCol="y", maxIter=50, regParam=1e-3).fit(ready.where("NOT is_tail"))
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    return fitted.transform(ready.where("is_tail")).select(*stream.columns, (-F.log(F.greatest(p, F.lit(1e-12)))).alias("score"))
+
+
 def stage_prediction(probability: Column, stages: list[str]) -> tuple[Column, Column]:
     """(most probable stage, its probability) of an array of class probabilities."""
     best = F.array_max(probability)

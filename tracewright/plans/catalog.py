@@ -364,7 +364,7 @@ def edge_features(spark, sf_dir):
 
 
 @query(f"""{SPLIT}, ends AS (SELECT scenario, etype, src AS node, 1 AS o, 0 AS i FROM prefix UNION ALL SELECT scenario, etype, dst, 0, 1 FROM prefix)
-SELECT scenario, node, round(ln(1 + sum(i)), 6) AS log_in, round(ln(1 + sum(o)), 6) AS log_out, {", ".join(f"round(sum(CASE WHEN etype = {k} THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS share_{k}" for k in range(5))} FROM ends GROUP BY scenario, node""")
+SELECT scenario, node, round(ln(1 + sum(i)), 6) AS log_in, round(ln(1 + sum(o)), 6) AS log_out, {", ".join(f"round(sum(CASE WHEN etype = {k} THEN o ELSE 0 END) / CAST(greatest(1, sum(o)) AS DOUBLE), 6) AS share_{k}" for k in range(5))} FROM ends GROUP BY scenario, node""")
 def degree_shares(spark, sf_dir):
     prefix = R.with_split(I.scores(spark, sf_dir)).where("NOT is_tail")
     d = G.degrees(prefix, 5)

@@ -262,3 +262,29 @@ def load_scenario(spark: SparkSession, root: str, catalog: dict, scenario: str,
             kind = spec.get("log_type", log)
             parts.append(PARSERS[kind](read_log(spark, path, kind, scenario, limit)))
     return with_sequence(union(*parts), [s.get("log_type", k) for k, s in logs.items()]) if parts else None
+
+
+def missing_logs(spark: SparkSession, root: str, catalog: dict) -> list[tuple[str, str]]:
+    """(scenario, file) of configured logs that aren't there."""
+    paths = [(sc, spec["filename"]) for sc, logs in catalog.items() for spec in logs.values()]
+    return [(sc, f) for sc, f in paths if not exists(spark, f"{root}/{sc}/{f}") and not exists(spark, f"{root}/{sc}/{f}".rsplit(".", 1)[0] + ".parquet")]
+
+
+def load_annotated(spark: SparkSession, root: str, catalog: dict, scenario: str, truth: str | None = None, rules: dict | None = None, **how) -> DataFrame | None:
+    """Events of a scenario with indicator labels (from a ground-truth file, if given) and
+    weak-rule labels."""
+    from ..operators.annotate import annotate_iocs, annotate_rules
+    from ..operators.telemetry import ioc_files
+    from .side import ground_truth
+
+    events = load_scenario(spark, root, catalog, scenario, **how)
+    if events is None:
+        return None
+    for c in ("cmdline", "evidence"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast("string"))
+    if truth:
+        lines, values = (t.where(F.col("scenario") == scenario).drop("scenario") for t in ground_truth(spark, truth))
+        events = annotate_iocs(events, lines, values)
+    files = [f.rsplit("/", 1)[-1] for f in ioc_files(catalog, [scenario])]
+    return annotate_rules(events, files, rules)

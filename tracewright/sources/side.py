@@ -7,13 +7,16 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import RULES
+from ..constants import RULES, SCENARIO_FILES
 from ..functions import scalars as S
 
 SCORES = "scenario string, t bigint, etype int, src bigint, dst bigint, score double, is_ioc int, source_file string, row_idx bigint, ioc_type string, pred_stage string, pred_stage_prob double"
 
-#: The known scenarios and their logs. Files: name of the log plus .csv, but eve.json.
-LOGS = ("azure_conn", "azure_process", "azure_events", "azure_syslog", "zeek_conn", "zeek_dns", "zeek_http", "zeek_files", "zeek_ssl", "eve")
+
+def known_scenarios() -> dict:
+    """Source catalogue of the known scenarios."""
+    name = lambda f: f.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return {sc: {name(f): {"filename": f, "log_type": name(f), "has_ioc": True} for f in files} for sc, files in SCENARIO_FILES.items()}
 
 
 def catalog(scenarios: dict[str, dict[str, bool]]) -> dict:

@@ -20,6 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows in an Arrow batch: texts may be long, and both sides of the pipe hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends Python batches of BATCH_ROWS rows at most."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage into the shared folder of ``spark.checkpoint.dir``.
 
@@ -53,7 +63,7 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 17) -> DataF
 class WordHash(dict):
     """Word to 64-bit hash, remembered for words already seen (bounded)."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
@@ -82,7 +92,7 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[], Callable[...,
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, columns: list[str], work: Callable[[], Callable[..., bool]]) -> DataFrame:
@@ -96,7 +106,7 @@ def keep_rows(df: DataFrame, columns: list[str], work: Callable[[], Callable[...
             mask = [bool(function(*values)) for values in zip(*(batch.column(i).to_pylist() for i in places))]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_remainder
+from .common import bounded_sample, crc_remainder, small_batches
 
 BITS = 20
 SHIFT = np.uint64(64 - BITS + 1)
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
         w0, at, w = fit(examples, **how)
         yield pa.RecordBatch.from_pydict({"slot": np.append(at.astype("int64"), -1), "w": np.append(w.astype("float64"), w0)})
 
-    rows = sample.select("text", "y").mapInArrow(run, "slot long, w double").collect()
+    rows = small_batches(sample).select("text", "y").mapInArrow(run, "slot long, w double").collect()
     at = [(r["slot"], r["w"]) for r in rows if r["slot"] >= 0]
     return {"intercept": sum(r["w"] for r in rows if r["slot"] < 0), "slots": np.array([s for s, _ in at], np.uint32), "weights": np.array([w for _, w in at], np.float32)}
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_sample, crc_remainder, keep_rows, map_rows, read
+from .common import bounded_sample, crc_remainder, keep_rows, map_rows, read, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -65,7 +65,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, modulus: int = 5, hel
             kinds, tokens, ns = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "kind": pa.array(kinds, pa.int32()), "token": pa.array(tokens, pa.string()), "n": pa.array(ns, pa.int64())})
 
-    counted = sample.mapInArrow(count, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
+    counted = small_batches(sample).mapInArrow(count, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")
     kept = counted.where("n > 1 OR kind > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("kind") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT))

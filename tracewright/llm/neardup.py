@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, read, reliable_checkpoint
+from .common import WordHash, read, reliable_checkpoint, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -128,23 +128,24 @@ class Sampler:
         rng = np.random.default_rng(seed)
         self.idf = idf
         self.odd = [np.uint64(int(x) | 1) for x in rng.integers(1 << 62, (1 << 63) - 1, samples)]
-        self.r = rng.gamma(2.0, 1.0, (samples, TABLE)).astype(np.float32)
-        self.c = np.log(rng.gamma(2.0, 1.0, (samples, TABLE))).astype(np.float32)
-        self.beta = rng.random((samples, TABLE)).astype(np.float32)
+        # half precision keeps the tables small; every task reads the same values
+        self.r = rng.gamma(2.0, 1.0, (samples, TABLE)).astype(np.float16)
+        self.c = np.log(rng.gamma(2.0, 1.0, (samples, TABLE))).astype(np.float16)
+        self.beta = rng.random((samples, TABLE)).astype(np.float16)
         zero = np.zeros(TABLE, np.float32)
         self.plain = [self.sortable(self.log_a(k, np.arange(TABLE), zero)) for k in range(samples)]
 
     def log_a(self, k: int, at: np.ndarray, log_s: np.ndarray) -> np.ndarray:
-        r, beta = self.r[k][at], self.beta[k][at]
+        r, beta = np.maximum(self.r[k][at].astype(np.float32), np.float32(1e-3)), self.beta[k][at].astype(np.float32)
         t = np.floor(log_s / r + beta)
         return self.c[k][at] - r * (t - beta) - r
 
     @staticmethod
     def sortable(a: np.ndarray) -> np.ndarray:
-        """Floats as unsigned numbers of the same order, in the upper 32 bits."""
+        """Floats as unsigned numbers of the same order."""
         bits = np.ascontiguousarray(a, np.float32).view(np.uint32)
         flipped = np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(0x80000000))
-        return flipped.astype(np.uint64) << np.uint64(32)
+        return flipped.astype(np.uint32)
 
     def bands(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Band hashes, and a byte of each sample, one row for each text; texts have shingles.
@@ -165,7 +166,7 @@ class Sampler:
                 a = self.plain[k][at]
                 if len(odd_ones):
                     a[odd_ones] = self.sortable(self.log_a(k, at[odd_ones], log_s))
-                a |= low
+                a = a.astype(np.uint64) << np.uint64(32) | low
                 least = np.minimum.reduceat(a, starts)
                 short[:, k] = (least * MIX[4] >> np.uint64(56)).astype(np.uint8)
                 mixed = (mixed ^ least) * MIX[k % 4]
@@ -293,7 +294,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     words link to none but their copies. Null doc_ids take part; class_id is null where a
     class has no doc_id. Repeated rows each get their row. Other columns are ignored.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text"))).withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
+    base = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text"))).withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
     frequency, n = document_frequencies(base)
     shared = docs.sparkSession.sparkContext.broadcast(idf_of(frequency, n))
     copies = base.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import struct
 import tempfile
 import unicodedata
@@ -25,6 +26,10 @@ from .common import map_rows, read, small_batches
 
 #: Fixed: how the vocabulary's texts are cut into words once normalised.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same cut for texts of the first 256 characters, for the faster standard library.
+_first = [chr(i) for i in range(256)]
+_letters, _numbers, _blanks = ("".join(re.escape(c) for c in _first if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}", r"\s"))
+WORD_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_numbers}]|[^{_blanks}{_letters}{_numbers}]+")
 END = "</w>"
 #: Words in the lexicon, and candidates that a task keeps while it counts.
 LEXICON_WORDS = 30_000
@@ -63,15 +68,19 @@ class Vocabulary:
         ranks = self.ranks
         if len(parts) > 200:
             return self.merge_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get((parts[i], parts[i + 1]))
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        none = len(ranks)
+        near = [ranks.get(p, none) for p in zip(parts, parts[1:])]  # rank of each part with the next
+        while near:
+            best = min(near)
+            if best == none:
                 break
+            at = near.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del near[at]
+            if at:
+                near[at - 1] = ranks.get((parts[at - 1], parts[at]), none)
+            if at < len(near):
+                near[at] = ranks.get((parts[at], parts[at + 1]), none)
         return parts
 
     def merge_long(self, parts: list[str]) -> list[str]:
@@ -119,6 +128,15 @@ def normalized(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text without special tokens, normalised."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(normalized(text))
+    return WORD_LATIN.findall(text.lower())  # such texts are in normal form
+
+
 def compile_lexicon(words: dict[str, list[int]]) -> bytes:
     """The transducer as bytes: header, states, labels, targets, outputs, ids.
 
@@ -249,7 +267,7 @@ def frequent_words(docs: DataFrame, keep: int = LEXICON_WORDS) -> list[str]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(WORD.findall(normalized(text)))
+                    words.update(words_of(text))
                     if len(words) > 2 * COUNTED:
                         words = Counter(dict(words.most_common(COUNTED)))
         top = words.most_common(2 * keep)
@@ -320,13 +338,13 @@ class Coder:
             return [self.packed(self.by_library(text))]
         words = self.words
         if not self.split or "<|" not in text:
-            return [words[w] for w in WORD.findall(normalized(text))]
+            return [words[w] for w in words_of(text)]
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += [words[w] for w in WORD.findall(normalized(text[at : m.start()]))]
+            out += [words[w] for w in words_of(text[at : m.start()])]
             out.append(self.packed([self.vocabulary.special[m.group()]]))
             at = m.end()
-        return out + [words[w] for w in WORD.findall(normalized(text[at:]))]
+        return out + [words[w] for w in words_of(text[at:])]
 
     def encode(self, text: str | None) -> list[int]:
         data = b"".join([p[0] for p in self.pieces(text or "")])
@@ -344,6 +362,18 @@ class Coder:
         return len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
+_coder: tuple | None = None
+
+
+def coder(path: str, lexicon: bytes) -> Coder:
+    """The coder of this process: the next task of a worker goes on with the words seen."""
+    global _coder
+    key = (path, hash(lexicon))
+    if _coder is None or _coder[0] != key:
+        _coder = (key, Coder(path, lexicon))
+    return _coder[1]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -365,8 +395,8 @@ def encode(docs: DataFrame, path: str | None = None, keep: int = LEXICON_WORDS)
     shared = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path, keep))
 
     def work():
-        coder = Coder(path, shared.value)
-        return lambda doc_id, text: (doc_id, *coder.digests(text))
+        digests = coder(path, shared.value).digests
+        return lambda doc_id, text: (doc_id, *digests(text))
 
     return map_rows(docs, ["doc_id", "text"], work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

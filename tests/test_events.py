@@ -165,6 +165,14 @@ def test_learned(spark):
     edges = spark.createDataFrame(rows, "scenario string, row_seq bigint, t bigint, etype int, src bigint, dst bigint, score double, is_ioc int")
     found = L.link_scores(edges).collect()
     assert len(found) == 24 and all(r.score >= 0 for r in found)
+    fitted = L.fit_link(L.link_features(edges).where("NOT is_tail"))
+    assert {r.row_seq: r.score for r in L.link_scores(edges, fitted=fitted).collect()} == pytest.approx({r.row_seq: r.score for r in found})
+    both = edges.unionByName(edges.withColumn("scenario", F.lit("u")))
+    assert {r.scenario for r in L.leave_one_out_scores(both, "u").collect()} == {"u"}
+    labelled = edges.withColumn("rule_ioc_type", F.when(F.col("etype") == 1, "execution").otherwise("")).withColumn("y_rule_high", (F.col("etype") == 1).cast("int"))
+    stages = L.stage_scores(labelled).collect()
+    assert all((r.pred_stage == "execution") == (r.etype == 1) and r.pred_stage_prob > 0.5 for r in stages)
+    assert {r.pred_stage for r in L.stage_scores(labelled.withColumn("y_rule_high", F.lit(0))).collect()} == {"none"}
     coded = L.encode_columns(spark.createDataFrame([("a b", 1.0, "x"), (None, 2.0, "y")], "t string, n double, c string"), ["t"], ["n"], ["c"])
     assert coded.first().x_n == [1.0] and coded.first().x_c.size == 3
 
@@ -283,3 +291,14 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "gt.json").write_text(json.dumps({"sc5": {"files": {"azure_events.csv": {"iocs": [{"type": "attack_ip", "value": "6.6.6.6", "lines": []}]}}}}))
     found = Z.load_annotated(spark, str(tmp_path / "logs"), side.known_scenarios(), "sc5", str(tmp_path / "gt.json")).orderBy("event_seq").collect()
     assert [(r.edge_type, r.is_ioc, r.is_rule_hit_high) for r in found] == [("CONNECT", True, False), ("WRITE", False, True)]
+
+
+def test_node_memory(spark, tmp_path):
+    from tracewright.streaming import events as V
+
+    spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS ts, 1L AS event_id, 7L AS user_id, 'v' AS event_type, 1D AS value, '' AS props UNION ALL SELECT TIMESTAMP'2024-01-01 01:00:00', 2L, 7L, 'v', 1D, ''").coalesce(1).write.parquet(str(tmp_path / "in"))
+    edges = V.read_events(spark, str(tmp_path / "in")).select(F.col("user_id").alias("node"), "ts", F.lit(1.0).alias("weight"))
+    query = V.node_memory(edges).writeStream.format("memory").queryName("memory").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert [(r.node, r.activity) for r in spark.table("memory").collect()] == [(7, 1.5)]

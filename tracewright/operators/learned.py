@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..constants import STAGES
 from .graph import both_ways, degrees, neighbour_means
 from .scores import with_split
-from .training import sampled_negatives
+from .training import sampled_negatives, stage_label
 
 FEATURES = ["log_src", "log_dst", "log_pair", "log_triple", "log_dst_etype", "log_idle"]
 
@@ -29,8 +30,8 @@ def history(split: DataFrame) -> DataFrame:
     return split.withColumns({"log_src": count("src"), "log_dst": count("dst"), "log_pair": count("src", "dst"), "log_triple": count("src", "dst", "etype"), "log_dst_etype": count("dst", "etype"), "log_idle": F.coalesce(F.log1p(F.greatest(idle, F.lit(0))), F.lit(-1.0))})
 
 
-def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic", seed: int = 42) -> DataFrame:
-    """Tail rows with ``score``: -ln(max(p, 1e-12)) of the link probability p.
+def link_features(stream: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """Training edges with sampled wrong ones (y = 1, 0) and the tail, with ``features``.
 
     Negatives of training edges go through the same features, so both see the same past."""
     stream = stream.drop("score")
@@ -41,16 +42,53 @@ def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic",
     marked = split.withColumn("known", F.col("is_tail")).withColumn("y", F.lit(1.0))
     at = split.select("scenario", "row_seq", "pos")
     fake = wrong.join(at, ["scenario", "row_seq"]).withColumn("is_tail", F.lit(False)).withColumn("known", F.lit(True)).withColumn("y", F.lit(0.0))
-    every = history(marked.unionByName(fake))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(every)
-    learn = vectors.where("NOT is_tail")
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(history(marked.unionByName(fake)))
+
+
+def fit_link(learn: DataFrame, model: str = "logistic", seed: int = 42):
+    """A fitted classifier of real edges (``y`` = 1); has ``write()`` and can be loaded again."""
     if model == "mlp":
-        fitted = MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], seed=seed, maxIter=60, labelCol="y").fit(learn)
-    else:
-        fitted = LogisticRegression(labelCol="y", maxIter=50, regParam=1e-4).fit(learn)
-    scored = fitted.transform(vectors.where("is_tail"))
+        return MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], seed=seed, maxIter=60, labelCol="y").fit(learn)
+    return LogisticRegression(labelCol="y", maxIter=50, regParam=1e-4).fit(learn)
+
+
+def anomaly(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """``score``: -ln(max(p, 1e-12)) of the link probability p."""
     p = F.get(vector_to_array("probability"), F.lit(1))
-    return scored.select(*stream.columns, "pos", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("score"))
+    return scored.select(*columns, (-F.log(F.greatest(p, F.lit(1e-12)))).alias("score"))
+
+
+def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic", seed: int = 42, fitted=None) -> DataFrame:
+    """Tail rows with an anomaly score, by ``fitted`` or a model of the training part."""
+    stream = stream.drop("score")
+    vectors = link_features(stream, share, seed)
+    fitted = fitted or fit_link(vectors.where("NOT is_tail"), model, seed)
+    return anomaly(fitted.transform(vectors.where("is_tail")), [*stream.columns, "pos"])
+
+
+def leave_one_out_scores(stream: DataFrame, holdout: str, share: float = 0.7, model: str = "logistic", seed: int = 42) -> DataFrame:
+    """Tail scores of one scenario by a model of the other scenarios' training parts; the
+    scenario's own prefix only warms up the history."""
+    stream = stream.drop("score")
+    vectors = link_features(stream, share, seed)
+    fitted = fit_link(vectors.where((F.col("scenario") != holdout) & ~F.col("is_tail")), model, seed)
+    return anomaly(fitted.transform(vectors.where((F.col("scenario") == holdout) & F.col("is_tail"))), [*stream.columns, "pos"])
+
+
+def stage_scores(stream: DataFrame, mode: str = "rule_high", share: float = 0.7) -> DataFrame:
+    """Tail rows with pred_stage and pred_stage_prob, learnt from the stage labels of the
+    training part (class 0 is "none"). Without any label every stage is "none"."""
+    stream = stream.drop("pred_stage", "pred_stage_prob")
+    split = history(with_split(stream, share)).withColumn("y", stage_label(mode).cast("double"))
+    etypes = (split.agg(F.max("etype")).first()[0] or 0) + 1
+    kind = [(F.col("etype") == k).cast("double") for k in range(etypes)]
+    ready = split.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in FEATURES], *kind)))
+    learn = ready.where("NOT is_tail")
+    if learn.where("y > 0").isEmpty():
+        return ready.where("is_tail").select(*stream.columns, F.lit("none").alias("pred_stage"), F.lit(1.0).alias("pred_stage_prob"))
+    fitted = LogisticRegression(labelCol="y", family="multinomial", maxIter=50, regParam=1e-3).fit(learn)
+    stage, p = stage_prediction(vector_to_array("probability"), ["none", *STAGES][: fitted.numClasses])
+    return fitted.transform(ready.where("is_tail")).select(*stream.columns, stage.alias("pred_stage"), p.alias("pred_stage_prob"))
 
 
 def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_relation: bool = False, seed: int = 42) -> DataFrame:

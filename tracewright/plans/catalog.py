@@ -483,6 +483,21 @@ def learned_link_scores(spark, sf_dir):
     return L.link_scores(I.scores(spark, sf_dir).drop("score")).select("scenario", "row_seq", "score")
 
 
+@query()
+def graph_link_scores(spark, sf_dir):
+    return L.graph_scores(I.scores(spark, sf_dir)).select("scenario", "row_seq", "score")
+
+
+@query()
+def leave_one_out_scores(spark, sf_dir):
+    return L.leave_one_out_scores(I.scores(spark, sf_dir), "sc3").select("scenario", "row_seq", "score")
+
+
+@query()
+def stage_predictions(spark, sf_dir):
+    return L.stage_scores(I.scores(spark, sf_dir), "rule").select("scenario", "row_seq", "pred_stage", "pred_stage_prob")
+
+
 # --- text and logs -----------------------------------------------------------------------
 @query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(url, '(?i)\bhttps?://[^\s"''<>]+'))) AS n_urls, len(list_distinct(regexp_extract_all(url, '(?i)\b(?:(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)\.)+(?:[a-z]{2,63})\b'))) AS n_domains FROM pages""")
 def text_signals(spark, sf_dir):

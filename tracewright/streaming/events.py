@@ -67,3 +67,27 @@ def greedy_windows(events: DataFrame, seconds: int = 3600, delay: str = "10 minu
         .groupBy("scenario")
         .applyInPandasWithState(step, "scenario string, start_us bigint, last_us bigint, n bigint, best double", "start bigint, last bigint, n bigint, best double", "append", GroupStateTimeout.EventTimeTimeout)
     )
+
+
+def node_memory(edges: DataFrame, half_life: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
+    """Decayed activity of each node, updated after every micro-batch.
+
+    ``edges``: node, ts, weight. A node's state is its last time and its activity, which
+    halves every ``half_life`` seconds; a batch emits each touched node once. State of nodes
+    that stay silent for a hundred half-lives goes."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, level = state.get if state.exists else (None, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([f[["ts", "weight"]] for f in frames]).sort_values("ts")
+        for t, w in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["weight"]):
+            if last is not None:
+                level *= 0.5 ** (max(0, int(t) - last) / 1e6 / half_life)
+            last, level = max(int(t), last or int(t)), level + float(w)
+        state.update((last, level))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(half_life * 100_000))
+        yield pd.DataFrame({"node": [key[0]], "last_us": [last], "activity": [level]})
+
+    return edges.withWatermark("ts", delay).groupBy("node").applyInPandasWithState(step, "node bigint, last_us bigint, activity double", "last bigint, level double", "update", GroupStateTimeout.EventTimeTimeout)

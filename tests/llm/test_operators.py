@@ -310,6 +310,9 @@ def test_one_of_each_class_stays(spark):
     kept = neardup.keep_first(d)
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(plain_classes(texts)))
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["no id"]
+    odd = docs(spark, ["one text", "one text", "another text", "one text", None], ids=[5, 5, 5, None, 9])
+    assert sorted((r.doc_id, r.text or "") for r in neardup.keep_first(odd).collect()) == [(5, "another text"), (5, "one text"), (9, "")]
     assert neardup.classes(docs(spark, [])).count() == 0
     assert neardup.classes(docs(spark, ["a b c", "a b c"], ids=[4, 4])).count() == 2
 

@@ -286,17 +286,17 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size (rows), links (of its text to
-    different texts): one row for each row.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty), key (of the text) and rid (doc_id, or a stand-in)."""
+    rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("key", F.unhex(F.md5("text"))).withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
 
-    Null texts count as empty; equal texts, the empty one too, are one class; texts without
-    words link to none but their copies. Null doc_ids take part; class_id is null where a
-    class has no doc_id. Repeated rows each get their row. Other columns are ignored.
-    """
-    base = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text"))).withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
+
+def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each text of ``keyed`` rows: key, class_id, rep (key of the text that holds
+    class_id), class_size (rows), links."""
     frequency, n = document_frequencies(base)
-    shared = docs.sparkSession.sparkContext.broadcast(idf_of(frequency, n))
+    shared = base.sparkSession.sparkContext.broadcast(idf_of(frequency, n))
     copies = base.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
     sketches = sketched(base, shared).groupBy("key").agg(F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = reliable_checkpoint(copies.join(sketches, "key", "left"))
@@ -325,19 +325,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     links = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     rooted = nodes.select("key", "first", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    groups = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    member = rooted.join(groups, "root").join(links, "key", "left").select("key", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return base.select("doc_id", "key").join(member, "key").select("doc_id", "class_id", "class_size", "links")
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
+    groups = rooted.groupBy("root").agg(best.alias("best"), F.sum("n").alias("class_size"))
+    groups = groups.select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("rep"), "class_size")
+    return rooted.join(groups, "root").join(links, "key", "left").select("key", "class_id", "rep", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, that of the least doc_id; all columns stay.
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), class_size (rows), links (of its text to
+    different texts): one row for each row.
 
-    Rows without a doc_id have none to stand for their class by, and stay; of rows with the
-    same doc_id in one class one stays."""
-    found = classes(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    Null texts count as empty; equal texts, the empty one too, are one class; texts without
+    words link to none but their copies. Null doc_ids take part; class_id is null where a
+    class has no doc_id. Repeated rows each get their row. Other columns are ignored.
+    """
+    base = keyed(docs)
+    return base.select("doc_id", "key").join(members(base, threshold), "key").select("doc_id", "class_id", "class_size", "links")
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, that of its least doc_id (a row without one only where the
+    class has none); all columns stay. Of repeated rows one stays."""
+    kept = members(keyed(docs), threshold).where(F.col("key") == F.col("rep")).select(F.coalesce("class_id", F.lit(NO_ID)).alias("_rid"), F.col("rep").alias("_key"))
+    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("_rid", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
+    # grouping by the join's keys needs no other exchange of the texts
+    return rows.join(kept, ["_key", "_rid"], "left_semi").dropDuplicates(["_key", "_rid"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

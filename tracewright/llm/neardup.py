@@ -9,9 +9,8 @@ Each text has ``BANDS * ROWS`` samples; texts that agree in a band meet in a buc
 1. Every text is compared with its bucket's pivot, the text with the most exact copies.
 2. Texts of a bucket that are still in different components are compared with each other.
    In buckets of more than ``SMALL`` texts only pairs meet that agree in ``LEAST_SAME`` of
-   all samples, three standard deviations below what the threshold lets expect; they are
-   counted block by block, so that no task holds a bucket. Buckets of more than ``LARGE``
-   texts are first split by the next band's samples.
+   ``SAMPLES`` samples, three standard deviations below what the threshold lets expect; they
+   are counted block by block, so that no task holds a bucket.
 Weighted Jaccard similarity of at least ``THRESHOLD`` links two texts; classes are the
 connected components of the links. Exact copies are found by their text and compared once.
 """
@@ -36,10 +35,12 @@ CELLS = 1 << 18
 BLOCKS = 16
 LEAST_IDF = 0.75
 COMMON_SHARE = 0.1
-SMALL, LARGE = 32, 8192
+SMALL = 32
+#: Samples of the texts in larger buckets, and how many of them likely pairs have in common.
+SAMPLES = 384
 #: Texts of a large bucket that a task compares with as many others at once.
 BLOCK = 512
-LEAST_SAME = math.ceil(BANDS * ROWS * THRESHOLD - 3 * math.sqrt(BANDS * ROWS * THRESHOLD * (1 - THRESHOLD)))
+LEAST_SAME = math.ceil(SAMPLES * THRESHOLD - 3 * math.sqrt(SAMPLES * THRESHOLD * (1 - THRESHOLD)))
 TABLE = 1 << 16
 #: Shingles sampled in one go.
 AT_ONCE = 400_000
@@ -122,18 +123,19 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 class Sampler:
     """Consistent weighted samples. The random variables of a shingle and a sample come from
-    tables of TABLE entries, chosen by bits of the shingle's hash."""
+    tables of TABLE entries, chosen by bits of the shingle's hash; samples beyond the tables
+    use them again by other bits."""
 
-    def __init__(self, idf: np.ndarray, samples: int = BANDS * ROWS, seed: int = 7):
+    def __init__(self, idf: np.ndarray, tables: int = BANDS * ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.idf = idf
-        self.odd = [np.uint64(int(x) | 1) for x in rng.integers(1 << 62, (1 << 63) - 1, samples)]
+        self.idf, self.tables = idf, tables
         # half precision keeps the tables small; every task reads the same values
-        self.r = rng.gamma(2.0, 1.0, (samples, TABLE)).astype(np.float16)
-        self.c = np.log(rng.gamma(2.0, 1.0, (samples, TABLE))).astype(np.float16)
-        self.beta = rng.random((samples, TABLE)).astype(np.float16)
+        self.r = rng.gamma(2.0, 1.0, (tables, TABLE)).astype(np.float16)
+        self.c = np.log(rng.gamma(2.0, 1.0, (tables, TABLE))).astype(np.float16)
+        self.beta = rng.random((tables, TABLE)).astype(np.float16)
+        self.odd = [np.uint64(int(x) | 1) for x in rng.integers(1 << 62, (1 << 63) - 1, SAMPLES)]
         zero = np.zeros(TABLE, np.float32)
-        self.plain = [self.sortable(self.log_a(k, np.arange(TABLE), zero)) for k in range(samples)]
+        self.plain = [self.sortable(self.log_a(k, np.arange(TABLE), zero)) for k in range(tables)]
 
     def log_a(self, k: int, at: np.ndarray, log_s: np.ndarray) -> np.ndarray:
         r, beta = np.maximum(self.r[k][at].astype(np.float32), np.float32(1e-3)), self.beta[k][at].astype(np.float32)
@@ -147,83 +149,96 @@ class Sampler:
         flipped = np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(0x80000000))
         return flipped.astype(np.uint32)
 
-    def bands(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes, and a byte of each sample, one row for each text; texts have shingles.
-        A sample is the least a of a text with its shingle's hash: a tells t apart as well."""
+    def samples(self, texts: list[tuple[np.ndarray, np.ndarray]], number: int) -> Iterator[np.ndarray]:
+        """One array (a value for each text) for each sample; texts have shingles. A sample is
+        the least a of a text with its shingle's hash: a tells t apart as well."""
         h = np.concatenate([x for x, _ in texts])
-        sizes = np.array([len(x) for x, _ in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in texts])[:-1]])
         w = weights_of(h, np.concatenate([n for _, n in texts]), self.idf)
-        odd_ones = np.flatnonzero(w != 1.0)
-        log_s = np.log(w[odd_ones]).astype(np.float32)
+        others = np.flatnonzero(w != 1.0)
+        log_s = np.log(w[others]).astype(np.float32)
         low = h >> np.uint64(32)
+        for k in range(number):
+            table = k % self.tables
+            at = (h * self.odd[k] >> np.uint64(48)).astype(np.int64)
+            a = self.plain[table][at]
+            if len(others):
+                a[others] = self.sortable(self.log_a(table, at[others], log_s))
+            yield np.minimum.reduceat(a.astype(np.uint64) << np.uint64(32) | low, starts)
+
+    def bands(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Band hashes, one row for each text."""
         out = np.empty((len(texts), BANDS), np.uint64)
-        short = np.empty((len(texts), BANDS * ROWS), np.uint8)
-        for band in range(BANDS):
-            mixed = np.full(len(texts), band + 1, np.uint64)
-            for k in range(band * ROWS, band * ROWS + ROWS):
-                at = (h * self.odd[k] >> np.uint64(48)).astype(np.int64)
-                a = self.plain[k][at]
-                if len(odd_ones):
-                    a[odd_ones] = self.sortable(self.log_a(k, at[odd_ones], log_s))
-                a = a.astype(np.uint64) << np.uint64(32) | low
-                least = np.minimum.reduceat(a, starts)
-                short[:, k] = (least * MIX[4] >> np.uint64(56)).astype(np.uint8)
-                mixed = (mixed ^ least) * MIX[k % 4]
-                mixed ^= mixed >> np.uint64(29)
-            out[:, band] = mixed * MIX[4]
-        return out.view(np.int64), short
-
-
-def sketched(docs: DataFrame, shared) -> DataFrame:
-    """key, rid, bands, short (a byte of each sample) for each row that has shingles."""
+        for k, least in enumerate(self.samples(texts, BANDS * ROWS)):
+            if k % ROWS == 0:
+                mixed = np.full(len(texts), k // ROWS + 1, np.uint64)
+            mixed = (mixed ^ least) * MIX[k % 4]
+            mixed ^= mixed >> np.uint64(29)
+            out[:, k // ROWS] = mixed * MIX[4]
+        return out.view(np.int64)
+
+    def short(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A byte of each of SAMPLES samples, one row for each text."""
+        return np.stack([(least * MIX[4] >> np.uint64(56)).astype(np.uint8) for least in self.samples(texts, SAMPLES)], 1)
+
+
+def sketched(rows: DataFrame, shared, kind: str) -> DataFrame:
+    """key and ``bands`` (array of hashes) or ``short`` (bytes) for each row of key and text
+    that has shingles."""
 
     def run(batches: Iterator) -> Iterator:
         make, sampler = shingler(), Sampler(shared.value)
-        names = ["key", "rid", "bands", "short"]
 
-        def done(keys, rids, texts):
-            bands, short = sampler.bands(texts)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rids, pa.int64()), bands, pa.array([x.tobytes() for x in short], pa.binary())], names=names)
+        def done(keys, texts):
+            if kind == "bands":
+                made = pa.FixedSizeListArray.from_arrays(pa.array(sampler.bands(texts).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            else:
+                made = pa.array([x.tobytes() for x in sampler.short(texts)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), made], names=["key", kind])
 
-        keys, rids, texts, n = [], [], [], 0
+        keys, texts, n = [], [], 0
         for batch in batches:
-            for key, rid, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 shingles = make(text)
                 if not len(shingles[0]):
                     continue
                 keys.append(key)
-                rids.append(rid)
                 texts.append(shingles)
                 n += len(shingles[0])
                 if n >= AT_ONCE:
-                    yield done(keys, rids, texts)
-                    keys, rids, texts, n = [], [], [], 0
+                    yield done(keys, texts)
+                    keys, texts, n = [], [], 0
         if texts:
-            yield done(keys, rids, texts)
+            yield done(keys, texts)
+
+    return rows.select("key", "text").mapInArrow(run, f"key binary, {kind} {'array<long>' if kind == 'bands' else 'binary'}")
+
 
-    return docs.select("key", "rid", "text").mapInArrow(run, "key binary, rid long, bands array<long>, short binary")
+def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, text of distinct keys."""
+    return docs.join(keys.join(nodes.select("key", "rid"), "key"), ["rid", "key"]).dropDuplicates(["rid", "key"]).select("key", "text")
 
 
 def likely_pairs(members: DataFrame) -> DataFrame:
     """(a, b): pairs of large buckets that may reach the threshold by their samples.
 
-    ``members``: band, h, key, root, main (the bucket's most frequent root), size, short. A
-    text outside the main component is compared with all of other components. A bucket is
-    cut into blocks of about BLOCK texts, and every pair of blocks is a group of its own."""
+    ``members``: band, h, key, root, main (the bucket's most frequent root), size, bands,
+    short. A text outside the main component is compared with all of other components, in
+    the first bucket that the two share. A bucket is cut into blocks of about BLOCK texts,
+    and every pair of blocks is a group of its own."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cut = cut.select("band", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", (F.col("root") == F.col("main")).alias("inside"), "short")
+    cut = cut.select("band", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", (F.col("root") == F.col("main")).alias("inside"), "bands", "short")
 
     def run(table: pa.Table) -> pa.Table:
         key, root = table["key"].to_pylist(), np.array([hash(r) for r in table["root"].to_pylist()])
         block, inside = table["block"].to_numpy(), table["inside"].to_numpy(zero_copy_only=False)
         short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(key), -1)
+        before = np.array(table["bands"].to_pylist())[:, : table["band"][0].as_py()]
         both_blocks = table["i"][0].as_py() != table["j"][0].as_py()
         a, b = [], []
         for x in np.flatnonzero(~inside):
-            fits = root != root[x]
+            fits = (root != root[x]) & ~(before == before[x]).any(1)
             if both_blocks:  # pairs inside a block belong to the block's own group
                 fits &= block != block[x]
             near = np.flatnonzero(fits)
@@ -238,8 +253,7 @@ def likely_pairs(members: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, threshold: float) -> DataFrame:
     """The pairs (a, b) of keys whose texts are at least ``threshold`` similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "rid"), "key")
-    texts = docs.join(wanted, ["rid", "key"]).dropDuplicates(["rid", "key"]).select("key", "text")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, docs)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator) -> Iterator:
@@ -298,25 +312,27 @@ def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     frequency, n = document_frequencies(base)
     shared = base.sparkSession.sparkContext.broadcast(idf_of(frequency, n))
     copies = base.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    sketches = sketched(base, shared).groupBy("key").agg(F.first("bands").alias("bands"), F.first("short").alias("short"))
+    sketches = sketched(base, shared, "bands").groupBy("key").agg(F.first("bands").alias("bands"))
     nodes = reliable_checkpoint(copies.join(sketches, "key", "left"))
-    spread = nodes.select("key", "n", "bands", F.posexplode("bands").alias("band", "h")).select("key", "n", "band", "h", F.get("bands", (F.col("band") + 1) % BANDS).alias("more"))
+    spread = nodes.select("key", "n", F.posexplode("bands").alias("band", "h"))
 
     buckets = spread.groupBy("band", "h").agg(F.max(F.struct("n", "key"))["key"].alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    met = reliable_checkpoint(spread.join(buckets, ["band", "h"]).select("key", "band", "h", "more", "pivot", "size"))
+    met = reliable_checkpoint(spread.join(buckets, ["band", "h"]).select("key", "band", "h", "pivot"))
     first = met.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     first = reliable_checkpoint(first)
     edges = reliable_checkpoint(verified(first, nodes, base, shared, threshold))
     roots = components(edges)
 
-    labelled = met.join(roots, "key", "left").select("key", "band", F.when(F.col("size") > LARGE, F.struct("h", "more")).otherwise(F.struct("h", F.lit(0).cast("long").alias("more"))).alias("h"), F.coalesce("root", "key").alias("root"))
+    labelled = met.join(roots, "key", "left").select("key", "band", "h", F.coalesce("root", "key").alias("root"))
     counted = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("band", "h").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
     open_ = reliable_checkpoint(labelled.join(mixed, ["band", "h"]))
     few = open_.where(F.col("size") <= SMALL)
     left, right = few.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra")), few.select("band", "h", F.col("key").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, ["band", "h"]).where("a < b AND ra <> rb").select("a", "b")
-    rest = rest.unionByName(likely_pairs(open_.where(F.col("size") > SMALL).join(nodes.select("key", "short"), "key")))
+    many = open_.where(F.col("size") > SMALL)
+    short = sketched(texts_of(many.select("key").distinct(), nodes, base), shared, "short")
+    rest = rest.unionByName(likely_pairs(many.join(short, "key").join(nodes.select("key", "bands"), "key")))
     rest = rest.distinct().join(first, ["a", "b"], "left_anti")
     more = reliable_checkpoint(verified(reliable_checkpoint(rest), nodes, base, shared, threshold))
     if not more.isEmpty():

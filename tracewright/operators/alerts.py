@@ -28,16 +28,20 @@ def greedy_windows(events: DataFrame, width: int = WINDOW) -> DataFrame:
     """Adds ``window_start`` and ``window_no`` (1-based in the scenario).
 
     A window opens at the first event that no earlier window holds and lasts up to and
-    including ``start + width``. Distinct times are folded for each scenario in one pass;
-    only they, not the events, are gathered.
+    including ``start + width``. A gap of more than ``width`` always opens one, so the distinct
+    times between such gaps are folded on their own: only these, not events, are gathered.
     """
-    times = events.groupBy("scenario").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    by_time = Window.partitionBy("scenario").orderBy("t")
+    times = events.select("scenario", "t").distinct()
+    apart = F.coalesce((F.col("t") - F.lag("t").over(by_time) > width).cast("int"), F.lit(1))
+    runs = times.withColumn("_new", apart).withColumn("_run", F.sum("_new").over(by_time)).groupBy("scenario", "_run").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     starts = F.aggregate(
         "ts",
         F.array().cast("array<bigint>"),
         lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), t) > width), F.concat(acc, F.array(t))).otherwise(acc),
     )
-    opened = times.select("scenario", F.posexplode(starts).alias("no", "window_start")).select("scenario", (F.col("no") + 1).alias("window_no"), "window_start")
+    opened = runs.select("scenario", F.explode(starts).alias("window_start"))
+    opened = opened.withColumn("window_no", F.row_number().over(Window.partitionBy("scenario").orderBy("window_start")))
     # a start also marks its own row; every event takes the last start before it
     merged = events.join(opened.withColumnRenamed("window_start", "t"), ["scenario", "t"], "left")
     last = Window.partitionBy("scenario").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)

@@ -317,6 +317,7 @@ def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spread = nodes.select("key", "n", F.posexplode("bands").alias("band", "h"))
 
     buckets = spread.groupBy("band", "h").agg(F.max(F.struct("n", "key"))["key"].alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    buckets = reliable_checkpoint(buckets)  # a join of two exchanges can split a hot bucket
     met = reliable_checkpoint(spread.join(buckets, ["band", "h"]).select("key", "band", "h", "pivot"))
     first = met.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     first = reliable_checkpoint(first)
@@ -326,6 +327,7 @@ def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labelled = met.join(roots, "key", "left").select("key", "band", "h", F.coalesce("root", "key").alias("root"))
     counted = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("band", "h").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
+    mixed = reliable_checkpoint(mixed)
     open_ = reliable_checkpoint(labelled.join(mixed, ["band", "h"]))
     few = open_.where(F.col("size") <= SMALL)
     left, right = few.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra")), few.select("band", "h", F.col("key").alias("b"), F.col("root").alias("rb"))

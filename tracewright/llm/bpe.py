@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, read, small_batches
+from .common import giving_back, map_rows, read, small_batches
 
 #: Fixed: how the vocabulary's texts are cut into words once normalised.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -273,7 +273,7 @@ def frequent_words(docs: DataFrame, keep: int = LEXICON_WORDS) -> list[str]:
         top = words.most_common(2 * keep)
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    counted = small_batches(docs).select("text").mapInArrow(count, "word string, n long").where(F.length("word") <= 200).groupBy("word").agg(F.sum("n").alias("n"))
+    counted = small_batches(docs).select("text").mapInArrow(giving_back(count), "word string, n long").where(F.length("word") <= 200).groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(keep).collect()]
 
 

@@ -6,7 +6,11 @@ counts exact, and bounds whatever reaches the driver by a stated parameter.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,14 +26,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: Rows in an Arrow batch: texts may be long, and both sides of the pipe hold a batch.
 BATCH_ROWS = 1000
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's source files, once for an application."""
+    sc = spark.sparkContext
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.applicationId in _shipped or not os.path.isdir(top):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "tracewright.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session now sends Python batches of BATCH_ROWS rows at most."""
+    """``df``, whose session now has the package on executors and sends Python batches of
+    BATCH_ROWS rows at most."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df
 
 
+def give_back() -> None:
+    """Returns memory that the ended work of a reused Python worker no longer needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with ``give_back`` at the end of each task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage into the shared folder of ``spark.checkpoint.dir``.
 
@@ -92,7 +135,7 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[], Callable[...,
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
-    return small_batches(df).select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(giving_back(run), schema)
 
 
 def keep_rows(df: DataFrame, columns: list[str], work: Callable[[], Callable[..., bool]]) -> DataFrame:
@@ -106,7 +149,7 @@ def keep_rows(df: DataFrame, columns: list[str], work: Callable[[], Callable[...
             mask = [bool(function(*values)) for values in zip(*(batch.column(i).to_pylist() for i in places))]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return small_batches(df).mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(giving_back(run), df.schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_remainder, small_batches
+from .common import bounded_sample, crc_remainder, giving_back, small_batches
 
 BITS = 20
 SHIFT = np.uint64(64 - BITS + 1)
@@ -49,9 +49,9 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float =
     size = 1 << BITS
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     z0 = n0 = w0 = 0.0
-    scaled = [(x, values(x), y) for x, y in examples]
     for _ in range(epochs):
-        for x, v, y in scaled:
+        for x, y in examples:
+            v = values(x)
             p = 1.0 / (1.0 + np.exp(-np.clip(w0 + (w[x] * v).sum(), -30, 30)))
             g = p - y
             root = np.sqrt(n[x])
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
         w0, at, w = fit(examples, **how)
         yield pa.RecordBatch.from_pydict({"slot": np.append(at.astype("int64"), -1), "w": np.append(w.astype("float64"), w0)})
 
-    rows = small_batches(sample).select("text", "y").mapInArrow(run, "slot long, w double").collect()
+    rows = small_batches(sample).select("text", "y").mapInArrow(giving_back(run), "slot long, w double").collect()
     at = [(r["slot"], r["w"]) for r in rows if r["slot"] >= 0]
     return {"intercept": sum(r["w"] for r in rows if r["slot"] < 0), "slots": np.array([s for s, _ in at], np.uint32), "weights": np.array([w for _, w in at], np.float32)}
 

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_sample, crc_remainder, keep_rows, map_rows, read, small_batches
+from .common import bounded_sample, crc_remainder, giving_back, keep_rows, map_rows, read, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Documents to learn from, words and n-grams of one length kept for each language.
 SAMPLE_DOCS = 6000
-WORDS_KEPT = 20_000
-GRAMS_KEPT = 5_000
+WORDS_KEPT = 8_000
+GRAMS_KEPT = 3_000
 LANGUAGES_KEPT = 100
 #: Words that count in full as evidence; beyond, the mean of all words counts so often.
 EVIDENCE = 16
@@ -55,17 +55,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, modulus: int = 5, hel
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
         for lang, counted in words.items():
-            rows = [(0, w, n) for w, n in counted.items()]
-            for order in ORDERS:
+            for order in (0, *ORDERS):
                 of = Counter()
-                for w, n in counted.items():
-                    for g in grams(w, order):
-                        of[g] += n
-                rows += [(order, g, n) for g, n in of.items()]
-            kinds, tokens, ns = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "kind": pa.array(kinds, pa.int32()), "token": pa.array(tokens, pa.string()), "n": pa.array(ns, pa.int64())})
-
-    counted = small_batches(sample).mapInArrow(count, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
+                if order:
+                    for w, n in counted.items():
+                        for g in grams(w, order):
+                            of[g] += n
+                else:
+                    of = counted
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(of), pa.string()), "kind": pa.array([order] * len(of), pa.int32()), "token": pa.array(of.keys(), pa.string()), "n": pa.array(of.values(), pa.int64())})
+
+    counted = small_batches(sample).mapInArrow(giving_back(count), "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")
     kept = counted.where("n > 1 OR kind > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("kind") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT))
@@ -75,32 +75,35 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, modulus: int = 5, hel
     for lang, kind, token, n in kept.where(F.col("lang").isin(languages)).select("lang", "kind", "token", "n").toLocalIterator():
         tables[kind].setdefault(token, {})[languages.index(lang)] = n
     model: dict = {"languages": languages, "tables": {}}
+    rows = []
     for kind, table in tables.items():
         out = model["tables"][kind] = {}
         sums = [sizes.get((lang, kind), 0) + 1000.0 for lang in languages]
         for token, by in table.items():
-            out[token] = np.log(np.array([(by.get(i, 0) + 0.01) / s for i, s in enumerate(sums)])).astype("float32")
+            out[token] = len(rows)
+            rows.append([(by.get(i, 0) + 0.01) / s for i, s in enumerate(sums)])
+    model["matrix"] = np.log(np.array(rows or np.ones((1, max(1, len(languages)))))).astype("float32")
     return model
 
 
 class Scores(dict):
     """Row of the score matrix for a word; unseen words back off to n-grams once."""
 
-    def __init__(self, model: dict, bound: int = 200_000):
+    def __init__(self, model: dict, bound: int = 100_000):
         super().__init__()
-        self.tables, self.width = model["tables"], len(model["languages"])
+        self.tables, self.matrix, self.width = model["tables"], model["matrix"], len(model["languages"])
         self.rows = np.zeros((bound + 1, self.width), "float32")
         self.bound = bound
 
     def vector(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.matrix[known]
         for order in ORDERS:
             table = self.tables[order]
             found = [v for v in map(table.get, grams(word, order)) if v is not None]
             if found:
-                return np.mean(found, 0)
+                return self.matrix[found].mean(0)
         return np.zeros(self.width, "float32")
 
     def __missing__(self, word: str) -> int:
@@ -120,10 +123,10 @@ def predictor(model: dict):
         if not languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         total = np.zeros(len(languages))
-        for a in range(0, len(words), 50_000):
-            if len(scores) + 50_000 > scores.bound:
+        for a in range(0, len(words), 30_000):
+            if len(scores) + 30_000 > scores.bound:
                 scores.clear()
-            total += scores.rows[[scores[w] for w in words[a : a + 50_000]]].sum(0, dtype="float64")
+            total += scores.rows[[scores[w] for w in words[a : a + 30_000]]].sum(0, dtype="float64")
         mean = total / len(words) * min(len(words), EVIDENCE)
         p = np.exp(mean - mean.max())
         best = int(p.argmax())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, read, reliable_checkpoint, small_batches
+from .common import WordHash, giving_back, read, reliable_checkpoint, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -114,7 +114,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total = x.copy() if total is None else total + x
         yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").collect()
+    rows = docs.select("text").mapInArrow(giving_back(count), "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").collect()
     found = {r["block"]: np.frombuffer(r["cells"], "<i8") for r in rows}
     if not found:
         return np.zeros(CELLS, np.int64), 0
@@ -211,7 +211,7 @@ def sketched(rows: DataFrame, shared, kind: str) -> DataFrame:
         if texts:
             yield done(keys, texts)
 
-    return rows.select("key", "text").mapInArrow(run, f"key binary, {kind} {'array<long>' if kind == 'bands' else 'binary'}")
+    return rows.select("key", "text").mapInArrow(giving_back(run), f"key binary, {kind} {'array<long>' if kind == 'bands' else 'binary'}")
 
 
 def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, thresh
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInArrow(giving_back(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

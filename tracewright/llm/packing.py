@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, reliable_checkpoint, small_batches
+from .common import giving_back, read, reliable_checkpoint, small_batches
 
 LENGTH = 2048
 OPEN = 128
@@ -129,7 +129,7 @@ def first_pass(docs: DataFrame, path: str, open_windows: int = OPEN, length: int
         if left:
             yield batch_of(left)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(giving_back(run), PIECES)
 
 
 def merge_left(sizes: DataFrame, group: int = GROUP, length: int = LENGTH) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_rows, read, small_batches
+from .common import bounded_sample, giving_back, map_rows, read, small_batches
 
 #: Fixed patterns of the base scan: kind, pattern, least length, group that has the length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -102,7 +102,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[list[float]]:
         label, a, b = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"label": label.astype("int32"), "a": a.astype("int32"), "b": b.astype("int32"), "n": sums[label, a, b]})
 
-    rows = small_batches(sample).select("text").mapInArrow(count, "label int, a int, b int, n double").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(sample).select("text").mapInArrow(giving_back(count), "label int, a int, b int, n double").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros((2, SIZE, SIZE))
     for r in rows:
         sums[r["label"], r["a"], r["b"]] = r["n"]
@@ -200,7 +200,7 @@ def redact(docs: DataFrame, table=None) -> DataFrame:
                 columns[i] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns[i].to_pylist())], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(giving_back(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,9 +207,14 @@ def curve_areas_by_scenario(spark, sf_dir):
     return R.curve_areas(I.scores(spark, sf_dir), ["scenario"]).withColumn("roc_auc", F.round("roc_auc", 6)).withColumn("pr_auc", F.round("pr_auc", 6))
 
 
-@query()
+KS = (10, 50, 100, 500)
+
+
+@query(f"""{RARITY}, {AREAS.format("rare", "", "").replace("SELECT  CAST", "SELECT CAST", 1).replace("))" + chr(10) + "SELECT", ")), a AS (SELECT", 1)}),
+p AS (SELECT {", ".join(f"round(avg(CASE WHEN rn <= {k} THEN CAST(is_ioc AS DOUBLE) END), 6) AS p_at_{k}" for k in KS)} FROM (SELECT is_ioc, row_number() OVER (ORDER BY score DESC, row_seq) AS rn FROM rare)) SELECT * FROM a, p""")
 def detection_metrics(spark, sf_dir):
-    return R.detection_metrics(R.rarity(I.scores(spark, sf_dir)))
+    m = R.detection_metrics(R.rarity(I.scores(spark, sf_dir)), KS)
+    return m.select("positives", "negatives", *[F.round(c, 6).alias(c) for c in m.columns if c not in ("positives", "negatives")])
 
 
 # --- reconstruction ----------------------------------------------------------------------
@@ -409,7 +414,10 @@ def rule_coverage(spark, sf_dir):
     return N.rule_coverage(ruled(spark, sf_dir), "tier2_pipe_to_shell")
 
 
-@query()
+@query(f"""{RULED}, more AS (SELECT *, regexp_matches(txt, '\\becho\\b') AS e, len(types) + CAST(regexp_matches(txt, '\\becho\\b') AS INT) AS n FROM ruled),
+x AS (SELECT *, CASE WHEN n = 0 THEN '' WHEN (r1 OR r8 OR has_base64_flag OR has_invoke_expression OR n >= 2) AND source_file IN ('eve.json', 'azure_events.csv') AND (r1 OR r8 OR strong_flag OR n_download >= 2) THEN 'high' ELSE 'medium' END AS confidence2 FROM more),
+g AS (SELECT scenario, count(*) AS n_events_before, count(*) FILTER (len(types) > 0) AS n_rule_hit_before, count(*) FILTER (confidence = 'high') AS n_rule_high_before, CAST(0 AS BIGINT) AS n_new_rule_before, count(*) AS n_events, count(*) FILTER (n > 0) AS n_rule_hit, count(*) FILTER (confidence2 = 'high') AS n_rule_high, count(*) FILTER (e) AS n_new_rule FROM x GROUP BY scenario)
+SELECT *, n_rule_hit - n_rule_hit_before AS delta_rule_hit, n_rule_high - n_rule_high_before AS delta_rule_high FROM g""")
 def rule_coverage_delta(spark, sf_dir):
     more = K.RULES | {"tier2_cmdline_patterns": [*K.RULES["tier2_cmdline_patterns"], {"id": "echo", "pattern": r"(?i)\becho\b", "confidence": "medium"}]}
     e = I.canon(spark, sf_dir).withColumns(X.command_flags(F.col("cmdline")))

@@ -251,9 +251,8 @@ def likely_pairs(members: DataFrame) -> DataFrame:
     return cut.groupBy("band", "h", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """The pairs (a, b) of keys whose texts are at least ``threshold`` similar."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, docs)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator) -> Iterator:
@@ -321,7 +320,9 @@ def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = reliable_checkpoint(spread.join(buckets, ["band", "h"]).select("key", "band", "h", "pivot"))
     first = met.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     first = reliable_checkpoint(first)
-    edges = reliable_checkpoint(verified(first, nodes, base, shared, threshold))
+    # the texts of all buckets, found by one exchange of the corpus
+    texts = reliable_checkpoint(texts_of(met.select("key").distinct(), nodes, base))
+    edges = reliable_checkpoint(verified(first, texts, shared, threshold))
     roots = components(edges)
 
     labelled = met.join(roots, "key", "left").select("key", "band", "h", F.coalesce("root", "key").alias("root"))
@@ -333,10 +334,10 @@ def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left, right = few.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra")), few.select("band", "h", F.col("key").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, ["band", "h"]).where("a < b AND ra <> rb").select("a", "b")
     many = open_.where(F.col("size") > SMALL)
-    short = sketched(texts_of(many.select("key").distinct(), nodes, base), shared, "short")
+    short = sketched(texts.join(many.select("key").distinct(), "key", "left_semi"), shared, "short")
     rest = rest.unionByName(likely_pairs(many.join(short, "key").join(nodes.select("key", "bands"), "key")))
     rest = rest.distinct().join(first, ["a", "b"], "left_anti")
-    more = reliable_checkpoint(verified(reliable_checkpoint(rest), nodes, base, shared, threshold))
+    more = reliable_checkpoint(verified(reliable_checkpoint(rest), texts, shared, threshold))
     if not more.isEmpty():
         edges = edges.unionByName(more)
         roots = components(edges)

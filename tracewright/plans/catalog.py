@@ -520,6 +520,13 @@ def address_extract(spark, sf_dir):
     return d.select("doc_id", F.size(X.addresses(F.col("text"))).cast("bigint").alias("n_ips"))
 
 
+# no SQL: DuckDB's word boundaries are ASCII's, so address_extract compares texts of ASCII only
+@query()
+def address_extract_all(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.size(X.addresses(F.col("text"))).cast("bigint").alias("n_ips"))
+
+
 @query(f"{CANON} SELECT event_seq, {', '.join(f'CAST(regexp_matches(lower(cmdline), {chr(39)}{p}{chr(39)}) AS INT) AS {n}' for n, p in FLAGS.items())} FROM canon")
 def command_flags(spark, sf_dir):
     flags = X.command_flags(F.col("cmdline"))

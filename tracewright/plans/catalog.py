@@ -313,6 +313,11 @@ def causal_level0(spark, sf_dir):
     return G.causal_edges(I.canon(spark, sf_dir), "level0", 5000.0, 3).select(*LINKED)
 
 
+@query(CAUSAL.format(1000, "FALSE"))
+def causal_level0_all(spark, sf_dir):
+    return G.causal_edges(I.canon(spark, sf_dir), "level0", 5000.0).select(*LINKED)
+
+
 @query(CAUSAL.format(1000, "TRUE"))
 def causal_level1(spark, sf_dir):
     return G.causal_edges(I.canon(spark, sf_dir), "level1", 5000.0).select(*LINKED)

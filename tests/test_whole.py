@@ -27,3 +27,11 @@ def test_causal_links_of_busy_processes(spark):
     assert found.count() == graph.causal_edges(adapters.canon(spark, SF), "level0", 5000.0, 10**9).count()
     assert found.groupBy("scenario", "src_key").count().where("count > 3").count() > 0
     assert catalog.QUERIES["causal_level0"](spark, SF).groupBy("scenario", "src_key").count().where("count > 3").count() == 0
+
+
+def test_all_modes_are_there(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    modes = {r["mode"] for r in catalog.QUERIES["recon_all_modes"](spark, SF).select("mode").distinct().collect()}
+    by_k = {f"by_k{m}" for m in ("", "_pair_dedupe", "_ioc_log_sources", "_source_quota", "_group_cap", "_group_cap_adaptive", "_ioc_pool_upper_bound", "_pred_stage")}
+    assert modes == by_k | {"by_alert_rule", "by_alert_pred_stage"}

@@ -123,15 +123,17 @@ def evaluate_alerts(scores: DataFrame, observed: Iterable[str], lines: DataFrame
 
 
 def evaluate(scores: DataFrame, observed: Iterable[str], ks: Sequence[int] = (10, 50, 100), lines: DataFrame | None = None, ioc_files: Iterable[str] | None = None, quotas: dict[str, int] | None = None, group_cap: dict | None = None, adaptive: dict | None = None, upper_bound: bool = True, alert: dict | None = None, least_prob: float = 0.0, least: int = 1) -> DataFrame:
-    """All reconstructions in one table, one row for each mode and k (k is null for alerts)."""
+    """All reconstructions in one table, one row for each mode and k (k is null for alerts).
+
+    A mode with options is left out where they are None; empty ones mean its defaults."""
     parts = [("by_k", evaluate_top_k(scores, observed, ks, "global", lines)), ("by_k_pair_dedupe", evaluate_top_k(scores, observed, ks, "pair_dedupe", lines, least=least))]
     if ioc_files is not None:
         parts.append(("by_k_ioc_log_sources", evaluate_top_k(only_ioc_logs(scores, ioc_files), observed, ks, "global", lines, least=least)))
-    if quotas:
+    if quotas is not None:
         parts.append(("by_k_source_quota", evaluate_top_k(scores, observed, ks, "source_quota", lines, quotas=quotas)))
-    if group_cap:
+    if group_cap is not None:
         parts.append(("by_k_group_cap", evaluate_top_k(scores, observed, ks, "group_cap", lines, **group_cap)))
-    if adaptive:
+    if adaptive is not None:
         parts.append(("by_k_group_cap_adaptive", evaluate_top_k(scores, observed, ks, "group_cap_adaptive", lines, **adaptive)))
     if upper_bound:
         parts.append(("by_k_ioc_pool_upper_bound", evaluate_top_k(scores, observed, ks, "ioc_pool", lines, least=least)))

@@ -375,6 +375,16 @@ def test_licenses_equal_plain(spark):
     assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(docs(spark, ["a"], ids=[None])).count() == 1
 
 
+def test_one_line_grants(spark):
+    texts = {
+        "Released under the MIT License.": "mit", "// SPDX-License-Identifier: MIT": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "Distributed under the BSD license": "bsd", "BSD 3-Clause License": "bsd", "Subject to the Mozilla Public License, v. 2.0": "mpl-2.0", "MPL-2.0": "mpl-2.0",
+        "Licensed under the Apache License, Version 1.1": "", "released under the license, version 2.0": "", "mit dem Haus": "", "the public license": "",
+    }
+    found = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(texts))).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
+
+
 # --- op10
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer

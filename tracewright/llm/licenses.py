@@ -37,6 +37,16 @@ TEMPLATES = (
     ("public-domain", "this is free and unencumbered software released into the public domain"),
     ("reserved", "copyright all rights reserved no part of this publication may be reproduced"),
     ("gpl", "distributed under the gnu general public license"),
+    # short grants: of up to four words all must be there, so one license is not taken for another
+    ("mit", "under the mit license"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2.0", "apache license 2 0"),
+    ("bsd", "under the bsd license"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("bsd", "spdx license identifier bsd"),
+    ("mpl-2.0", "mozilla license 2 0"),
+    ("mpl-2.0", "mpl 2 0"),
 )
 
 THRESHOLD = 0.8

@@ -385,6 +385,46 @@ def test_one_line_grants(spark):
     assert [found[i] for i in range(len(texts))] == list(texts.values())
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions are met:",
+    "apache-2.0": " * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file\n * except in compliance with the License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.",
+}
+
+
+def plain_wrapped(text):
+    """Labels and best share of lines and of windows of words."""
+    *_, labels, score = plain_license(text)
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    words, labels = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low), set(filter(None, labels.split(",")))
+    for label, template in licenses.TEMPLATES:
+        own, width = set(template.split()), licenses.window_of(template, licenses.THRESHOLD)
+        share = max(len(own & set(words[i : i + width])) for i in range(max(1, len(words)))) / len(own)
+        if share >= licenses.THRESHOLD - 1e-9 and re.search("[\r\n]", low):
+            labels.add(label)
+            score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(9)
+    texts = ["intro\n" + t + "\nend" for t in NOTICES.values()]
+    for _, template in licenses.TEMPLATES:
+        words = [w for w in template.split() if rng.random() < 0.9]
+        texts.append("\n".join([*words, prose(40, len(texts)), *template.split()[: len(words) // 2]]))
+        texts.append("\n".join(w + rng.choice(["", " x", " x y"]) for w in template.split()))
+    texts += [None, "", "\n", "mit\n" * 300, "the license\nunder " * 50 + "\nmit", *ODD]
+    found = {r.doc_id: r for r in licenses.scan(docs(spark, texts), wrapped=True).collect()}
+    assert len(found) == len(texts)
+    for i, label in enumerate(NOTICES):
+        assert label in found[i].labels.split(",") and found[i].score >= 0.8
+    for i, t in enumerate(texts):
+        labels, score = plain_wrapped(t)
+        assert found[i].labels == labels and found[i].score == pytest.approx(score), t
+
+
 # --- op10
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer

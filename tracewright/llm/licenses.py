@@ -129,9 +129,56 @@ def template_labels(low: Column, frequencies: dict[str, int], templates=TEMPLATE
     return F.transform(found, lambda x: x["label"]), F.coalesce(F.array_max(F.transform(found, lambda x: x["share"])), F.lit(0.0))
 
 
-def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def window_of(words: str, threshold: float) -> int:
+    """Words of a text among which a template is looked for across lines: its own number, and
+    as many more as the threshold allows, two at least."""
+    n = len(words.split())
+    return max(n + 2, -int(-(n / threshold) // 1))
+
+
+def window_matches(low: Column, frequencies: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """Label and containment of the templates that some window of consecutive words contains,
+    wherever lines break. Only windows with a token of the template's prefix are looked at."""
+    order = {w: i for i, w in enumerate(sorted(frequencies, key=lambda w: (frequencies[w], w)))}
+    plans = []
+    for label, words in templates:
+        tokens = sorted(set(words.split()), key=order.get)
+        need = needed(len(tokens), threshold)
+        plans.append((label, tokens, need, tokens[: len(tokens) - need + 1], window_of(words, threshold)))
+
+    def one(hits: Column, label: str, tokens: list[str], need: int, prefix: list[str], width: int) -> Column:
+        def most(own: Column) -> Column:
+            rare = F.filter(F.transform(own, lambda x, j: F.struct(x["at"].alias("at"), x["w"].alias("w"), j.alias("j"))), lambda x: x["w"].isin(prefix))
+
+            def around(p: Column) -> Column:
+                def windows(near: Column) -> Column:
+                    starts = F.filter(near, lambda x: (x["at"] <= p["at"]) & (x["at"] > p["at"] - width))
+                    inside = lambda x: F.filter(near, lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + width))
+                    return F.when(F.size(near) >= need, F.array_max(F.transform(starts, lambda x: F.size(F.array_distinct(F.transform(inside(x), lambda y: y["w"]))))))
+
+                # a window has ``width`` hits at most, on either side of the rare one
+                return let(F.slice(own, F.greatest(p["j"] + 2 - width, F.lit(1)), 2 * width - 1), windows)
+
+            return F.array_max(F.transform(rare, around))
+
+        best = let(F.filter(hits, lambda x: x["w"].isin(tokens)), lambda own: F.when(F.size(own) >= need, most(own)))
+        return let(best, lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / F.lit(float(len(tokens)))).alias("share"))))
+
+    vocabulary = sorted(order)
+    words = F.split(F.trim(F.regexp_replace(low, BREAK, " ")), " ")
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
+    found = let(hits, lambda h: F.filter(F.array(*[one(h, *p) for p in plans]), lambda x: x.isNotNull()))
+    first = sorted({w for _, _, _, prefix, _ in plans for w in prefix})
+    could = low.rlike("[\\r\\n]") & low.rlike("(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(first) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])")
+    return F.when(could, found).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+
+
+def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """Adds nothing to and drops nothing from the rows: one result row for each input row.
 
+    A block is a line; with ``wrapped`` also every window of consecutive words, so that
+    notices wrapped over lines are found too.
+
     Null and empty texts: no words, no labels, score 0. Null doc_ids are carried through;
     repeated rows each get their result. Other columns of ``docs`` are ignored.
     """
@@ -154,6 +201,11 @@ def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=T
 
     empty = F.array().cast("array<struct<at:long,label:string>>")
     labels, share = template_labels(F.col("low"), frequencies, templates, threshold)
+    if wrapped:
+        across = window_matches(F.col("low"), frequencies, templates, threshold)
+        flat = flat.withColumn("across", across)
+        labels = F.concat(labels, F.transform("across", lambda x: x["label"]))
+        share = F.greatest(share, F.array_max(F.transform("across", lambda x: x["share"])))
     out = flat.select(
         "doc_id",
         F.when(F.length("flat") <= 2, F.lit(0)).otherwise(F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"),
@@ -177,6 +229,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def query_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"), wrapped=True)
+
+
 def _oracle() -> str:
     words = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

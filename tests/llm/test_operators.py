@@ -304,6 +304,28 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
     assert all(found[i].class_size == wanted.count(wanted[i]) for i in range(len(texts)))
 
 
+def test_large_buckets_lose_no_borderline_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, words = random.Random(2), [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    texts = []
+    for i in range(64):  # pairs are 0.8 alike or nearly so
+        own = list(base)
+        for at in rng.sample(range(0, 400, 10), 4 + i % 3):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+    make, idf = neardup.shingler(), np.ones(neardup.CELLS)
+    sets = [(h, neardup.weights_of(h, n, idf)) for h, n in map(make, texts)]
+    near = {(a, b): neardup.weighted_jaccard(sets[a], sets[b]) for a in range(64) for b in range(a + 1, 64)}
+    assert any(0.77 < s < 0.8 for s in near.values()) and any(0.8 <= s < 0.83 for s in near.values())
+    key = lambda i: bytes([i])
+    rows = [(0, 1, key(i), key(min(i, 60)), key(60), 64, 60, [i] * 16, texts[i]) for i in range(64)]
+    members = spark.createDataFrame(rows, "band int, h long, key binary, root binary, main binary, size long, outside long, bands array<long>, text string")
+    found = [(r.a[0], r.b[0]) for r in neardup.bucket_pairs(members, spark.sparkContext.broadcast(idf), 0.8).collect()]
+    wanted = [p for p, s in near.items() if s >= 0.8 and min(p[1], 60) != min(p[0], 60)]
+    assert sorted(found) == sorted(wanted)
+
+
 def test_one_of_each_class_stays(spark):
     texts = copies(3)
     d = docs(spark, [*texts, "no id", "no id"], ids=[*range(len(texts)), None, None])

@@ -8,16 +8,14 @@ so boilerplate counts less, but copies don't weigh down the very shingles they s
 Each text has ``BANDS * ROWS`` samples; texts that agree in a band meet in a bucket.
 1. Every text is compared with its bucket's pivot, the text with the most exact copies.
 2. Texts of a bucket that are still in different components are compared with each other.
-   In buckets of more than ``SMALL`` texts only pairs meet that agree in ``LEAST_SAME`` of
-   ``SAMPLES`` samples, three standard deviations below what the threshold lets expect; they
-   are counted block by block, so that no task holds a bucket.
+   Buckets of more than ``SMALL`` texts are compared block by block, by the exact weights of
+   all their pairs, so that no task holds a bucket.
 Weighted Jaccard similarity of at least ``THRESHOLD`` links two texts; classes are the
 connected components of the links. Exact copies are found by their text and compared once.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -36,11 +34,10 @@ BLOCKS = 16
 LEAST_IDF = 0.75
 COMMON_SHARE = 0.1
 SMALL = 32
-#: Samples of the texts in larger buckets, and how many of them likely pairs have in common.
+#: Samples that estimate similarities; no pair of texts is dropped by them.
 SAMPLES = 384
 #: Texts of a large bucket that a task compares with as many others at once.
 BLOCK = 512
-LEAST_SAME = math.ceil(SAMPLES * THRESHOLD - 3 * math.sqrt(SAMPLES * THRESHOLD * (1 - THRESHOLD)))
 TABLE = 1 << 16
 #: Shingles sampled in one go.
 AT_ONCE = 400_000
@@ -219,36 +216,64 @@ def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(keys.join(nodes.select("key", "rid"), "key"), ["rid", "key"]).dropDuplicates(["rid", "key"]).select("key", "text")
 
 
-def likely_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of large buckets that may reach the threshold by their samples.
+def bucket_pairs(members: DataFrame, shared, threshold: float) -> DataFrame:
+    """(a, b): pairs of large buckets whose texts are similar, by their exact weights.
 
-    ``members``: band, h, key, root, main (the bucket's most frequent root), size, bands,
-    short. A text outside the main component is compared with all of other components, in
-    the first bucket that the two share. A bucket is cut into blocks of about BLOCK texts,
-    and every pair of blocks is a group of its own."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cut = cut.select("band", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", (F.col("root") == F.col("main")).alias("inside"), "bands", "short")
+    ``members``: band, h, key, root, main (the bucket's most frequent root), size, outside
+    (texts of other roots), bands, text. A text outside the main component is compared with
+    all of other components, in the first bucket that the two share. The texts outside are
+    cut into parts and all texts into blocks of about BLOCK, and every part and block is a
+    group of its own."""
+    blocks, parts = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
+    columns = ["band", "h", "part", "block", "asks", "key", "root", "inside", "bands", "text"]
+    at = members.withColumn("inside", F.col("root") == F.col("main"))
+    asking = at.where("NOT inside").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    asked = at.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = asking.withColumn("asks", F.lit(True)).select(columns).unionByName(asked.withColumn("asks", F.lit(False)).select(columns))
 
     def run(table: pa.Table) -> pa.Table:
-        key, root = table["key"].to_pylist(), np.array([hash(r) for r in table["root"].to_pylist()])
-        block, inside = table["block"].to_numpy(), table["inside"].to_numpy(zero_copy_only=False)
-        short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(key), -1)
+        make, idf = shingler(), shared.value
+
+        def of(text):
+            h, n = make(text)
+            return h, weights_of(h, n, idf)
+
+        key, root, text = table["key"].to_pylist(), table["root"].to_pylist(), table["text"]
+        asks, inside = table["asks"].to_numpy(zero_copy_only=False), table["inside"].to_numpy(zero_copy_only=False)
         before = np.array(table["bands"].to_pylist())[:, : table["band"][0].as_py()]
-        both_blocks = table["i"][0].as_py() != table["j"][0].as_py()
+        outer = [(x, *of(text[int(x)].as_py())) for x in np.flatnonzero(asks)]
         a, b = [], []
-        for x in np.flatnonzero(~inside):
-            fits = (root != root[x]) & ~(before == before[x]).any(1)
-            if both_blocks:  # pairs inside a block belong to the block's own group
-                fits &= block != block[x]
-            near = np.flatnonzero(fits)
-            near = near[(short[near] == short[x]).sum(1) >= LEAST_SAME]
-            for y in near[inside[near] | (near > x)]:
-                a.append(min(key[x], key[y]))
-                b.append(max(key[x], key[y]))
+
+        def compare(ys, found):
+            h, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            owner = np.repeat(np.arange(len(ys)), [len(f[0]) for f in found])
+            sums, order = np.bincount(owner, w, len(ys)), np.argsort(h)
+            h, w, owner = h[order], w[order], owner[order]
+            for x, hx, wx in outer:
+                first, n = np.searchsorted(h, hx), np.searchsorted(h, hx, "right")
+                n -= first
+                hits = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                low = np.bincount(owner[hits], np.minimum(w[hits], np.repeat(wx, n)), len(ys))
+                # sums in another order differ in the last digits; what passes is verified
+                for k in np.flatnonzero(low >= (threshold - 1e-9) * (wx.sum() + sums - low)):
+                    y = ys[k]
+                    if root[x] != root[y] and (inside[y] or key[y] > key[x]) and not (before[x] == before[y]).any():
+                        a.append(min(key[x], key[y]))
+                        b.append(max(key[x], key[y]))
+
+        ys, found, n = [], [], 0
+        for y in np.flatnonzero(~asks) if outer else ():
+            ys.append(y)
+            found.append(of(text[int(y)].as_py()))
+            n += len(found[-1][0])
+            if n >= AT_ONCE:
+                compare(ys, found)
+                ys, found, n = [], [], 0
+        if ys:
+            compare(ys, found)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return cut.groupBy("band", "h", "i", "j").applyInArrow(run, "a binary, b binary")
+    return cut.groupBy("band", "h", "part", "block").applyInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
@@ -307,7 +332,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each text of ``keyed`` rows: key, class_id, rep (key of the text that holds
-    class_id), class_size (rows), links."""
+    class_id), class_size (rows),
+    verified_links."""
     frequency, n = document_frequencies(base)
     shared = base.sparkSession.sparkContext.broadcast(idf_of(frequency, n))
     copies = base.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -327,39 +353,40 @@ def members(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     labelled = met.join(roots, "key", "left").select("key", "band", "h", F.coalesce("root", "key").alias("root"))
     counted = labelled.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("band", "h").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
+    mixed = counted.groupBy("band", "h").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    mixed = mixed.select("band", "h", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
     mixed = reliable_checkpoint(mixed)
     open_ = reliable_checkpoint(labelled.join(mixed, ["band", "h"]))
     few = open_.where(F.col("size") <= SMALL)
     left, right = few.select("band", "h", F.col("key").alias("a"), F.col("root").alias("ra")), few.select("band", "h", F.col("key").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, ["band", "h"]).where("a < b AND ra <> rb").select("a", "b")
     many = open_.where(F.col("size") > SMALL)
-    short = sketched(texts.join(many.select("key").distinct(), "key", "left_semi"), shared, "short")
-    rest = rest.unionByName(likely_pairs(many.join(short, "key").join(nodes.select("key", "bands"), "key")))
+    rest = rest.unionByName(bucket_pairs(many.join(texts, "key").join(nodes.select("key", "bands"), "key"), shared, threshold))
     rest = rest.distinct().join(first, ["a", "b"], "left_anti")
     more = reliable_checkpoint(verified(reliable_checkpoint(rest), texts, shared, threshold))
     if not more.isEmpty():
         edges = edges.unionByName(more)
         roots = components(edges)
 
-    links = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+    links = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("verified_links"))
     rooted = nodes.select("key", "first", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
     groups = rooted.groupBy("root").agg(best.alias("best"), F.sum("n").alias("class_size"))
     groups = groups.select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("rep"), "class_size")
-    return rooted.join(groups, "root").join(links, "key", "left").select("key", "class_id", "rep", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return rooted.join(groups, "root").join(links, "key", "left").select("key", "class_id", "rep", "class_size", F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size (rows), links (of its text to
-    different texts): one row for each row.
+    """doc_id, class_id (least doc_id of the class), class_size (rows), verified_links (of its
+    text to different texts, those compared to find the classes: texts already in one class
+    are not compared with each other): one row for each row.
 
     Null texts count as empty; equal texts, the empty one too, are one class; texts without
     words link to none but their copies. Null doc_ids take part; class_id is null where a
     class has no doc_id. Repeated rows each get their row. Other columns are ignored.
     """
     base = keyed(docs)
-    return base.select("doc_id", "key").join(members(base, threshold), "key").select("doc_id", "class_id", "class_size", "links")
+    return base.select("doc_id", "key").join(members(base, threshold), "key").select("doc_id", "class_id", "class_size", "verified_links")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -366,6 +366,16 @@ def test_language(spark):
     assert language.identify(docs(spark, ["text"], [None])).first().lang_pred == "und" and language.identify(docs(spark, [])).count() == 0
 
 
+def test_whole_of_long_words_counts(monkeypatch):
+    monkeypatch.setattr(language, "CHUNK", 7)
+    model = {"languages": ["de", "en"], "tables": {0: {}, **{k: {} for k in language.ORDERS}}, "matrix": np.log(np.array([[0.9, 0.1], [0.1, 0.9]], "float32"))}
+    model["tables"][5] = {"aaaaa": 0, "bbbbb": 1}
+    word = "a" * 200 + "b" * 900
+    assert language.predictor(model)(word)[0] == "en" and language.predictor(model)(word[:300])[0] == "de"
+    wanted = (model["matrix"][0] * 196 + model["matrix"][1] * 896) / (196 + 896)
+    assert language.Scores(model).vector(word) == pytest.approx(wanted, rel=1e-5)
+
+
 # --- op9
 def plain_license(text):
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})

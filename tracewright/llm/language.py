@@ -21,6 +21,9 @@ from .common import bounded_sample, crc_remainder, giving_back, keep_rows, map_r
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
+#: Words of more letters are scored whole, CHUNK n-grams at a time, but not remembered.
+LONG = 200
+CHUNK = 10_000
 #: Documents to learn from, words and n-grams of one length kept for each language.
 SAMPLE_DOCS = 6000
 WORDS_KEPT = 8_000
@@ -101,6 +104,14 @@ class Scores(dict):
             return self.matrix[known]
         for order in ORDERS:
             table = self.tables[order]
+            if len(word) > LONG:
+                marked, total, n = f"<{word}>", np.zeros(self.width), 0
+                for a in range(0, len(marked) - order + 1, CHUNK):
+                    found = [v for i in range(a, min(a + CHUNK, len(marked) - order + 1)) if (v := table.get(marked[i : i + order])) is not None]
+                    total, n = total + self.matrix[found].sum(0, dtype="float64"), n + len(found)
+                if n:
+                    return (total / n).astype("float32")
+                continue
             found = [v for v in map(table.get, grams(word, order)) if v is not None]
             if found:
                 return self.matrix[found].mean(0)
@@ -108,7 +119,7 @@ class Scores(dict):
 
     def __missing__(self, word: str) -> int:
         at = len(self)
-        self.rows[at] = self.vector(word[:200])
+        self.rows[at] = self.vector(word)
         self[word] = at
         return at
 
@@ -126,7 +137,11 @@ def predictor(model: dict):
         for a in range(0, len(words), 30_000):
             if len(scores) + 30_000 > scores.bound:
                 scores.clear()
-            total += scores.rows[[scores[w] for w in words[a : a + 30_000]]].sum(0, dtype="float64")
+            part = words[a : a + 30_000]
+            total += scores.rows[[scores[w] for w in part if len(w) <= LONG]].sum(0, dtype="float64")
+            for w in part:
+                if len(w) > LONG:
+                    total += scores.vector(w)
         mean = total / len(words) * min(len(words), EVIDENCE)
         p = np.exp(mean - mean.max())
         best = int(p.argmax())

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tracewright.llm import ann, bpe, fingerprints, ftrl, language, licenses, neardup, packing, quality, secrets, toxicity
@@ -366,14 +367,74 @@ def test_language(spark):
     assert language.identify(docs(spark, ["text"], [None])).first().lang_pred == "und" and language.identify(docs(spark, [])).count() == 0
 
 
-def test_whole_of_long_words_counts(monkeypatch):
-    monkeypatch.setattr(language, "CHUNK", 7)
-    model = {"languages": ["de", "en"], "tables": {0: {}, **{k: {} for k in language.ORDERS}}, "matrix": np.log(np.array([[0.9, 0.1], [0.1, 0.9]], "float32"))}
-    model["tables"][5] = {"aaaaa": 0, "bbbbb": 1}
-    word = "a" * 200 + "b" * 900
-    assert language.predictor(model)(word)[0] == "en" and language.predictor(model)(word[:300])[0] == "de"
-    wanted = (model["matrix"][0] * 196 + model["matrix"][1] * 896) / (196 + 896)
-    assert language.Scores(model).vector(word) == pytest.approx(wanted, rel=1e-5)
+def plain_language(rows, texts):
+    """Languages and probabilities straight from the definition; rows: (text, lang) to learn from."""
+    names = sorted({lang for _, lang in rows})
+    counts = {k: [{} for _ in names] for k in (0, *language.ORDERS)}
+    letters = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    for text, lang in rows:
+        for w in letters(text):
+            for k in counts:
+                for g in grams(w, k) if k else [w]:
+                    own = counts[k][names.index(lang)]
+                    own[g] = own.get(g, 0) + 1
+    totals = {k: [sum(c.values()) + 1000 for c in counts[k]] for k in counts}
+    known = {k: {g for c in counts[k] for g, n in c.items() if n > 1 or k} for k in counts}
+
+    def entry(k, g):
+        return np.array([np.log(((n if n > 1 or k else 0) + 0.01) / t) for n, t in ((c.get(g, 0), t) for c, t in zip(counts[k], totals[k]))])
+
+    out = []
+    for text in texts:
+        total, ws = np.zeros(len(names)), letters(text)
+        for w in ws:
+            for k in (0, *language.ORDERS):
+                found = [entry(k, g) for g in (grams(w, k) if k else [w]) if g in known[k]]
+                if found:
+                    total += np.mean(found, 0)
+                    break
+        mean = total / max(1, len(ws)) * min(len(ws), 16)
+        p = np.exp(mean - mean.max())
+        p = np.round(p / p.sum(), 9)
+        out.append((names[int(p.argmax())], float(p.max())) if ws else ("und", 0.0))
+    return out
+
+
+def test_language_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(language, "CHARACTERS", 50)
+    monkeypatch.setattr(language, "TABLE", 4000)
+    rng = random.Random(12)
+    texts = [prose(30, i, [f"{c}{w}" for c in "abé" for w in WORDS] if i % 3 else WORDS) for i in range(60)] + ["a" * 200 + "b" * 300, "Zeta9beta ZETA_x", "ζητα 水 ²", "ab" * 70_000]
+    langs = [rng.choice(["aa", "bb", "cc"]) for _ in texts]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    more = [None, "", "7 !", "alphabet betamax", "quixotic" * 90, "x", "\u00e9\u00e9 zeta zeta"] + ["zeta"] * 3
+    d = docs(spark, texts + more, langs + [None] * len(more), ids + held[: len(more)])
+    found = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.identify(d).collect()}
+    wanted = plain_language(list(zip(texts, langs)), texts + more)
+    assert found == {(i, lang, round(p, 6)) for i, (lang, p) in zip(ids + held, wanted)}
+
+
+def test_every_language_is_learnt(spark):
+    # more languages than any earlier cap: each has words of its own
+    names = [f"l{i:03d}" for i in range(150)]
+    letters = "abcdefghijklmno"
+    word = lambda i: "".join(letters[int(c)] for c in f"{i:03d}") * 2
+    texts = [f"{word(i)} {word(i)} common {word(i)}x" for i in range(150) for _ in range(4)]
+    langs = [n for n in names for _ in range(4)]
+    model = language.train(docs(spark, texts, langs))
+    seen = sorted({n for i, n in enumerate(langs) if zlib.crc32(str(i).encode()) % 5})
+    assert model["languages"] == seen and len(seen) > 140
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs(spark, texts, langs), model).collect()}
+    assert all(found[i] == langs[i] for i in found if langs[i] in seen)
+
+
+def test_language_takes_null_and_repeated_ids(spark):
+    d = docs(spark, ["the house", "the house", None, "haus der", "haus der"], ["en", "en", "en", "de", "de"], [None, 3, 3, 3, 4])
+    found = language.identify(d).collect()
+    assert len(found) == 5 and [r.held_out for r in found if r.doc_id is None] == [None]
+    assert language.keep_identified(d.withColumn("lang_pred", F.lit(1))).columns[-1] == "lang_pred"
 
 
 # --- op9

@@ -2,150 +2,193 @@
 
 A word that the model knows adds its smoothed log frequency in each language. A word that
 it doesn't know is cut into its longest character n-grams (with word ends marked); the
-first length at which any n-gram is known decides, down to single characters. The
-languages' sums are compared; equal priors.
+first length at which any n-gram is known decides, by the mean of all known n-grams of that
+length, down to single characters. The languages' sums are compared; equal priors.
+
+The model is a sorted array of hashes for words and for each length of n-grams, with the
+(language, log frequency) pairs of each entry; every language seen, every word seen twice
+and every n-gram of the sample are in it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bounded_sample, crc_remainder, giving_back, keep_rows, map_rows, read, small_batches
+from .common import Spans, bounded_sample, crc_remainder, giving_back, hash_words, read, small_batches, split_words, text_runs
 
-WORD = re.compile(r"[^\W\d_]+")
+#: What lies between words: anything but letters.
+BREAKS = r"[^\pL]+"
 ORDERS = (5, 4, 3, 2, 1)
-#: Words of more letters are scored whole, CHUNK n-grams at a time, but not remembered.
-LONG = 200
-CHUNK = 10_000
-#: Documents to learn from, words and n-grams of one length kept for each language.
+#: Documents to learn from, at most: the only bound on the model's size.
 SAMPLE_DOCS = 6000
-WORDS_KEPT = 8_000
-GRAMS_KEPT = 3_000
-LANGUAGES_KEPT = 100
+#: Numbers of a score table made at once.
+TABLE = 1 << 22
+#: Characters of unseen words cut into n-grams at once.
+CHARACTERS = 1 << 20
 #: Words that count in full as evidence; beyond, the mean of all words counts so often.
 EVIDENCE = 16
 UNKNOWN = "und"
 MIN_SCORE = 0.5
+#: Smoothing of counts and of totals.
+LEAST_COUNT, EXTRA_TOTAL = 0.01, 1000.0
+
 
+class Cut:
+    """The code points of words, each word with its ends marked, and hashes of its n-grams."""
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    def __init__(self, words: pa.Array):
+        marked = pc.binary_join_element_wise(pa.scalar("<", words.type), words, pa.scalar(">", words.type), pa.scalar("", words.type))
+        points = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.lengths = pc.utf8_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.spans = Spans(points)
+
+    def grams(self, which: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the n-grams of the words ``which``, index into ``which`` of each)."""
+        n = np.maximum(self.lengths[which] - order + 1, 0)
+        owner = np.repeat(np.arange(len(which)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.starts[which][owner]
+        return self.spans.hashes(at, at + order), owner
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, modulus: int = 5, held: int = 0) -> dict:
     """Learns from text and lang of rows whose crc32(doc_id as text) % modulus isn't ``held``.
 
-    At most ``sample_docs`` documents (smallest hash of doc_id), the most frequent
-    ``LANGUAGES_KEPT`` languages, and ``WORDS_KEPT`` words and ``GRAMS_KEPT`` n-grams of each
-    length for a language: a model of bounded size. Ties go to the smaller string.
+    At most about ``sample_docs`` documents (smallest hash of doc_id). Tasks send counts of
+    hashes, so the driver gets as many rows as the sample has different words and n-grams.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_remainder("doc_id", modulus) != held))
     sample = bounded_sample(usable, "doc_id", sample_docs).select("lang", "text")
 
     def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        words: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        for lang, counted in words.items():
+        tally: dict[str, Counter] = {}
+        for batch in text_runs(batches, 1):
+            words, owner = split_words(batch.column(1), BREAKS)
+            langs = batch.column(0).take(pa.array(owner, pa.int64()))
+            for lang in pc.unique(langs).to_pylist():
+                seen = words.filter(pc.equal(langs, lang)).value_counts()
+                tally.setdefault(lang, Counter()).update(dict(zip(seen.field(0).to_pylist(), seen.field(1).to_pylist())))
+        for lang, counted in tally.items():
+            names, times = pa.array(counted.keys(), pa.large_string()), np.fromiter(counted.values(), np.int64)
+            cut = Cut(names)
             for order in (0, *ORDERS):
-                of = Counter()
                 if order:
-                    for w, n in counted.items():
-                        for g in grams(w, order):
-                            of[g] += n
+                    h, owner = cut.grams(np.arange(len(names)), order)
+                    own, at = np.unique(h, return_inverse=True)
+                    n = np.bincount(at, times[owner], len(own)).astype(np.int64)
                 else:
-                    of = counted
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(of), pa.string()), "kind": pa.array([order] * len(of), pa.int32()), "token": pa.array(of.keys(), pa.string()), "n": pa.array(of.values(), pa.int64())})
-
-    counted = small_batches(sample).mapInArrow(giving_back(count), "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")
-    kept = counted.where("n > 1 OR kind > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("kind") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT))
-    sizes = {(r["lang"], r["kind"]): r["total"] for r in totals.orderBy("kind", F.desc("total"), "lang").limit(LANGUAGES_KEPT * (1 + len(ORDERS))).collect()}
-    languages = sorted({lang for lang, kind in sizes if kind == 0})
-    tables: dict = {k: {} for k in (0, *ORDERS)}
-    for lang, kind, token, n in kept.where(F.col("lang").isin(languages)).select("lang", "kind", "token", "n").toLocalIterator():
-        tables[kind].setdefault(token, {})[languages.index(lang)] = n
-    model: dict = {"languages": languages, "tables": {}}
-    rows = []
-    for kind, table in tables.items():
-        out = model["tables"][kind] = {}
-        sums = [sizes.get((lang, kind), 0) + 1000.0 for lang in languages]
-        for token, by in table.items():
-            out[token] = len(rows)
-            rows.append([(by.get(i, 0) + 0.01) / s for i, s in enumerate(sums)])
-    model["matrix"] = np.log(np.array(rows or np.ones((1, max(1, len(languages)))))).astype("float32")
+                    own, n = hash_words(names), times
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "kind": pa.array([order] * len(own), pa.int32()), "h": own.view(np.int64), "n": n})
+
+    counted = small_batches(sample).mapInArrow(giving_back(count), "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(pc.unique(counted["lang"]).to_pylist())
+    lang = pc.index_in(counted["lang"], pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    kind, n, h = counted["kind"].to_numpy(), counted["n"].to_numpy(), counted["h"].to_numpy().view(np.uint64)
+    model: dict = {"languages": names, "kinds": {}}
+    for k in (0, *ORDERS):
+        own = kind == k
+        sums = np.bincount(lang[own], n[own], len(names)) + EXTRA_TOTAL
+        own &= (n > 1) | (k > 0)
+        order = np.lexsort((lang[own], h[own]))
+        hs, ls, ns = h[own][order], lang[own][order], n[own][order]
+        keys, first = np.unique(hs, return_index=True)
+        # what a language's count adds to the logarithm of LEAST_COUNT / total
+        gain = np.log((ns + LEAST_COUNT) / LEAST_COUNT).astype(np.float32)
+        model["kinds"][k] = {"keys": keys, "first": np.append(first, len(hs)).astype(np.int64), "lang": ls.astype(np.int32), "gain": gain, "base": np.log(LEAST_COUNT / sums)}
     return model
 
 
-class Scores(dict):
-    """Row of the score matrix for a word; unseen words back off to n-grams once."""
-
-    def __init__(self, model: dict, bound: int = 100_000):
-        super().__init__()
-        self.tables, self.matrix, self.width = model["tables"], model["matrix"], len(model["languages"])
-        self.rows = np.zeros((bound + 1, self.width), "float32")
-        self.bound = bound
-
-    def vector(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return self.matrix[known]
+class Scores:
+    """Vectors of log frequencies (a number for each language) of words."""
+
+    def __init__(self, model: dict):
+        self.kinds, self.width = model["kinds"], len(model["languages"])
+
+    def find(self, k: int, h: np.ndarray) -> np.ndarray:
+        """Places of hashes among the entries of a kind; -1 for unknown ones."""
+        keys = self.kinds[k]["keys"]
+        if not len(keys):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, at, -1)
+
+    def summed(self, k: int, at: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+        """Sums over entries ``at``, by owner: a rows x width table."""
+        kind = self.kinds[k]
+        n = kind["first"][at + 1] - kind["first"][at]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(kind["first"][at], n)
+        cells = np.repeat(owner, n) * self.width + kind["lang"][places]
+        out = np.bincount(cells, kind["gain"][places], rows * self.width).reshape(rows, self.width)
+        return out + np.bincount(owner, minlength=rows)[:, None] * kind["base"]
+
+    def vectors(self, words: pa.Array) -> np.ndarray:
+        """A row for each word."""
+        at = self.find(0, hash_words(words))
+        known = np.flatnonzero(at >= 0)
+        out = np.zeros((len(words), self.width))
+        out[known] = self.summed(0, at[known], np.arange(len(known)), len(known))
+        unseen = np.flatnonzero(at < 0)
+        if not len(unseen):
+            return out
+        cut = Cut(words.take(pa.array(unseen)))
+        open_ = np.arange(len(unseen))
         for order in ORDERS:
-            table = self.tables[order]
-            if len(word) > LONG:
-                marked, total, n = f"<{word}>", np.zeros(self.width), 0
-                for a in range(0, len(marked) - order + 1, CHUNK):
-                    found = [v for i in range(a, min(a + CHUNK, len(marked) - order + 1)) if (v := table.get(marked[i : i + order])) is not None]
-                    total, n = total + self.matrix[found].sum(0, dtype="float64"), n + len(found)
-                if n:
-                    return (total / n).astype("float32")
-                continue
-            found = [v for v in map(table.get, grams(word, order)) if v is not None]
-            if found:
-                return self.matrix[found].mean(0)
-        return np.zeros(self.width, "float32")
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.rows[at] = self.vector(word)
-        self[word] = at
-        return at
+            left = []
+            part = np.cumsum(cut.lengths[open_]) // CHARACTERS
+            for which in np.split(open_, np.flatnonzero(np.diff(part)) + 1):
+                if not len(which):
+                    continue
+                h, owner = cut.grams(which, order)
+                at = self.find(order, h)
+                hit = at >= 0
+                n = np.bincount(owner[hit], minlength=len(which))
+                some = n > 0
+                sums = self.summed(order, at[hit], owner[hit], len(which))
+                out[unseen[which[some]]] = sums[some] / n[some, None]
+                left.append(which[~some])
+            open_ = np.concatenate(left) if left else open_[:0]
+            if not len(open_):
+                break
+        return out
+
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the vectors of a text's words, number of its words), a row for each text.
+
+        Each distinct word of a run of words is looked up once."""
+        words, owner = split_words(texts, BREAKS)
+        out, n = np.zeros((len(texts), self.width)), np.bincount(owner, minlength=len(texts))
+        step = max(1000, TABLE // max(1, self.width))
+        for a in range(0, len(words) if self.width else 0, step):
+            coded = words.slice(a, step).dictionary_encode()
+            own = owner[a : a + step]
+            rows = self.vectors(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[starts]] += np.add.reduceat(rows, starts, axis=0)
+        return out, n
 
 
 def predictor(model: dict):
-    """text -> (language or ``und``, probability). Ties go to the first language by name."""
+    """texts -> (languages or ``und``, probabilities). Ties go to the first language by name."""
     scores = Scores(model)
-    languages = model["languages"]
-
-    def predict(text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(languages))
-        for a in range(0, len(words), 30_000):
-            if len(scores) + 30_000 > scores.bound:
-                scores.clear()
-            part = words[a : a + 30_000]
-            total += scores.rows[[scores[w] for w in part if len(w) <= LONG]].sum(0, dtype="float64")
-            for w in part:
-                if len(w) > LONG:
-                    total += scores.vector(w)
-        mean = total / len(words) * min(len(words), EVIDENCE)
-        p = np.exp(mean - mean.max())
-        best = int(p.argmax())
-        return languages[best], float(p[best] / p.sum())
+    names = np.array([*model["languages"], UNKNOWN], object)
+
+    def predict(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not scores.width:
+            return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        total, n = scores.totals(texts)
+        mean = total / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
+        p = np.exp(mean - mean.max(1, keepdims=True))
+        # words come in other orders in other runs, which shows in the last digits only
+        p = np.round(p / p.sum(1, keepdims=True), 9)
+        best = p.argmax(1)
+        return names[np.where(n > 0, best, len(names) - 1)], np.where(n > 0, p[np.arange(len(p)), best], 0.0)
 
     return predict
 
@@ -154,33 +197,35 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every text if
-    there was nothing to learn from. held_out is null for a null doc_id.
+    there was nothing to learn from. held_out is null for a null doc_id. Repeated rows are
+    scored each; other columns are ignored.
     """
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work():
+    def run(batches: Iterator) -> Iterator:
         predict = predictor(shared.value)
-        return lambda doc_id, held, text: (doc_id, held, *predict(text))
+        for batch in text_runs(batches, 2):
+            lang, score = predict(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return map_rows(docs.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "text"), ["doc_id", "held_out", "text"], work, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), (crc_remainder("doc_id", 5) == 0).alias("held_out"), "text")
+    return rows.mapInArrow(giving_back(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: dict | None = None, least: float = MIN_SCORE) -> DataFrame:
     """The rows whose language is found with a score of at least ``least``; all columns."""
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    def work():
+    def run(batches: Iterator) -> Iterator:
         predict = predictor(shared.value)
+        for batch in text_runs(batches, at):
+            lang, score = predict(batch.column(at))
+            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least), pa.bool_()))
 
-        def keep(text):
-            lang, score = predict(text)
-            return lang != UNKNOWN and score >= least
-
-        return keep
-
-    return keep_rows(docs, ["text"], work)
+    return small_batches(docs).mapInArrow(giving_back(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -277,27 +279,45 @@ def copies(seed):
     return texts
 
 
+def plain_weights(texts):
+    """Weights of each text's shingles, straight from the definition: exact frequencies over distinct texts."""
+    sets = []
+    for t in texts:
+        words = regex.findall(r"[\p{L}\p{N}_]+", (t or "").lower())
+        n = min(5, len(words))
+        own = {}
+        for i in range(len(words) - n + 1 if words else 0):
+            own[tuple(words[i : i + n])] = own.get(tuple(words[i : i + n]), 0) + 1
+        sets.append(own)
+    first = {(t or ""): own for t, own in zip(texts, sets)}
+    df = {}
+    for own in first.values():
+        for g in own:
+            df[g] = df.get(g, 0) + 1
+    idf = {g: 1 - 0.25 * np.log(max(n / len(first), 1 / 256) * 256) / np.log(256) for g, n in df.items()}
+    return [{g: (1 + np.log(n)) * idf[g] for g, n in own.items()} for own in sets]
+
+
+def plain_similarity(x, y):
+    low = sum(min(w, y[g]) for g, w in x.items() if g in y)
+    union = sum(x.values()) + sum(y.values()) - low
+    return low / union if union else 0.0
+
+
 def plain_classes(texts):
-    make = neardup.shingler()
-    sets = [make(t or "") for t in texts]
-    cells = np.zeros(neardup.CELLS, np.int64)
-    for h, _ in sets:
-        np.add.at(cells, (h >> neardup.CELL_SHIFT).astype(np.int64), 1)
-    idf = neardup.idf_of(cells, len(texts))
-    weighted = [(h, neardup.weights_of(h, n, idf)) for h, n in sets]
+    sets = plain_weights(texts)
     label = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            if (texts[a] or "") == (texts[b] or "") or neardup.weighted_jaccard(weighted[a], weighted[b]) >= 0.8:
+            if (texts[a] or "") == (texts[b] or "") or plain_similarity(sets[a], sets[b]) >= 0.8:
                 x, y = label[a], label[b]
                 label = [min(x, y) if v in (x, y) else v for v in label]
     return label
 
 
-@pytest.mark.parametrize("small", [32, 1])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = copies(6) + [None, "", "one two", "one two", "!!!"]
     found = {r.doc_id: r for r in neardup.classes(docs(spark, texts)).collect()}
     wanted = plain_classes(texts)
@@ -315,16 +335,32 @@ def test_large_buckets_lose_no_borderline_pair(spark, monkeypatch):
         for at in rng.sample(range(0, 400, 10), 4 + i % 3):
             own[at] = rng.choice(words)
         texts.append(" ".join(own))
-    make, idf = neardup.shingler(), np.ones(neardup.CELLS)
-    sets = [(h, neardup.weights_of(h, n, idf)) for h, n in map(make, texts)]
-    near = {(a, b): neardup.weighted_jaccard(sets[a], sets[b]) for a in range(64) for b in range(a + 1, 64)}
+    # a corpus in which every shingle is rare: idf is 1
+    sets = [{g: 1.0 + np.log(n) for g, n in Counter(zip(*(t.split()[k:] for k in range(5)))).items()} for t in texts]
+    near = {(a, b): plain_similarity(sets[a], sets[b]) for a in range(64) for b in range(a + 1, 64)}
     assert any(0.77 < s < 0.8 for s in near.values()) and any(0.8 <= s < 0.83 for s in near.values())
     key = lambda i: bytes([i])
-    rows = [(0, 1, key(i), key(min(i, 60)), key(60), 64, 60, [i] * 16, texts[i]) for i in range(64)]
-    members = spark.createDataFrame(rows, "band int, h long, key binary, root binary, main binary, size long, outside long, bands array<long>, text string")
-    found = [(r.a[0], r.b[0]) for r in neardup.bucket_pairs(members, spark.sparkContext.broadcast(idf), 0.8).collect()]
+    rows = [(0, 1, key(i), key(min(i, 60)), key(60), 64, 60, [i] * 16) for i in range(64)]
+    members = spark.createDataFrame(rows, "band int, h long, key binary, root binary, main binary, size long, outside long, bands array<long>")
+    listed = spark.createDataFrame([(key(i), t) for i, t in enumerate(texts)], "key binary, text string")
+    shared = spark.sparkContext.broadcast(np.ones(neardup.CELLS))
+    found = [(r.a[0], r.b[0]) for r in neardup.bucket_pairs(members, listed, shared, 0.8).collect()]
     wanted = [p for p, s in near.items() if s >= 0.8 and min(p[1], 60) != min(p[0], 60)]
     assert sorted(found) == sorted(wanted)
+    met = spark.createDataFrame([(key(i), key(9), 64) for i in range(64)], "key binary, pivot binary, size long")
+    found = [(r.a[0], r.b[0]) for r in neardup.pivot_pairs(met, listed, shared, 0.8).collect()]
+    assert sorted(found) == sorted(p for p, s in near.items() if s >= 0.8 and 9 in p)
+
+
+def test_document_frequencies_count_distinct_texts_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FAN", 2)
+    texts = [prose(30, i) for i in range(40)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    cells = np.zeros(neardup.CELLS, np.int64)
+    for h, n in neardup.shingles_of(pa.array(texts)):
+        assert (np.diff(h.astype(object)) > 0).all() and n.sum() == 26
+        cells[neardup.cell(h)] += 1
+    assert (neardup.document_frequencies(d) == cells).all()
 
 
 def test_one_of_each_class_stays(spark):
@@ -342,17 +378,23 @@ def test_one_of_each_class_stays(spark):
 
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(3)
-    sampler = neardup.Sampler(np.ones(neardup.CELLS), 64)
+    sampler = neardup.Sampler(np.ones(neardup.CELLS), 384)
     same = []
     for _ in range(30):
         h = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))
         a, b = h[:200], h[40:240]
-        short = sampler.short([(a, np.ones(len(a))), (b, np.where(b < h[100], 2, 1))])
-        same.append((short[0] == short[1]).mean())
+        pair = np.stack(list(sampler.samples([(a, np.ones(len(a))), (b, np.where(b < h[100], 2, 1))])))
+        same.append((pair[:, 0] == pair[:, 1]).mean())
     # 160 in common, 60 of them with weight 1 against 1 + ln 2
     assert abs(np.mean(same) - 160 / (240 + 60 * np.log(2))) < 0.02
 
 
+def test_near_duplicates_take_any_columns(spark):
+    d = docs(spark, ["a b c d e f", "a b c d e f", None, "x"], ids=[2, 1, None, 3]).withColumnsRenamed({"lang": "_key", "source": "rid", "spans": "row", "score": "n"})
+    kept = neardup.keep_first(d.withColumn("_key", F.col("doc_id")))
+    assert kept.columns == d.columns and sorted((r.doc_id, r._key) for r in kept.collect() if r.doc_id) == [(1, 1), (3, 3)]
+
+
 # --- op8
 def test_language(spark):
     words = {"en": ["house", "water", "green", "the"], "de": ["haus", "wasser", "grün", "der"]}

@@ -69,16 +69,65 @@ def test_secrets_equal_plain_patterns(spark):
         assert [s for s in r.spans.split(",") if s and not s.startswith("markov")] == [s for s in written.split(",") if s]
 
 
-def test_markov_models_tell_keys_from_words():
+def markov_model(threshold=8.0):
     plain = np.zeros((secrets.SIZE, secrets.SIZE))
     secrets.count_chain((w for w in prose(5000, 2, ["configuration", "getUserName", "max_retry_count", "international", "handleRequest", "thenerationing"]).split()), plain)
     chance = np.zeros_like(plain)
     secrets.count_chain(secrets.generated_secrets(), chance)
-    table = secrets.ratio_table(chance, plain).tolist()
-    hits = sum(any(k == 3 for _, k, _ in secrets.all_spans(f"say {s} here", table)) or bool(secrets.base_spans(s)) for s in secrets.generated_secrets(200, 99))
+    return {"table": secrets.ratio_table(chance, plain).tolist(), "threshold": threshold}
+
+
+def test_markov_models_tell_keys_from_words():
+    model = markov_model()
+    hits = sum(any(k == 3 for _, k, _ in secrets.all_spans(f"say {s} here", model)) for s in secrets.generated_secrets(200, 99))
     assert hits >= 180
-    assert not secrets.all_spans("getUserNameConfiguration internationalconfiguration", table)
-    assert secrets.redacted("a token=abcdefgh b", table) == "a [secret] b" and secrets.redacted(None, table) is None
+    assert not secrets.all_spans("getUserNameConfiguration internationalconfiguration", model)
+    # over a base span too, which stays
+    key = secrets.generated_secrets(2, 5)[1]
+    assert secrets.all_spans(f"token={key}", model) == [(0, 0, 6 + len(key)), (6, 3, 6 + len(key))]
+    assert secrets.redacted("a token=abcdefgh b", model) == "a [secret] b" and secrets.redacted(None, model) is None
+
+
+def test_markov_training_equals_plain(spark):
+    rng = random.Random(3)
+    names = ["configuration", "getUserName", "max_retry_count", "internationalconfiguration", "handleRequestFromServer", "thenerationingtheother"]
+    texts = [prose(30, i, names) + f" token = '{secrets.generated_secrets(1, i)[0]}' " + "".join(rng.choice("abcdef0123456789") for _ in range(40)) for i in range(40)]
+    model = secrets.train(docs(spark, [*texts, None, ""]))
+    # transitions counted with dictionaries of pairs, and scores from probabilities
+    pairs, held = [{}, {}], [[], []]
+    for text in texts:
+        found = plain_spans(text)
+        values = [re.split(r"[\s:=\"']+", text[a:b])[-1] for a, _, b in found]
+        rest = "".join(c if not any(a <= i < b for a, _, b in found) else "\0" for i, c in enumerate(text))
+        for label, tokens in enumerate((re.findall(r"[A-Za-z0-9+/_-]{6,}={0,2}", rest), values)):
+            for t in tokens:
+                held[label].append(t) if secrets.held_out(t) else [pairs[label].__setitem__(p, pairs[label].get(p, 0) + 1) for p in zip("^" + t, t) if set(p) <= set(secrets.ALPHABET + "^")]
+    for k in secrets.generated_secrets():
+        held[1].append(k) if secrets.held_out(k) else [pairs[1].__setitem__(p, pairs[1].get(p, 0) + 1) for p in zip("^" + k, k)]
+
+    def probability(label, a, b):
+        return (pairs[label].get((a, b), 0) + 1) / (sum(n for (x, _), n in pairs[label].items() if x == a) + secrets.SIZE)
+
+    def score(t):
+        return sum(np.log(probability(1, a, b) / probability(0, a, b)) for a, b in zip("^" + t, t))
+
+    fit = lambda t: re.fullmatch(r"[A-Za-z0-9+/_-]{16,}={0,2}", t)
+    for t in [*secrets.generated_secrets(20, 77), "internationalconfiguration", "aaaaaaaaaaaaaaaaaa"]:
+        assert secrets.log_ratio(t, model["table"]) == pytest.approx(score(t))
+    accepted = [[score(t) >= model["threshold"] for t in own if fit(t)] for own in held]
+    assert model["false_rate"] == pytest.approx(np.mean(accepted[0]) if accepted[0] else 0) and model["recall"] == pytest.approx(np.mean(accepted[1]))
+    assert model["recall"] > 0.95 and model["threshold"] >= 0
+    found = secrets.scan(docs(spark, [*texts, *texts[:1], None], ids=[*range(40), None, 7]), model)
+    assert found.count() == 42 and found.where("doc_id IS NULL").first().n_markov > 0
+    assert sum(r.n_markov > 0 for r in found.collect()) >= 40
+
+
+def test_threshold_is_the_cheapest():
+    plain, chance = np.zeros(801), np.zeros(801)
+    plain[380:405], chance[440:500] = 1, 2  # identifiers to 4 nats, secrets from 40
+    at, recall, wrong = secrets.best_threshold(plain, chance)
+    assert 4 < at <= 40 and recall == 1 and wrong == 0
+    assert secrets.best_threshold(np.zeros(801), np.zeros(801))[0] >= 0
 
 
 def test_redaction_keeps_rows_and_columns(spark):

@@ -3,8 +3,10 @@
 Two first-order Markov chains over characters are trained from labelled samples: one of
 random strings (values that the fixed patterns found, and generated keys of the usual
 alphabets), one of ordinary identifiers (other tokens of the same texts). A token of
-``MIN_LENGTH`` or more characters is a secret if the log-likelihood ratio of the two
-chains reaches ``threshold`` nats in all and ``per_char`` nats for each character.
+``MIN_LENGTH`` or more characters is a secret if the log-likelihood ratio of the two chains
+reaches a threshold. The threshold is fitted on the samples that the chains have not seen (a
+quarter, by a hash of the string); its recall and false-positive rate there are part of the
+model. Such tokens are spans of their own, whether or not a fixed pattern covers them too.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +32,19 @@ ASSIGN_LENGTH = 6
 KINDS = ("assign", "access", "hex", "markov")
 
 MIN_LENGTH = 16
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+IDENTIFIER = re.compile(r"[A-Za-z0-9+/_-]{6,}={0,2}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PLACE = {c: i for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1  # and one for start
 
+#: Documents whose tokens are labelled samples, at most, and generated keys.
 SAMPLE_DOCS = 4000
 GENERATED = 3000
-THRESHOLD = 12.0
-PER_CHAR = 0.6
+#: A wrongly accepted share of the held-out identifiers costs so much more than a missed share of secrets.
+FALSE_COST = 10.0
+#: Scores are counted by whole nats within these bounds.
+LEAST, MOST = -400, 400
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,38 +82,85 @@ def ratio_table(random_counts: np.ndarray, plain_counts: np.ndarray) -> np.ndarr
     return np.log(p / p.sum(1, keepdims=True)) - np.log(q / q.sum(1, keepdims=True))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[list[float]]:
-    """The table of log ratios, from at most ``sample_docs`` documents (by hash of doc_id).
+def held_out(token: str) -> bool:
+    """Whether a sample is kept from the chains, to fit the threshold."""
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 29) % 4 == 0
 
-    Samples are labelled by the fixed patterns. Each task sends one SIZE x SIZE matrix for
-    each label; sums have at most 2 * SIZE * SIZE rows. Without documents the ordinary
-    chain is uniform.
+
+def samples(text: str) -> tuple[list[str], list[str]]:
+    """(ordinary identifiers, secrets) of a text, as the fixed patterns label them."""
+    spans = base_spans(text)
+    cut, at = [], 0
+    for a, _, b in spans:
+        cut.append(text[at:a])
+        at = max(at, b)
+    cut.append(text[at:])
+    return [t for piece in cut for t in IDENTIFIER.findall(piece)], [re.split(r"[\s:=\"']+", text[a:b])[-1] for a, _, b in spans]
+
+
+def best_threshold(plain: np.ndarray, chance: np.ndarray) -> tuple[float, float, float]:
+    """(threshold, recall, false-positive rate) from numbers of held-out samples by nat (LEAST to
+    MOST): the least cost of missed and wrongly accepted shares, in the middle of equals. Not
+    under 0, where the ordinary chain explains a token better."""
+    missed = np.concatenate([[0], np.cumsum(chance)[:-1]]) / max(1, chance.sum())
+    wrong = np.cumsum(plain[::-1])[::-1] / max(1, plain.sum())
+    cost = missed + FALSE_COST * wrong
+    allowed = np.arange(LEAST, MOST + 1) >= 0
+    equal = np.flatnonzero(allowed & (cost <= cost[allowed].min() + 1e-12))
+    run = equal[: np.argmax(np.diff(equal, append=equal[-1] + 2) > 1) + 1]
+    at = int(run[len(run) // 2])
+    return float(at + LEAST), float(1 - missed[at]), float(wrong[at])
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
+    """``table`` of log ratios, ``threshold``, its ``recall`` and ``false_rate``, from the tokens
+    of at most about ``sample_docs`` documents (by hash of doc_id).
+
+    Each task sends one SIZE x SIZE matrix for each label, then a count by nat, so sums have
+    2 * SIZE * SIZE rows at most. Without documents the ordinary chain is uniform.
     """
-    sample = bounded_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", sample_docs)
+    import pyarrow as pa
 
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    sample = small_batches(bounded_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", sample_docs)).select("text")
 
-        sums = np.zeros((2, SIZE, SIZE))
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                count_chain((re.split(r"[\s:=\"']+", text[a:b])[-1] for a, _, b in spans), sums[1])
-                cut, at = [], 0
-                for a, _, b in spans:
-                    cut.append(text[at:a])
-                    at = max(at, b)
-                cut.append(text[at:])
-                count_chain((t for piece in cut for t in IDENTIFIER.findall(piece)), sums[0])
-        label, a, b = np.nonzero(sums)
-        yield pa.RecordBatch.from_pydict({"label": label.astype("int32"), "a": a.astype("int32"), "b": b.astype("int32"), "n": sums[label, a, b]})
-
-    rows = small_batches(sample).select("text").mapInArrow(giving_back(count), "label int, a int, b int, n double").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect()
-    sums = np.zeros((2, SIZE, SIZE))
-    for r in rows:
-        sums[r["label"], r["a"], r["b"]] = r["n"]
-    count_chain(generated_secrets(), sums[1])
-    return ratio_table(sums[1], sums[0]).tolist()
+    def summed(make, shape) -> np.ndarray:
+        """Sums over tasks of the arrays that ``make(array, text)`` adds to."""
+
+        def count(batches: Iterator) -> Iterator:
+            sums = np.zeros(shape)
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    make(sums, text)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict({"at": at.astype("int64"), "n": sums.ravel()[at]})
+
+        out = np.zeros(shape)
+        for r in sample.mapInArrow(giving_back(count), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out.ravel()[r["at"]] = r["n"]
+        return out
+
+    def chains(sums: np.ndarray, text: str) -> None:
+        for label, tokens in enumerate(samples(text)):
+            count_chain((t for t in tokens if not held_out(t)), sums[label])
+
+    sums = summed(chains, (2, SIZE, SIZE))
+    keys = generated_secrets()
+    count_chain((k for k in keys if not held_out(k)), sums[1])
+    table = ratio_table(sums[1], sums[0]).tolist()
+
+    def ratios(sums: np.ndarray, text: str) -> None:
+        for label, tokens in enumerate(samples(text)):
+            add_ratios(sums[label], tokens)
+
+    def add_ratios(sums: np.ndarray, tokens) -> None:
+        for t in tokens:
+            if len(t) >= MIN_LENGTH and TOKEN.fullmatch(t) and held_out(t):
+                sums[min(MOST, max(LEAST, int(np.floor(log_ratio(t, table))))) - LEAST] += 1
+
+    by_nat = summed(ratios, (2, MOST - LEAST + 1))
+    add_ratios(by_nat[1], keys)
+    threshold, recall, false_rate = best_threshold(by_nat[0], by_nat[1])
+    return {"table": table, "threshold": threshold, "recall": recall, "false_rate": false_rate, "held_out": by_nat.sum(1).astype(int).tolist()}
 
 
 def log_ratio(token: str, table: list[list[float]]) -> float:
@@ -119,16 +172,11 @@ def log_ratio(token: str, table: list[list[float]]) -> float:
     return total
 
 
-def all_spans(text: str, table, threshold: float = THRESHOLD, per_char: float = PER_CHAR) -> list[tuple[int, int, int]]:
-    """Base spans and, where none of these overlaps, tokens that the models find random."""
-    spans = base_spans(text)
-    more = []
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        score = log_ratio(m.group(), table)
-        if score >= threshold and score >= per_char * (b - a) and not any(x < b and a < y for x, _, y in spans):
-            more.append((a, 3, b))
-    return sorted(spans + more) if more else spans
+def all_spans(text: str, model: dict) -> list[tuple[int, int, int]]:
+    """Base spans and the tokens that the models find random, by start, then kind."""
+    table, threshold = model["table"], model["threshold"]
+    more = [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if log_ratio(m.group(), table) >= threshold]
+    return sorted(base_spans(text) + more) if more else base_spans(text)
 
 
 def written(spans) -> str:
@@ -138,20 +186,20 @@ def written(spans) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long"
 
 
-def scan(docs: DataFrame, table=None) -> DataFrame:
+def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """One row for each row: counts of the fixed kinds, a digest of their spans, all spans.
 
     Null texts count as empty: no spans. Null doc_ids and repeated rows keep their rows;
     other columns are ignored.
     """
-    table = train(docs) if table is None else table
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    model = train(docs) if model is None else model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
-        table = shared.value
+        model = shared.value
 
         def one(doc_id, text):
-            spans = all_spans(text or "", table)
+            spans = all_spans(text or "", model)
             base = [s for s in spans if s[1] < 3]
             n = [0, 0, 0, 0]
             for s in spans:
@@ -166,33 +214,33 @@ def scan(docs: DataFrame, table=None) -> DataFrame:
 MARK = "[secret]"
 
 
-def redacted(text: str | None, table) -> str | None:
+def redacted(text: str | None, model: dict) -> str | None:
     """The text with every span, merged where spans overlap, replaced by ``MARK``."""
     if not text:
         return text
     out, at = [], 0
-    for a, _, b in all_spans(text, table):
+    for a, _, b in all_spans(text, model):
         if a >= at:
             out += [text[at:a], MARK]
         at = max(at, b)
     return "".join(out) + text[at:] if out else text
 
 
-def redact(docs: DataFrame, table=None) -> DataFrame:
+def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """``docs`` with secrets replaced in ``text`` (and ``n_chars``, where there is such a
     column, counted anew); same rows and columns. Null texts stay null."""
     import pyarrow as pa
 
-    table = train(docs) if table is None else table
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    model = train(docs) if model is None else model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")
     types = dict(docs.dtypes)
 
     def run(batches: Iterator) -> Iterator:
-        table = shared.value
+        model = shared.value
         for batch in batches:
-            texts = [redacted(t, table) for t in batch.column(at).to_pylist()]
+            texts = [redacted(t, model) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if types.get("n_chars") == "bigint":

@@ -529,34 +529,59 @@ def test_language_takes_null_and_repeated_ids(spark):
 
 
 # --- op9
-def plain_license(text):
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions are met:",
+    "apache-2.0": " * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file\n * except in compliance with the License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.",
+}
+
+
+def plain_license(text, templates=None):
+    """Every window of words against every template."""
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
     places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, best = {label for _, label in places}, 0.0
-    for line in re.split("[\r\n]+", low):
-        own = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line))
-        for label, template in licenses.templates_of():
-            share = len(own & set(template)) / len(template)
-            if share >= licenses.THRESHOLD - 1e-9:
-                labels.add(label)
-                best = max(best, share)
+    for label, template in templates or licenses.TEMPLATES:
+        own, width = set(template.split()), max(len(template.split()) + 2, -(-len(template.split()) * 5 // 4))
+        share = max(len(own & set(words[i : i + width])) for i in range(max(1, len(words)))) / len(own)
+        if share >= licenses.THRESHOLD - 1e-9:
+            labels.add(label)
+            best = max(best, share)
     return len(words), len(places), sorted(i for i, _ in places), ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)), 1.0 if places else best
 
 
 def test_licenses_equal_plain(spark):
     rng = random.Random(4)
-    texts = [*ODD, "CC BY cc-by. by cc by", "GNU General\nPublic License; all rights reserved", "scc by", "cc byé", "x_cc_by_1", "all rights\x7freserved ccby", "\nby cc by\r\n\n"]
+    texts = [*ODD, *SECRETS, "CC BY cc-by. by cc by", "GNU General\nPublic License; all rights reserved", "scc by", "cc byé", "x_cc_by_1", "all rights\x7freserved ccby", "\nby cc by\r\n\n"]
     for _, template in licenses.TEMPLATES:
         words = template.split()
         texts += ["intro line\n" + template.upper() + "\nend", " ".join(words[::-1]), " ".join(w for w in words if rng.random() < 0.85), "a\n" + " ".join(words[: len(words) // 2]) + "\n" + " ".join(words[len(words) // 2 :])]
+        texts.append("\n".join([*(w for w in words if rng.random() < 0.9), prose(40, len(texts)), *words[: len(words) // 2]]))
+        texts.append("\n".join(w + rng.choice(["", " x", " x y"]) for w in words))
+    texts += ["intro\n" + t + "\nend" for t in NOTICES.values()]
+    texts += ["mit\n" * 300, "the license\nunder " * 50 + "\nmit", prose(20_000, 3, [*WORDS, "license", "mit", "under"]), texts[20], texts[20]]
     found = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert len(found) == len(texts)
     for i, t in enumerate(texts):
         n, base, at, base_labels, labels, score = plain_license(t)
         r = found[i]
         assert (r.n_words, r.n_base, r.base_labels, r.labels) == (n, base, base_labels, labels), t
         assert (r.first_word, r.last_word) == ((at[0], at[-1]) if at else (None, None)) and r.score == pytest.approx(score)
-    assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(docs(spark, ["a"], ids=[None])).count() == 1
+    assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(docs(spark, ["a", "a", "a"], ids=[None, 2, 2])).count() == 3
+
+
+def test_licenses_take_hundreds_of_templates(spark):
+    rng = random.Random(6)
+    vocabulary = [f"t{i}" for i in range(300)]
+    templates = [(f"l{i}", " ".join(rng.sample(vocabulary, rng.randint(2, 20)))) for i in range(250)]
+    texts = [" ".join(rng.choice([prose(1, i), rng.choice(vocabulary)]) for _ in range(60)) + " " + templates[i][1] for i in range(30)]
+    found = {r.doc_id: r for r in licenses.scan(docs(spark, texts), templates=templates).collect()}
+    for i, t in enumerate(texts):
+        *_, labels, score = plain_license(t, templates)
+        assert (found[i].labels, found[i].score) == (labels, pytest.approx(score)) and f"l{i}" in labels.split(",")
 
 
 def test_one_line_grants(spark):
@@ -569,46 +594,6 @@ def test_one_line_grants(spark):
     assert [found[i] for i in range(len(texts))] == list(texts.values())
 
 
-NOTICES = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
-    "bsd": "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions are met:",
-    "apache-2.0": " * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file\n * except in compliance with the License.",
-    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n\nLicense, v. 2.0.",
-}
-
-
-def plain_wrapped(text):
-    """Labels and best share of lines and of windows of words."""
-    *_, labels, score = plain_license(text)
-    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
-    words, labels = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low), set(filter(None, labels.split(",")))
-    for label, template in licenses.TEMPLATES:
-        own, width = set(template.split()), licenses.window_of(template, licenses.THRESHOLD)
-        share = max(len(own & set(words[i : i + width])) for i in range(max(1, len(words)))) / len(own)
-        if share >= licenses.THRESHOLD - 1e-9 and re.search("[\r\n]", low):
-            labels.add(label)
-            score = max(score, share)
-    return ",".join(sorted(labels)), score
-
-
-def test_wrapped_notices(spark):
-    rng = random.Random(9)
-    texts = ["intro\n" + t + "\nend" for t in NOTICES.values()]
-    for _, template in licenses.TEMPLATES:
-        words = [w for w in template.split() if rng.random() < 0.9]
-        texts.append("\n".join([*words, prose(40, len(texts)), *template.split()[: len(words) // 2]]))
-        texts.append("\n".join(w + rng.choice(["", " x", " x y"]) for w in template.split()))
-    texts += [None, "", "\n", "mit\n" * 300, "the license\nunder " * 50 + "\nmit", *ODD]
-    found = {r.doc_id: r for r in licenses.scan(docs(spark, texts), wrapped=True).collect()}
-    assert len(found) == len(texts)
-    for i, label in enumerate(NOTICES):
-        assert label in found[i].labels.split(",") and found[i].score >= 0.8
-    for i, t in enumerate(texts):
-        labels, score = plain_wrapped(t)
-        assert found[i].labels == labels and found[i].score == pytest.approx(score), t
-
-
 # --- op10
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer

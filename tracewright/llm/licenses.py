@@ -1,11 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Tokens of the templates are ordered by their frequency over the whole corpus, rarest
-first. A block (a line of a text) and a template can meet the containment threshold
-only if one of the template's first ``|T| - need + 1`` tokens lies in the block (prefix
-filter), the block has ``need`` template tokens at all (length filter), and the tokens
-left after the first common one suffice (positional filter); what passes is verified.
-Everything is built-in column expressions, evaluated in the row: no shuffle, no Python.
+A block is any run of consecutive words of a text, as long as the template (and a little
+longer, see ``window_of``), wherever lines break; it must hold at least the threshold's
+share of the template's distinct tokens. Tokens are ordered by their frequency over the
+whole corpus, rarest first, and the templates' prefixes (their first ``|T| - need + 1``
+tokens) are an index that a broadcast join meets with the words of the texts: every block
+that meets the threshold holds a prefix token (prefix filter). Around such a word only
+tokens not rarer than it count, as blocks with a rarer one are found from that (positional
+filter), and there must be ``need`` of them at all (length filter). What passes is verified
+block by block. Built-in expressions only: no Python on executors.
 """
 
 from __future__ import annotations
@@ -86,98 +89,64 @@ def needed(size: int, threshold: float) -> int:
     return max(1, -int(-(size * threshold - 1e-9) // 1))
 
 
-def template_labels(low: Column, frequencies: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[Column, Column]:
-    """(labels, best containment) of the templates that some line of the text contains.
-
-    The array of labels may repeat a label; no match gives an empty array and 0.
-    """
-    order = sorted(frequencies, key=lambda w: (frequencies[w], w))
-    rank = {w: i for i, w in enumerate(order)}
-    ranks = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    plans = []
-    for label, words in templates_of(templates):
-        tokens = sorted(rank[w] for w in words)
-        need = needed(len(tokens), threshold)
-        plans.append((label, tokens, need, tokens[: len(tokens) - need + 1]))
-    first = sorted({order[t] for _, _, _, prefix in plans for t in prefix})
-    none = F.array().cast("array<struct<label:string,share:double>>")
-
-    def matches(block: Column) -> Column:
-        # a block is the sorted distinct template tokens of a line, so merely short ones fall out by size
-        def one(label: str, tokens: list[int], need: int, prefix: list[int]) -> Column:
-            whole = F.array(*[F.lit(t) for t in tokens])
-            common = F.array_intersect(whole, block)
-            met = F.element_at(F.array_intersect(F.array(*[F.lit(t) for t in prefix]), block), 1)
-            left_block = F.size(block) - F.array_position(block, met) + 1
-            left_tokens = F.lit(len(tokens)) - F.array_position(whole, met) + 1
-            share = F.size(common) / F.lit(float(len(tokens)))
-            return F.when(
-                (F.size(block) >= need) & F.arrays_overlap(block, F.array(*[F.lit(t) for t in prefix])),
-                F.when((F.least(left_block, left_tokens) >= need) & (F.size(common) >= need), F.struct(F.lit(label).alias("label"), share.alias("share"))),
-            )
-
-        return F.filter(F.array(*[one(*p) for p in plans]), lambda x: x.isNotNull())
-
-    blocks = F.transform(
-        F.split(low, "[\\r\\n]+"),
-        lambda line: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.trim(F.regexp_replace(line, BREAK, " ")), " "), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull()))),
-    )
-    shortest = min(need for _, _, need, _ in plans)
-    found = F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b) >= shortest), matches))
-    could = low.rlike("(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(first) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])")
-    found = F.when(could, found).otherwise(none)
-    return F.transform(found, lambda x: x["label"]), F.coalesce(F.array_max(F.transform(found, lambda x: x["share"])), F.lit(0.0))
-
-
 def window_of(words: str, threshold: float) -> int:
-    """Words of a text among which a template is looked for across lines: its own number, and
-    as many more as the threshold allows, two at least."""
+    """Words of a block for a template: its own number, and as many more as the threshold
+    allows, two at least."""
     n = len(words.split())
     return max(n + 2, -int(-(n / threshold) // 1))
 
 
-def window_matches(low: Column, frequencies: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """Label and containment of the templates that some window of consecutive words contains,
-    wherever lines break. Only windows with a token of the template's prefix are looked at."""
-    order = {w: i for i, w in enumerate(sorted(frequencies, key=lambda w: (frequencies[w], w)))}
-    plans = []
+def prefix_index(spark: SparkSession, frequencies: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str], list[str], int]:
+    """(index, its tokens, all templates' tokens, longest block). The index has a row for each
+    prefix token of each template: w, label, after (tokens not rarer than w), need, width,
+    total. Its size is that of the list of templates, whatever the corpus."""
+    rank = {w: i for i, w in enumerate(sorted(frequencies, key=lambda w: (frequencies[w], w)))}
+    rows = []
     for label, words in templates:
-        tokens = sorted(set(words.split()), key=order.get)
-        need = needed(len(tokens), threshold)
-        plans.append((label, tokens, need, tokens[: len(tokens) - need + 1], window_of(words, threshold)))
+        tokens = sorted(set(words.split()), key=rank.get)
+        need, width = needed(len(tokens), threshold), window_of(words, threshold)
+        rows += [(tokens[k], label, tokens[k:], need, width, len(tokens)) for k in range(len(tokens) - need + 1)]
+    index = spark.createDataFrame(rows, "w string, label string, after array<string>, need int, width int, total int")
+    return index, sorted({r[0] for r in rows}), sorted(rank), max(r[4] for r in rows)
+
 
-    def one(hits: Column, label: str, tokens: list[str], need: int, prefix: list[str], width: int) -> Column:
-        def most(own: Column) -> Column:
-            rare = F.filter(F.transform(own, lambda x, j: F.struct(x["at"].alias("at"), x["w"].alias("w"), j.alias("j"))), lambda x: x["w"].isin(prefix))
+def template_matches(low: DataFrame, frequencies: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """key, found (sorted labels), share (best containment) of each text (key, low) that has a
+    block of any template; texts of one key are equal."""
+    index, first, vocabulary, most = prefix_index(low.sparkSession, frequencies, templates, threshold)
+    words = F.split(F.trim(F.regexp_replace(F.col("low"), BREAK, " ")), " ")
 
-            def around(p: Column) -> Column:
-                def windows(near: Column) -> Column:
-                    starts = F.filter(near, lambda x: (x["at"] <= p["at"]) & (x["at"] > p["at"] - width))
-                    inside = lambda x: F.filter(near, lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + width))
-                    return F.when(F.size(near) >= need, F.array_max(F.transform(starts, lambda x: F.size(F.array_distinct(F.transform(inside(x), lambda y: y["w"]))))))
+    def around(ws: Column) -> Column:
+        """The prefix tokens among the words, each with the template tokens near it."""
+        hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
 
-                # a window has ``width`` hits at most, on either side of the rare one
-                return let(F.slice(own, F.greatest(p["j"] + 2 - width, F.lit(1)), 2 * width - 1), windows)
+        def marked(all_: Column) -> Column:
+            placed = F.filter(F.transform(all_, lambda x, j: F.struct(x["at"].alias("at"), x["w"].alias("w"), j.alias("j"))), lambda x: x["w"].isin(first))
+            # a block has ``most`` hits at most, on either side of the prefix token
+            return F.transform(placed, lambda x: F.struct(x["at"].alias("p"), x["w"].alias("w"), F.slice(all_, F.greatest(x["j"] + 2 - most, F.lit(1)), 2 * most - 1).alias("near")))
 
-            return F.array_max(F.transform(rare, around))
+        return F.when(F.exists(ws, lambda w: w.isin(first)), let(hits, marked))
 
-        best = let(F.filter(hits, lambda x: x["w"].isin(tokens)), lambda own: F.when(F.size(own) >= need, most(own)))
-        return let(best, lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / F.lit(float(len(tokens)))).alias("share"))))
+    met = low.select("key", F.explode(let(words, around)).alias("x")).select("key", "x.*").join(F.broadcast(index), "w")
+    own = F.filter("near", lambda x: (x["at"] > F.col("p") - F.col("width")) & (x["at"] < F.col("p") + F.col("width")) & F.array_contains("after", x["w"]))
+    kept = met.select("key", "label", "need", "width", "total", "p", own.alias("own"))
+    kept = kept.where(F.size(F.array_distinct(F.transform("own", lambda x: x["w"]))) >= F.col("need"))
 
-    vocabulary = sorted(order)
-    words = F.split(F.trim(F.regexp_replace(low, BREAK, " ")), " ")
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
-    found = let(hits, lambda h: F.filter(F.array(*[one(h, *p) for p in plans]), lambda x: x.isNotNull()))
-    first = sorted({w for _, _, _, prefix, _ in plans for w in prefix})
-    could = low.rlike("[\\r\\n]") & low.rlike("(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(first) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])")
-    return F.when(could, found).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    def distinct_from(x: Column) -> Column:
+        inside = F.filter("own", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width")))
+        return F.size(F.array_distinct(F.transform(inside, lambda y: y["w"])))
 
+    starts = F.filter("own", lambda x: (x["at"] <= F.col("p")) & (x["at"] > F.col("p") - F.col("width")))
+    found = kept.select("key", "label", "need", "total", F.array_max(F.transform(starts, distinct_from)).alias("n")).where("n >= need")
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max(F.col("n") / F.col("total").cast("double")).alias("share"))
 
-def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+
+def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds nothing to and drops nothing from the rows: one result row for each input row.
 
-    A block is a line; with ``wrapped`` also every window of consecutive words, so that
-    notices wrapped over lines are found too.
+    ``labels`` has those of the phrases and of the templates that a block of the text
+    contains; ``score`` is 1 where a phrase stands, else the best containment of a block that
+    meets the threshold, else 0.
 
     Null and empty texts: no words, no labels, score 0. Null doc_ids are carried through;
     repeated rows each get their result. Other columns of ``docs`` are ignored.
@@ -185,8 +154,9 @@ def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=T
     rows = docs.select("doc_id", "text")
     if frequencies is None:
         frequencies = token_frequencies(rows, templates)
-    low = rows.select("doc_id", lowered(F.col("text")).alias("low"))
-    flat = low.select("doc_id", "low", spaced(F.col("low")).alias("flat"))
+    low = rows.select("doc_id", lowered(F.col("text")).alias("low")).withColumn("key", F.unhex(F.md5("low")))
+    matches = template_matches(low, frequencies, templates, threshold)
+    flat = low.select("doc_id", "key", spaced(F.col("low")).alias("flat"))
     any_phrase = reduce(lambda a, b: a | b, [F.col("flat").contains(f" {p} ") for p, _ in PHRASES])
     words = F.split(F.trim(F.col("flat")), " ")
 
@@ -200,28 +170,19 @@ def scan(docs: DataFrame, frequencies: dict[str, int] | None = None, templates=T
         return F.flatten(F.array(*[places(ws, p, name) for p, name in PHRASES]))
 
     empty = F.array().cast("array<struct<at:long,label:string>>")
-    labels, share = template_labels(F.col("low"), frequencies, templates, threshold)
-    if wrapped:
-        across = window_matches(F.col("low"), frequencies, templates, threshold)
-        flat = flat.withColumn("across", across)
-        labels = F.concat(labels, F.transform("across", lambda x: x["label"]))
-        share = F.greatest(share, F.array_max(F.transform("across", lambda x: x["share"])))
-    out = flat.select(
-        "doc_id",
-        F.when(F.length("flat") <= 2, F.lit(0)).otherwise(F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"),
-        F.when(any_phrase, let(words, starts)).otherwise(empty).alias("base"),
-        labels.alias("found"),
-        share.alias("share"),
-    )
+    n_words = F.when(F.length("flat") <= 2, F.lit(0)).otherwise(F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) - 1)
+    base = flat.select("doc_id", "key", n_words.cast("long").alias("n_words"), F.when(any_phrase, let(words, starts)).otherwise(empty).alias("base"))
+    out = base.join(matches, "key", "left")
+    by_phrase = F.array_distinct(F.transform("base", lambda b: b["label"]))
     return out.select(
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),
         F.array_min(F.transform("base", lambda b: b["at"])).alias("first_word"),
         F.array_max(F.transform("base", lambda b: b["at"])).alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(F.transform("base", lambda b: b["label"]), F.col("found")))), ",").alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.col("share")).alias("score"),
+        F.array_join(F.array_sort(by_phrase), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(by_phrase, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 
 
@@ -229,29 +190,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
-def query_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents"), wrapped=True)
-
-
 def _oracle() -> str:
-    words = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    words = "regexp_extract_all(low, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
     def places(phrase: str) -> str:
         return "[i FOR i IN range(len(ws)) IF " + " AND ".join(f"coalesce(ws[i + {k + 1}] = '{w}', FALSE)" for k, w in enumerate(phrase.split())) + "]"
 
-    def share(tokens: list[str]) -> str:
-        listed = ", ".join(f"'{t}'" for t in tokens)
-        return f"list_max([len(list_intersect(b, [{listed}])) FOR b IN blocks]) / CAST({len(tokens)} AS DOUBLE)"
+    def most(template: str) -> str:
+        listed = ", ".join(f"'{t}'" for t in sorted(set(template.split())))
+        need = needed(len(set(template.split())), THRESHOLD)
+        return f"CASE WHEN len(list_intersect(ds, [{listed}])) >= {need} THEN list_max([len(list_intersect(list_distinct(ws[i + 1:i + {window_of(template, THRESHOLD)}]), [{listed}])) FOR i IN range(len(ws))]) ELSE 0 END"
 
-    plans = [(label, tokens, needed(len(tokens), THRESHOLD) / len(tokens)) for label, tokens in templates_of()]
-    found = ", ".join(f"CASE WHEN s[{i + 1}] >= CAST({least!r} AS DOUBLE) - 1e-9 THEN '{label}' END" for i, (label, _, least) in enumerate(plans))
-    shares = ", ".join(f"CASE WHEN s[{i + 1}] >= CAST({least!r} AS DOUBLE) - 1e-9 THEN s[{i + 1}] END" for i, (_, _, least) in enumerate(plans))
+    plans = [(label, len(set(t.split())), needed(len(set(t.split())), THRESHOLD)) for label, t in TEMPLATES]
+    found = ", ".join(f"CASE WHEN s[{i + 1}] >= {need} THEN '{label}' END" for i, (label, _, need) in enumerate(plans))
+    shares = ", ".join(f"CASE WHEN s[{i + 1}] >= {need} THEN s[{i + 1}] / CAST({n} AS DOUBLE) END" for i, (_, n, need) in enumerate(plans))
     base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))
     every = " || ".join(f"p{i}" for i in range(len(PHRASES)))
     sort = "array_to_string(list_sort(list_distinct([x FOR x IN {0} IF x IS NOT NULL])), ',')"
     return f"""WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS low FROM documents),
-w AS (SELECT doc_id, {words.format("low")} AS ws, [list_distinct({words.format("line")}) FOR line IN string_split_regex(low, '[\\r\\n]+')] AS blocks FROM low),
-p AS (SELECT doc_id, len(ws) AS n_words, {", ".join(f"{places(p)} AS p{i}" for i, (p, _) in enumerate(PHRASES))}, [{", ".join(share(t) for _, t, _ in plans)}] AS s FROM w),
+w AS (SELECT doc_id, {words} AS ws, list_distinct({words}) AS ds FROM low),
+p AS (SELECT doc_id, len(ws) AS n_words, {", ".join(f"{places(p)} AS p{i}" for i, (p, _) in enumerate(PHRASES))}, [{", ".join(most(t) for _, t in TEMPLATES)}] AS s FROM w),
 q AS (SELECT doc_id, n_words, {every} AS places, [{base}] AS base, [{found}] AS found, list_max([{shares}]) AS best FROM p)
 SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, {sort.format("base")} AS base_labels, {sort.format("base || found")} AS labels, CASE WHEN len(places) > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(best, 0) END AS score FROM q"""
 

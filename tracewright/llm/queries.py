@@ -15,7 +15,6 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_language": language.query,
     "op9_licenses": licenses.query,
-    "op9_licenses_wrapped": licenses.query_wrapped,
     "op10_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {"op9_licenses": licenses.ORACLE_SQL}

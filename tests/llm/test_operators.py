@@ -1,6 +1,7 @@
 """The training-data operators against plain Python, on small tables with every odd case."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -256,7 +257,7 @@ def test_neighbours_reach_brute_force(spark):
     x[100:140] = x[100]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     bad = [(900, None, 0), (950, [0.0] * 16, 0), (1000, [float("nan")] * 16, 0), (1001, [1.0, None] + [0.0] * 14, 0), (None, x[0].tolist(), 0)]
-    found = ann.search(vectors(spark, rows + bad), F.col("vec_id") % 50 == 0, chunk=60).collect()
+    found = ann.search(vectors(spark, rows + bad), F.col("vec_id") % 50 == 0, shard=60).collect()
     by = {}
     for r in found:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -278,6 +279,46 @@ def test_few_or_no_vectors(spark):
     assert ann.search(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_ids_widths_and_columns(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (1, [0.0, 0.0], 0), (1, [float("nan"), 0.0], 0), (1, None, 0), (2, [0.5, 0.5], 0), (2, [0.5, 0.5], 1), (50, [1.0, 1.0, 0.0], 0), (51, [1.0, 0.0, 0.0], 0), (52, [], 0)]
+    d = vectors(spark, rows).withColumnRenamed("label", "query_id").withColumn("score", F.lit("x")).withColumn("list", F.lit(1))
+    found = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in ann.search(d, F.col("vec_id") % 50 == 0).collect()}
+    # the zero vector under the id 1 takes no part, the other one does; each width is searched by itself
+    assert found == {(0, 1): (1, round(1 / 1.01**0.5, 6)), (0, 2): (2, round(0.5**0.5, 6)), (50, 1): (51, round(0.5**0.5, 6))}
+
+
+def test_shards_hold_long_lists():
+    first, last = ann.shards_of(np.array([5, 4, 30, 1, 0, 9]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 4] and last.tolist() == [0, 0, 3, 4, 4, 4]
+
+
+def test_many_queries_of_one_list(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones((60, 4)) + rng.normal(size=(60, 4)) / 50, rng.normal(size=(40, 4))])
+    x[:30] = x[0]  # one vector is a third of all
+    found = ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), F.col("vec_id") < 60, shard=20).collect()
+    assert len(found) == 300
+    for q in (0, 7, 29):
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == [i for i in range(6) if i != q][:5]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids = np.stack(table.embedding.values).astype(float), table.vec_id.values
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.query(spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = n = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        near = np.round(x @ x[q], 12)
+        near[q] = -2
+        hits, n = hits + len(found[ids[q]] & set(ids[np.lexsort((ids, -near))[:5]])), n + 5
+    assert hits >= 0.9 * n
+
+
 # --- op5
 def test_packing_is_exact(spark):
     from tokenizers import Tokenizer

@@ -1,6 +1,7 @@
 """The training-data operators against plain Python, on small tables with every odd case."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -238,6 +239,78 @@ def test_labels_and_other_columns_are_no_inputs(spark):
     assert a == b
 
 
+def plain_slots(words, spans):
+    """Slots of n-grams with Python's own numbers."""
+    import xxhash
+
+    full, out = (1 << 64) - 1, set()
+    m = [int(x) for x in ftrl.MIX]
+    for k, offsets in enumerate(spans):
+        for i in range(len(words) - offsets[-1]):
+            x = (k + 1) * m[3] & full
+            for place, offset in enumerate(offsets):
+                x = ((x ^ xxhash.xxh64_intdigest(words[i + offset].encode())) * m[place]) & full
+                x ^= x >> 29
+            out.add(((x * m[1] & full) >> (64 - ftrl.BITS + 1)) + (1 << (ftrl.BITS - 1)) * (len(offsets) > 1))
+    return out
+
+
+def test_toxicity_scores_equal_plain(spark):
+    d, labels = labelled(spark, 120, "toxic", True)
+    model = toxicity.train(d, labels)
+    weights = dict(zip(model["slots"].tolist(), model["weights"].tolist()))
+    for r in toxicity.score(d, model=model).join(d.select("doc_id", "text"), "doc_id").collect():
+        w = model["intercept"] + sum(weights.get(x, 0.0) for x in plain_slots(re.findall(r"\w+", r.text.lower()), ((0,), (0, 1), (0, 2))))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-w)), abs=1e-6) and r.predicted == int(r.score >= 0.7)
+
+
+def test_quality_scores_equal_plain(spark):
+    import xxhash
+
+    d, labels = labelled(spark, 120, "quality", False)
+    model = quality.train(d, labels)
+    weights = dict(zip(model["slots"].tolist(), model["weights"].tolist()))
+    for r in quality.score(d, model=model).join(d.select("doc_id", "text"), "doc_id").collect():
+        words = re.findall(r"\w+|[^\w\s]+", r.text)
+        n, log = len(words), min(12, len(words).bit_length())
+        part = lambda x: round(10 * (x / n))
+        same = sum(a == b for a, b in zip(words, words[1:]))
+        shares = [f"upper:{part(sum(w.isupper() for w in words))}", f"symbol:{round(10 * (1 - sum(w.isalnum() for w in words) / n))}", f"same:{part(same)}", f"distinct:{log}:{round(10 * len(set(words)) / n)}", f"size:{log}"]
+        slots = plain_slots(words, ((0,), (0, 1), (0, 1, 2))) | {(xxhash.xxh64_intdigest(x.encode()) * int(ftrl.MIX[2]) & ((1 << 64) - 1)) >> (64 - ftrl.BITS + 1) for x in shares}
+        w = model["intercept"] + sum(weights.get(x, 0.0) for x in slots)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-w)), abs=1e-6)
+
+
+def test_ftrl_equals_plain_updates():
+    rng = np.random.default_rng(8)
+    examples = [(np.unique(rng.integers(0, 60, 8) + (1 << 19) * rng.integers(0, 2, 8)).astype(np.uint32), int(rng.random() < 0.5)) for _ in range(150)]
+    w0, at, w = ftrl.fit(examples, epochs=2, alpha=0.5, beta=1.0, l1=0.2, l2=0.1)
+    z, n = {}, {}
+
+    def weight(i):
+        l1, l2 = (0.0, 0.1) if i is None else (0.2, 0.1)
+        own = z.get(i, 0.0)
+        return 0.0 if abs(own) <= l1 else -(own - np.sign(own) * l1) / ((1.0 + n.get(i, 0.0) ** 0.5) / 0.5 + l2)
+
+    for x, y in examples * 2:
+        slots = [(None, 1.0), *((i, 1.0 if i < 1 << 19 else 0.3) for i in x.tolist())]
+        now = {i: weight(i) for i, _ in slots}
+        g = 1 / (1 + np.exp(-sum(now[i] * v for i, v in slots))) - y
+        for i, v in slots:
+            before = n.get(i, 0.0)
+            n[i] = before + (g * v) ** 2
+            z[i] = z.get(i, 0.0) + g * v - (n[i] ** 0.5 - before**0.5) / 0.5 * now[i]
+    wanted = {i: weight(i) * (1.0 if i < 1 << 19 else 0.3) for i in z if i is not None and weight(i)}
+    assert w0 == pytest.approx(weight(None)) and dict(zip(at.tolist(), w.tolist())) == pytest.approx(wanted, rel=1e-5)
+
+
+def test_contradicting_rows_have_a_fixed_choice(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
+    d = docs(spark, ["b", "a", None, "c", "c", "d"], ids=[1, 1, 1, 2, 2, None])
+    rows = ftrl.labelled(d.repartition(3), labels, "toxic", 5, 9, 100).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in rows) == [(1, "a", 1), (2, "c", 0)]
+
+
 def test_ftrl_zeroes_noise():
     rng = np.random.default_rng(1)
     examples = [(np.unique(np.append(rng.integers(1000, 200_000, 30), 7 if i % 2 else 8)).astype(np.uint32), i % 2) for i in range(200)]
@@ -349,6 +422,31 @@ def test_packing_is_exact(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_both_encoders_agree():
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    assert packing.follows_merges(data)
+    merges = data["model"]["merges"]
+    data["model"]["merges"] = [merges[1], merges[0], *merges[2:]]
+    assert not packing.follows_merges(data)
+    library, own, rng = Tokenizer.from_file(path), packing.tokenizer(path), random.Random(1)
+    pieces = [*WORDS, " ", "  ", "\n", "\t ", "é", "水", "\U0001f600", "'s", "'LL", "123", "!?", "\u00a0", "x" * 700, " " * 900, "<|endoftext|>", "\U000125a4", "ſ"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 30)))
+        assert own(text) == library.encode(text, add_special_tokens=False).ids
+    for text in ("y" * 1999, "y" * 2000, "y" * 2001, " " * 2500 + "a", "ab" * 60_000):  # on both sides of LONG_RUN
+        assert own(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_and_bpe_keep_odd_rows(spark):
+    d = docs(spark, ["one text", "one text", None, "two"], ids=[5, 5, None, None]).withColumnsRenamed({"lang": "task", "source": "window", "key": "n_tokens"})
+    assert sorted((r.doc_id or 0, r.length) for r in packing.pack(d).collect()) == [(0, 1), (0, 2), (5, 3), (5, 3)]
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in bpe.encode(d).collect()) == [(0, 0), (0, 1), (5, 2), (5, 2)]
+
+
 def test_windows_bound_and_best_fit():
     w = packing.Windows(2, 10)
     assert w.place(6)[:2] == (0, 0) and w.place(7)[:2] == (1, 0)
@@ -650,6 +748,12 @@ def test_bpe_equals_library(spark):
     assert bpe.encode(docs(spark, [])).count() == 0
 
 
+def test_frequent_words(spark):
+    d = docs(spark, ["aa " * 50 + "bb " * 20 + "cc " * 20 + "dd", "aa ee", None, "x" * 300] * 3).repartition(5)
+    assert bpe.frequent_words(d, 3) == ["aa", "bb", "cc"] and bpe.frequent_words(d, 2) == ["aa"]
+    assert bpe.frequent_words(docs(spark, [])) == []
+
+
 def test_lexicon_is_exact_and_minimal():
     rng = random.Random(3)
     words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))): [rng.randint(0, 9) for _ in range(rng.randint(1, 3))] for _ in range(800)}

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import giving_back, map_rows, read, small_batches
+from .common import giving_back, map_rows, read, reliable_checkpoint, small_batches
 
 #: Fixed: how the vocabulary's texts are cut into words once normalised.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -34,6 +34,8 @@ END = "</w>"
 #: Words in the lexicon, and candidates that a task keeps while it counts.
 LEXICON_WORDS = 30_000
 COUNTED = 200_000
+#: Steps of the histogram of counts for a doubling of the count.
+STEPS = 16
 
 
 def byte_letters() -> list[str]:
@@ -216,7 +218,8 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, mapped into memory from an unnamed file of this process."""
+    """A compiled lexicon, mapped into memory from an unnamed file of this process: a copy of
+    what was broadcast, in the worker's own folder and gone with it, that nobody else reads."""
 
     def __init__(self, data: bytes):
         with tempfile.TemporaryFile() as f:
@@ -254,10 +257,13 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, keep: int = LEXICON_WORDS) -> list[str]:
-    """The ``keep`` words of most occurrences, counted over all texts.
+    """About the ``keep`` words of most occurrences, counted over all texts.
 
     A task keeps the counts of at most ``2 * COUNTED`` words: when there are more, the
-    rarer half goes. Which words are in the lexicon never changes a result.
+    rarer half goes. Words of more than 200 characters are left to merging. The least count is
+    found from a histogram of counts (STEPS to a doubling), so the driver gets at most ``keep``
+    words whatever the number of partitions. Which words are in the lexicon never changes a
+    result.
     """
 
     def count(batches: Iterator) -> Iterator:
@@ -270,11 +276,18 @@ def frequent_words(docs: DataFrame, keep: int = LEXICON_WORDS) -> list[str]:
                     words.update(words_of(text))
                     if len(words) > 2 * COUNTED:
                         words = Counter(dict(words.most_common(COUNTED)))
-        top = words.most_common(2 * keep)
+        top = [(w, n) for w, n in words.most_common(2 * keep) if len(w) <= 200]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    counted = small_batches(docs).select("text").mapInArrow(giving_back(count), "word string, n long").where(F.length("word") <= 200).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(keep).collect()]
+    counted = small_batches(docs).select("text").mapInArrow(giving_back(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = reliable_checkpoint(counted.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * STEPS + 1e-9)))
+    least, total = None, 0
+    for step, words in sorted(((r["step"], r["count"]) for r in counted.groupBy("step").count().collect()), reverse=True):
+        total += words
+        if total > keep:
+            break
+        least = step
+    return sorted(r["word"] for r in counted.where(F.col("step") >= least).select("word").collect()) if least is not None else []
 
 
 class Words(dict):
@@ -315,12 +328,12 @@ class Coder:
         ids = self.lexicon.get(word) if self.lexicon and len(word) <= 200 else None
         if ids is not None:
             return self.packed(ids)
-        tokens = self.vocabulary.merge(word)
         of = self.vocabulary.ids
-        return struct.pack(f"<{len(tokens)}I", *[of[t] for t in tokens]), " ".join(tokens)
+        return self.packed([of[t] for t in self.vocabulary.merge(word)])
 
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+        """The ids as bytes, and what they decode to."""
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def by_library(self, text: str) -> list[int]:
         """Ids of a text with unassigned characters, by the tokenizer library itself."""

@@ -49,9 +49,9 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float =
     size = 1 << BITS
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     z0 = n0 = w0 = 0.0
+    valued = [(x, y, values(x)) for x, y in examples]
     for _ in range(epochs):
-        for x, y in examples:
-            v = values(x)
+        for x, y, v in valued:
             p = 1.0 / (1.0 + np.exp(-np.clip(w0 + (w[x] * v).sum(), -30, 30)))
             g = p - y
             root = np.sqrt(n[x])
@@ -72,31 +72,41 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held:
     """At most about ``bound`` (doc_id, text, y) rows to learn from.
 
     Labels count if crc32(doc_id as text) % modulus isn't ``held``; null labels and ids
-    don't, and of contradicting labels for an id the largest does. Only the sampled
-    ids (bounded) are broadcast; texts are not shuffled to find them.
+    don't, and of contradicting labels for an id the largest does. Of several texts under one
+    id the smallest counts. Only the sampled ids (bounded) are broadcast; texts are not
+    shuffled to find them.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_remainder("doc_id", modulus) != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = bounded_sample(known, "doc_id", bound).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, features: Callable[[], Callable[[str | None], np.ndarray]], bound: int, **how) -> dict:
-    """A model learnt in one task from a sample of at most ``bound`` labelled documents.
+    """A model learnt from a sample of at most ``bound`` labelled documents.
 
-    The order of learning is that of a hash of doc_id, so the model doesn't depend on how
+    Texts become distinct slots where they are; one task, which updates are made in, gets only
+    slots. The order of learning is that of a hash of doc_id, so the model doesn't depend on how
     rows are dealt out. Without examples, or with one class only, scores are constant.
     """
-    sample = labelled(docs, labels, label, modulus, held, bound).repartition(1).sortWithinPartitions(F.xxhash64(F.lit(5), F.col("doc_id")))
 
-    def run(batches: Iterator) -> Iterator:
+    def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         make = features()
-        examples = [(np.unique(make(text)), y) for batch in batches for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        for batch in batches:
+            slots_of = [np.unique(make(text)).astype("<u4").tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots_of, pa.binary()), batch.column(2)], names=["doc_id", "slots", "y"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        examples = [(np.frombuffer(x, "<u4"), y) for batch in batches for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         w0, at, w = fit(examples, **how)
         yield pa.RecordBatch.from_pydict({"slot": np.append(at.astype("int64"), -1), "w": np.append(w.astype("float64"), w0)})
 
-    rows = small_batches(sample).select("text", "y").mapInArrow(giving_back(run), "slot long, w double").collect()
+    sample = small_batches(labelled(docs, labels, label, modulus, held, bound)).select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(giving_back(hashed), "doc_id long, slots binary, y int")
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(5), F.col("doc_id")))
+    rows = ordered.select("slots", "y").mapInArrow(giving_back(run), "slot long, w double").collect()
     at = [(r["slot"], r["w"]) for r in rows if r["slot"] >= 0]
     return {"intercept": sum(r["w"] for r in rows if r["slot"] < 0), "slots": np.array([s for s, _ in at], np.uint32), "weights": np.array([w for _, w in at], np.float32)}
 

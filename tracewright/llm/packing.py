@@ -38,17 +38,34 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def follows_merges(data: dict) -> bool:
+    """Whether a tokenizer file's ids are in the order of its merges: 256 letters first, then what
+    each merge makes, so that ids can stand for merge ranks."""
+    vocabulary, special = data["model"]["vocab"], {t["content"] for t in data["added_tokens"]}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
+    made = [vocabulary.get(a + b, -1) for a, b in pairs]
+    letters = [i for t, i in vocabulary.items() if len(t) == 1 and t not in special]
+    plain = data["model"].get("type") == "BPE" and not data["model"].get("ignore_merges") and not data["model"].get("end_of_word_suffix")
+    return plain and len(letters) == 256 and all(x < y for x, y in zip([max(letters), *made], made)) and len(letters) + len(made) == len(vocabulary.keys() - special)
+
+
 def tokenizer(path: str):
-    """text -> ids, equal to the tokenizer file's own; the same vocabulary drives a faster
-    encoder where the file holds a byte-level BPE whose ids follow its merges."""
+    """text -> ids, equal to the tokenizer file's own. The same vocabulary drives a faster
+    encoder if the file holds a byte-level BPE whose ids follow its merges; otherwise, and for
+    texts with special tokens or very long runs, the tokenizer library does it."""
     import tiktoken
     from tokenizers import Tokenizer
 
     from .bpe import byte_letters
 
     slow = Tokenizer.from_file(path)
+    slow.no_truncation()
+    slow.no_padding()
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    by_library = lambda text: slow.encode(text, add_special_tokens=False).ids
+    if not follows_merges(data):
+        return by_library
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
     letters = {c: b for b, c in enumerate(byte_letters())}
     ranks = {bytes(letters[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
@@ -58,7 +75,7 @@ def tokenizer(path: str):
         if not text:
             return []
         if any(s in text for s in special) or (len(text) >= 2000 and LONG_RUN.search(text)):
-            return slow.encode(text, add_special_tokens=False).ids
+            return by_library(text)
         return fast.encode_ordinary(text)
 
     return encode

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,36 +114,46 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, anchors=ANCHORS
     return joined.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 2000) -> DataFrame:
-    """Adds ``next_<c>`` for each of ``columns``: their values in the following row.
+#: Ranges of doc_id, at most: of 10^10 documents each holds 150,000, which a sort spills.
+RANGES = 65_536
 
-    Rows are ordered by doc_id (null first), equal ids by text; after the last row comes
-    the first. Rows are dealt into ranges of doc_id whose bounds are values of the data;
-    each range also gets a copy of the row that opens the next one. Only the bounds
-    reach the driver, at most 4096 of them.
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """Place of the last bound not above ``key`` (bounds ascend, the first is the least key): a
+    binary search in one array, which is part of the plan."""
+    listed = F.lit(np.array(bounds, np.int64))
+    steps = [1 << i for i in reversed(range(max(1, (len(bounds) - 1).bit_length())))]
+    return F.aggregate(
+        F.array(*[F.lit(x) for x in steps]),
+        F.lit(0),
+        lambda at, step: F.when((at + step < len(bounds)) & (F.get(listed, at + step) <= key), at + step).otherwise(at),
+    )
+
+
+def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 2000, made: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the columns ``made``, and ``next_<c>`` for each of ``columns``: the values in the
+    following row.
+
+    Rows are ordered by doc_id (null first), equal ids by text; after the last row comes the
+    first. Rows are dealt into ranges of doc_id whose bounds are values of the data; each range
+    also gets a copy of the row that opens the next one. Only the bounds reach the driver, at
+    most RANGES of them. ``made`` is computed after rows are dealt, so it isn't shuffled. Rows
+    may have any columns.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = rows.withColumn("_key", key)
-    n = rows.count()
-    buckets = max(1, min(4096, n // per_bucket))
+    buckets = max(1, min(RANGES, rows.count() // per_bucket))
     shares = [i / buckets for i in range(1, buckets)]
-    first, inner = rows.agg(F.min("_key"), F.percentile_approx("_key", shares, 20000) if shares else F.lit(None)).first()
+    first, inner = rows.agg(F.min(key), F.percentile_approx(key, shares, max(20_000, 2 * buckets)) if shares else F.lit(None)).first()
     if first is None:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_key")
+        return rows.withColumns(made or {}).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     bounds = sorted({first, *(inner or [])})
-    # number of bounds not above the key: a branching over literals, as deep as log2
-    def place(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"IF(_key >= {bounds[mid + 1]}L, {place(mid + 1, hi)}, {place(lo, mid)})" if bounds[mid + 1] > -(2**63) else place(mid + 1, hi)
-
-    dealt = rows.withColumn("_bucket", F.expr(place(0, len(bounds) - 1))).withColumn("_copy", F.lit(0))
-    opening = dealt.where(F.col("_key").isin(bounds)).withColumn("_bucket", (F.col("_bucket") + len(bounds) - 1) % len(bounds)).withColumn("_copy", F.lit(1))
-    order = Window.partitionBy("_bucket").orderBy("_copy", "_key", "text")
-    both = dealt.unionByName(opening)
-    led = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.where("_copy = 0").drop("_key", "_bucket", "_copy")
+    dealt = rows.select(F.struct("*").alias("row"), key.alias("key"), range_of(key, bounds).alias("bucket"), F.lit(0).alias("copy"))
+    opening = dealt.where(F.col("key").isin(bounds)).withColumn("bucket", (F.col("bucket") + len(bounds) - 1) % len(bounds)).withColumn("copy", F.lit(1))
+    spread = dealt.unionByName(opening).repartition("bucket").select("row.*", F.struct("key", "bucket", "copy").alias("__place"))
+    spread = spread.withColumns(made or {})
+    order = Window.partitionBy("__place.bucket").orderBy("__place.copy", "__place.key", "text")
+    led = spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    return led.where("__place.copy = 0").drop("__place")
 
 
 def compare(docs: DataFrame, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
@@ -150,11 +161,10 @@ def compare(docs: DataFrame, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
 
     The edited text is the text with its last floor(n/2) code points replaced by the
     first as many of the next document. Null texts count as empty. A single document is
-    its own next. Repeated doc_ids follow each other by text.
+    its own next. Repeated doc_ids follow each other by text. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("signatures", spots(words_of(F.col("text")), anchors, chain))
-    rows = with_next(rows, ["text", "signatures"])
+    rows = with_next(rows, ["text", "signatures"], made={"signatures": spots(words_of(F.col("text")), anchors, chain)})
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left(F.col("text"), F.length("text") - half), F.left(F.col("next_text"), half)))
     rows = rows.select(

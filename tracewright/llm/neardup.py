@@ -341,7 +341,7 @@ class TextTable:
         self.name = f"distinct_texts_{uuid.uuid4().hex}"
         self.path = f"{self.spark.sparkContext.getCheckpointDir()}/{self.name}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        once = base.select("key", "text").repartition(buckets, "key").dropDuplicates(["key"])
+        once = base.select("key", "text").dropDuplicates(["key"])  # copies go before the exchange
         once.write.bucketBy(buckets, "key").option("path", self.path).option("compression", "zstd").saveAsTable(self.name, format="parquet")
 
     def rows(self) -> DataFrame:

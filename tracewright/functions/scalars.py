@@ -177,6 +177,13 @@ def bucket(value: Column, buckets: int) -> Column:
     return F.conv(F.substring(F.md5(value.cast("string")), 1, 7), 16, 10).cast("bigint") % buckets
 
 
+def draw(*parts: Column | str) -> Column:
+    """A whole number from 0 to 2^52 - 1 (first 52 bits of an md5 of the parts, as text with
+    colons between), equal in any engine."""
+    text = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
 def scenario_of_path(path: Column) -> Column:
     """Scenario id such as ``sc3`` in a directory name, else ''."""
     return F.regexp_extract(path, r"(sc[0-9]+)", 1)

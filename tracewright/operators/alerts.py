@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import persisted, ranked
 from .scores import EVENT, dedupe_events, precision_at, select_high
 
 WINDOW = 3600
@@ -16,37 +17,31 @@ MIN_EVENTS = 3
 EVIDENCE = 200
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def greedy_windows(events: DataFrame, width: int = WINDOW) -> DataFrame:
     """Adds ``window_start`` and ``window_no`` (1-based in the scenario).
 
     A window opens at the first event that no earlier window holds and lasts up to and
-    including ``start + width``. A gap of more than ``width`` always opens one, so the distinct
-    times between such gaps are folded on their own: only these, not events, are gathered.
+    including ``start + width``. One task a scenario steps from window to window over the
+    distinct seconds of its events (8 bytes each, 250 MB a year, however many events); events
+    then find their window by an equi-join on stretches of ``width``.
     """
-    by_time = Window.partitionBy("scenario").orderBy("t")
-    times = events.select("scenario", "t").distinct()
-    apart = F.coalesce((F.col("t") - F.lag("t").over(by_time) > width).cast("int"), F.lit(1))
-    runs = times.withColumn("_new", apart).withColumn("_run", F.sum("_new").over(by_time)).groupBy("scenario", "_run").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    starts = F.aggregate(
-        "ts",
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), t) > width), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    opened = runs.select("scenario", F.explode(starts).alias("window_start"))
-    opened = opened.withColumn("window_no", F.row_number().over(Window.partitionBy("scenario").orderBy("window_start")))
-    # a start also marks its own row; every event takes the last start before it
-    merged = events.join(opened.withColumnRenamed("window_start", "t"), ["scenario", "t"], "left")
-    last = Window.partitionBy("scenario").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    merged = merged.withColumn("window_start", F.max(F.when(F.col("window_no").isNotNull(), F.col("t"))).over(last))
-    return merged.withColumn("window_no", F.max("window_no").over(last))
+
+    def opened(times: pa.Table) -> pa.Table:
+        t = np.sort(times["t"].to_numpy())
+        starts, at = [], 0
+        while at < len(t):
+            starts.append(t[at])
+            at = np.searchsorted(t, t[at] + width, "right")
+        return pa.table({"scenario": pa.array([times["scenario"][0].as_py()] * len(starts), pa.string()), "window_start": pa.array(starts, pa.int64()), "window_no": pa.array(range(1, len(starts) + 1), pa.int32())})
+
+    times = events.select(F.col("scenario").cast("string"), F.col("t").cast("bigint")).distinct()
+    windows = times.groupBy("scenario").applyInArrow(opened, "scenario string, window_start bigint, window_no int")
+    step = max(1, width)
+    stretch = F.floor(F.col("window_start") / step)
+    spread = windows.select(F.col("scenario").alias("_scenario"), "window_start", "window_no", F.explode(F.array(stretch, stretch + 1)).alias("_stretch"))
+    same = F.col("scenario").eqNullSafe(F.col("_scenario")) & (F.floor(F.col("t") / step) == F.col("_stretch"))
+    held = (F.col("t") >= F.col("window_start")) & (F.col("t") <= F.col("window_start") + width)
+    return events.join(spread, same & held).drop("_scenario", "_stretch")
 
 
 def components(edges: DataFrame, group: list[str]) -> DataFrame:
@@ -72,15 +67,18 @@ def alert_events(scores: DataFrame, width: int = WINDOW, quantile: float = QUANT
 
     Components with fewer than ``min_events`` events are no alerts. Ids count from 1 in the
     order of scenario, window and the component's first edge (by time, then score)."""
-    high = persisted(select_high(dedupe_events(scores), quantile, top_k))
+    return events_of_high(persisted(select_high(persisted(dedupe_events(scores)), quantile, top_k)), width, min_events)
+
+
+def events_of_high(high: DataFrame, width: int, min_events: int) -> DataFrame:
+    """``alert_events`` of events that are selected already."""
     placed = persisted(greedy_windows(high, width))
     labels = components(placed, ["scenario", "window_no"])
-    joined = placed.join(labels.withColumnRenamed("node", "src"), ["scenario", "window_no", "src"])
-    size = Window.partitionBy("scenario", "window_no", "component")
-    kept = joined.withColumn("_n", F.count("*").over(size)).where(F.col("_n") >= min_events).drop("_n")
-    firsts = kept.groupBy("scenario", "window_no", "component").agg(F.min(F.struct(F.col("t"), (-F.col("score")).alias("s"), F.col("row_seq"))).alias("first"))
-    numbered = firsts.withColumn("alert_id", F.row_number().over(Window.orderBy("scenario", "window_no", "first"))).drop("first")
-    return kept.join(numbered, ["scenario", "window_no", "component"])
+    group = ["scenario", "window_no", "component"]
+    grouped = persisted(placed.join(labels.withColumnRenamed("node", "src"), ["scenario", "window_no", "src"]))
+    firsts = grouped.groupBy(*group).agg(F.count("*").alias("_n"), F.min(F.struct(F.col("t"), (-F.col("score")).alias("s"), F.col("row_seq"))).alias("first")).where(F.col("_n") >= min_events)
+    numbered = ranked(firsts, [], [F.col("scenario"), F.col("window_no"), F.col("first")], "alert_id").select(*group, (F.col("alert_id") + 1).cast("int").alias("alert_id"))
+    return grouped.join(numbered, group)
 
 
 def alerts(scores: DataFrame, width: int = WINDOW, quantile: float = QUANTILE, top_k: int | None = None, min_events: int = MIN_EVENTS, evidence: int = EVIDENCE) -> DataFrame:
@@ -111,10 +109,11 @@ def alert_rows(scores: DataFrame, **how) -> DataFrame:
 
 def tail_metrics(scores: DataFrame, ks=(10, 50, 100, 500), width: int = WINDOW, quantile: float = QUANTILE, min_events: int = MIN_EVENTS) -> DataFrame:
     """One row: deduplicated, flagged and alert counts, their rates, precision at each k."""
-    events = dedupe_events(scores)
+    events = persisted(dedupe_events(scores))
     base = events.agg(F.count("*").alias("num_tail_deduped"))
-    flagged = select_high(events, quantile).agg(F.count("*").alias("num_flagged"), F.coalesce(F.sum("is_ioc"), F.lit(0)).cast("bigint").alias("flagged_ioc"))
-    number = alert_events(scores, width, quantile, None, min_events).agg(F.count_distinct("alert_id").alias("num_alerts"))
+    high = persisted(select_high(events, quantile))
+    flagged = high.agg(F.count("*").alias("num_flagged"), F.coalesce(F.sum("is_ioc"), F.lit(0)).cast("bigint").alias("flagged_ioc"))
+    number = events_of_high(high, width, min_events).agg(F.count_distinct("alert_id").alias("num_alerts"))
     p = precision_at(scores, ks).groupBy().pivot("k", list(ks)).agg(F.first("precision"))
     p = p.select(*[F.col(str(k)).alias(f"p_at_{k}") for k in ks])
     one = base.crossJoin(flagged).crossJoin(number).crossJoin(p)  # single rows

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import scalars as S
+from .ranges import joined, persisted, ranked
 
 WINDOW = 50.0
 MOST_FOR_PROCESS = 1000
@@ -27,7 +28,8 @@ def causal_edges(events: DataFrame, mode: str = "level0", window: float = WINDOW
     timed = with_time(events).where("src_type = 'PROC'")
     place = ["t", "ord", "edge_type", "src_key", "dst_key", "event_seq"]
     largest = events.groupBy("scenario").agg(F.max("ord").alias("_last"))
-    base = timed.withColumn("_first", F.min(F.struct(*place)).over(Window.partitionBy("scenario", "src_key")))
+    firsts = timed.groupBy(F.col("scenario").alias("_scenario"), F.col("src_key").alias("_src")).agg(F.min(F.struct(*place)).alias("_first"))
+    base = timed.join(firsts, F.col("scenario").eqNullSafe(F.col("_scenario")) & F.col("src_key").eqNullSafe(F.col("_src"))).drop("_scenario", "_src")
 
     def linked(rows: DataFrame, keys: list[str], rule: str, confidence: float) -> DataFrame:
         order = Window.partitionBy("scenario", *keys).orderBy(*place)
@@ -42,8 +44,8 @@ def causal_edges(events: DataFrame, mode: str = "level0", window: float = WINDOW
         touching = base.where(F.col("dst_type").isin("NET", "FILE"))
         edges = level0.unionByName(linked(touching, ["src_key", "dst_type", "dst_key"], "shared_object_bridge", 0.8).withColumn("_n", F.lit(0)).withColumn("_level", F.lit(1)))
     # level 0 follows processes by first appearance, level 1 the order of events
-    rank = Window.partitionBy("scenario").orderBy("_level", F.when(F.col("_level") == 0, F.col("_first")), *place)
-    numbered = edges.withColumn("_at", F.row_number().over(rank)).join(F.broadcast(largest), "scenario")
+    rank = [F.col("_level"), F.when(F.col("_level") == 0, F.col("_first")), *[F.col(c) for c in place]]
+    numbered = joined(ranked(edges, ["scenario"], rank, "_at").withColumn("_at", F.col("_at") + 1), largest, ["scenario"])
     return numbered.select("scenario", F.lit("CAUSE").alias("edge_type"), F.lit("PROC").alias("src_type"), "src_key", F.lit("PROC").alias("dst_type"), F.col("src_key").alias("dst_key"), "ts", (F.col("_last") + F.col("_at")).alias("ord"), "delta_t", "cause_rule", "confidence")
 
 
@@ -79,12 +81,11 @@ def nodes(events: DataFrame, attributes: list[str] = ()) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("src_type").alias("node_type"), F.col("src_key").alias("key"), F.lit(0).alias("role")), F.struct(F.col("dst_type").alias("node_type"), F.col("dst_key").alias("key"), F.lit(1).alias("role")))).alias("n")
     seen = events.select("scenario", "event_seq", ends, *attributes).select("scenario", "n.*", (F.col("event_seq") * 2 + F.col("n.role")).alias("at"), *attributes)
     latest = [F.max_by(F.when(F.col("role") == 1, F.col(a)), F.when((F.col("role") == 1) & F.col(a).isNotNull(), F.col("at"))).alias(a) for a in attributes]
-    found = seen.groupBy("scenario", "node_type", "key").agg(F.min("at").alias("first_at"), *latest)
-    local = Window.partitionBy("scenario", "node_type").orderBy("first_at")
+    found = persisted(seen.groupBy("scenario", "node_type", "key").agg(F.min("at").alias("first_at"), *latest))  # counted and numbered
     offset = found.groupBy("scenario", "node_type").agg(F.count("*").alias("n"))
     before = Window.partitionBy("scenario").orderBy("node_type").rowsBetween(Window.unboundedPreceding, -1)
     offset = offset.select("scenario", "node_type", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = found.withColumn("local_id", (F.row_number().over(local) - 1).cast("bigint")).join(F.broadcast(offset), ["scenario", "node_type"])
+    numbered = joined(ranked(found, ["scenario", "node_type"], [F.col("first_at")], "local_id"), offset, ["scenario", "node_type"])
     return numbered.withColumn("global_id", F.col("local_id") + F.col("offset")).drop("offset", "first_at")
 
 
@@ -115,17 +116,17 @@ def edge_stream(events: DataFrame, precision: str = "double", features: bool = T
     end = lambda side: numbered.select("scenario", *[F.col(a).alias(b) for a, b in (("node_type", f"{side}_type"), ("key", f"{side}_key"), ("global_id", side))])
     timed = with_time(events, precision).withColumn("t", F.col("t").cast("bigint") if precision == "double" else F.floor("t"))
     timed = timed.withColumn("_exact", S.event_time(F.col("ts"), F.col("ord"), precision))
-    joined = timed.join(end("src"), ["scenario", "src_type", "src_key"]).join(end("dst"), ["scenario", "dst_type", "dst_key"])
+    met = timed.join(end("src"), ["scenario", "src_type", "src_key"]).join(end("dst"), ["scenario", "dst_type", "dst_key"])
     kinds = events.select("scenario", "src_type", "edge_type", "dst_type").distinct()
     rank = Window.partitionBy("scenario").orderBy("src_type", "edge_type", "dst_type")
     kinds = kinds.withColumn("etype", (F.row_number().over(rank) - 1).cast("int"))
-    joined = joined.join(F.broadcast(kinds), ["scenario", "src_type", "edge_type", "dst_type"])
+    met = met.join(F.broadcast(kinds), ["scenario", "src_type", "edge_type", "dst_type"])
     every = sorted((a, e, b) for e, (a, b) in K.EDGE_ENDS.items())
     where = F.create_map(*[F.lit(x) for i, (_, e, _) in enumerate(every) for x in (e, i)])
-    order = Window.partitionBy("scenario").orderBy("_exact", "etype", "src", "dst", "event_seq")
+    order = [F.col(c) for c in ("_exact", "etype", "src", "dst", "event_seq")]
     labels = [c for c in ("is_ioc", "is_ioc_line", "is_rule_hit", "is_rule_hit_high", "row_idx", "source_file", "ioc_type", "rule_ioc_type") if c in events.columns]
     more = [edge_features(events).alias("msg")] if features else []
-    return joined.select("scenario", (F.row_number().over(order) - 1).cast("bigint").alias("stream_idx"), "src", "dst", "t", "etype", F.element_at(where, F.col("edge_type")).alias("etype_global"), *more, *labels)
+    return ranked(met, ["scenario"], order, "stream_idx").select("scenario", "stream_idx", "src", "dst", "t", "etype", F.element_at(where, F.col("edge_type")).alias("etype_global"), *more, *labels)
 
 
 def offset_streams(stream: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from ..constants import STAGES
 from .graph import both_ways, degrees, neighbour_means
-from .scores import with_split
+from .ranges import persisted
+from .scores import with_split, with_tail
 from .training import sampled_negatives, stage_label
 
 FEATURES = ["log_src", "log_dst", "log_pair", "log_triple", "log_dst_etype", "log_idle"]
@@ -98,8 +99,8 @@ def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_rela
     layer (for each edge type with ``by_relation``), and a logistic model tells training
     edges from sampled ones by the features of both ends and their products."""
     stream = stream.drop("score")
-    split = with_split(stream, share)
-    train = split.where("NOT is_tail").drop("is_tail", "pos")
+    split = with_tail(stream, share)
+    train = split.where("NOT is_tail").drop("is_tail")
     etypes = (train.agg(F.max("etype")).first()[0] or 0) + 1
     d = degrees(train, etypes)
     names = [c for c in d.columns if c not in ("scenario", "node")]
@@ -112,10 +113,10 @@ def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_rela
             mean = mean.groupBy("scenario", "node").agg(F.array(*[F.avg(F.get("mean", F.lit(i))) for i in range(width)]).alias("mean"))
         zero = F.array(*[F.lit(0.0)] * width)
         x = x.join(mean, ["scenario", "node"], "left").select("scenario", "node", F.zip_with("x", F.coalesce("mean", zero), lambda a, b: (a + b) / 2).alias("x"))
-    x = x.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else x
+    x = persisted(x)  # both ends of every edge read it
     wrong = sampled_negatives(train, "random", 0.0, seed).where("negative IS NOT NULL")
     wrong = wrong.withColumn("dst", F.col("negative")).select(*train.columns)
-    every = split.drop("pos").withColumn("y", F.lit(1.0)).unionByName(wrong.withColumn("is_tail", F.lit(False)).withColumn("y", F.lit(0.0)))
+    every = split.withColumn("y", F.lit(1.0)).unionByName(wrong.withColumn("is_tail", F.lit(False)).withColumn("y", F.lit(0.0)))
     zero = F.array(*[F.lit(0.0)] * width)
     end = lambda side: x.select("scenario", F.col("node").alias(side), F.col("x").alias(f"x_{side}"))
     joined = every.join(end("src"), ["scenario", "src"], "left").join(end("dst"), ["scenario", "dst"], "left")

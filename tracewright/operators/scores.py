@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as S
+from .ranges import joined, nth_rows, ranked, running
+
 EVENT = ("scenario", "t", "etype", "src", "dst")
 PAIR = ("scenario", "etype", "src", "dst")
 
@@ -26,23 +30,37 @@ def split_point(n: Column, share: float) -> Column:
     return F.when(n <= 1, F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(share) * n)))).cast("bigint")
 
 
+def stream_order() -> list[Column]:
+    return [F.col(c) for c in ("t", "etype", "src", "dst", "row_seq")]
+
+
 def with_split(stream: DataFrame, share: float = 0.7) -> DataFrame:
     """Adds ``pos`` (0-based place in the scenario's stream) and ``is_tail``."""
-    order = Window.partitionBy("scenario").orderBy("t", "etype", "src", "dst", "row_seq")
-    n = F.count("*").over(Window.partitionBy("scenario"))
-    placed = stream.withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
-    return placed.withColumn("is_tail", F.col("pos") >= split_point(n, share))
+    sizes = stream.groupBy("scenario").agg(F.count("*").alias("_size"))
+    placed = joined(ranked(stream, ["scenario"], stream_order()), sizes, ["scenario"])
+    return placed.withColumn("is_tail", F.col("pos") >= split_point(F.col("_size"), share)).drop("_size")
+
+
+def with_tail(stream: DataFrame, share: float = 0.7) -> DataFrame:
+    """Adds ``is_tail`` only: rows are compared with the scenario's first tail row, not sorted."""
+    first = nth_rows(stream, ["scenario"], stream_order(), lambda n: split_point(n, share)).select("scenario", F.col("key").alias("_first"))
+    marked = joined(stream, first, ["scenario"])
+    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(stream_order())])
+    return marked.withColumn("is_tail", own >= F.col("_first")).drop("_first")
 
 
 def rarity(stream: DataFrame, share: float = 0.7, keys: Sequence[str] = ("etype", "src", "dst")) -> DataFrame:
     """Tail rows with score -ln((c + 1) / (n + 1)): c is how often the pattern occurs among the
-    scenario's n training rows. One shuffle: counts are running sums over the split's order."""
-    split = with_split(stream, share)
-    pattern = Window.partitionBy("scenario", *keys)
-    seen = F.sum((~F.col("is_tail")).cast("bigint"))
-    counted = split.withColumn("c", seen.over(pattern)).withColumn("n", seen.over(Window.partitionBy("scenario")))
-    score = -F.log((F.col("c") + 1) / (F.greatest(F.col("n"), F.lit(1)) + 1).cast("double"))
-    return counted.where("is_tail").withColumn("score", score).drop("c", "n", "is_tail")
+    scenario's n training rows. Patterns are counted before they are shuffled, so a frequent one
+    costs no more than others."""
+    split = with_tail(stream, share)
+    train = split.where("NOT is_tail")
+    patterns = train.groupBy("scenario", *keys).agg(F.count("*").alias("_c")).withColumnsRenamed({c: f"_{c}_" for c in ("scenario", *keys)})
+    sizes = stream.groupBy("scenario").agg(split_point(F.count("*"), share).alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in ("scenario", *keys)])
+    counted = joined(split.where("is_tail").join(patterns, same, "left").select(*stream.columns, "_c"), sizes, ["scenario"])
+    score = -F.log((F.coalesce("_c", F.lit(0)) + 1) / (F.greatest(F.col("_n"), F.lit(1)) + 1).cast("double"))
+    return counted.select(*[c for c in stream.columns if c != "score"], score.alias("score"))
 
 
 def path_outlier(stream: DataFrame, share: float = 0.7) -> DataFrame:
@@ -52,8 +70,8 @@ def path_outlier(stream: DataFrame, share: float = 0.7) -> DataFrame:
 
 def random_scores(stream: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
     """Tail rows with a score in [0, 1) that depends on the seed and the row only."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "scenario", "row_seq"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return with_split(stream, share).where("is_tail").withColumn("score", u).drop("is_tail")
+    drawn = S.draw(F.lit(seed), "scenario", "row_seq")
+    return with_tail(stream, share).where("is_tail").withColumn("score", drawn / F.lit(float(1 << 52))).drop("is_tail")
 
 
 def dedupe_events(scores: DataFrame) -> DataFrame:
@@ -78,11 +96,9 @@ def select_high(events: DataFrame, quantile: float = 0.99, top_k: int | None = N
     The rank is round-half-even((n - 1) * quantile); equal scores all stay."""
     if top_k:
         return events.withColumn("_n", F.row_number().over(ranking("scenario"))).where(F.col("_n") <= top_k).drop("_n")
-    up = Window.partitionBy("scenario").orderBy("score", "row_seq")
-    whole = Window.partitionBy("scenario")
-    ranked = events.withColumn("_n", F.row_number().over(up)).withColumn("_at", F.bround((F.count("*").over(whole) - 1) * F.lit(float(quantile))).cast("bigint") + 1)
-    ranked = ranked.withColumn("_cut", F.max(F.when(F.col("_n") == F.col("_at"), F.col("score"))).over(whole))
-    return ranked.where("score >= _cut").drop("_n", "_at", "_cut")
+    at = lambda n: F.bround((n - 1) * F.lit(float(quantile))).cast("bigint")
+    cuts = nth_rows(events, ["scenario"], [F.col("score"), F.col("row_seq")], at).select("scenario", F.col("key.k0").alias("_cut"))
+    return joined(events, cuts, ["scenario"]).where("score >= _cut").drop("_cut")
 
 
 def latest_rows(scores: DataFrame) -> DataFrame:
@@ -125,13 +141,16 @@ def top_k_source_quota(scores: DataFrame, k: int, quotas: dict[str, int], by_pai
     wanted = {s.strip(): n for s, n in quotas.items() if s.strip() and n > 0}
     place = F.coalesce(*[F.when(source == s, F.lit(i)) for i, s in enumerate(wanted)], F.lit(len(wanted)))
     quota = F.coalesce(*[F.when(source == s, F.lit(n)) for s, n in wanted.items()], F.lit(0))
+    marked = rows.withColumn("_place", place).withColumn("_quota", quota)
+    # only the listed sources are ranked, and only up to the largest quota
     own = Window.partitionBy("_place").orderBy(F.desc("score"), "row_seq")
-    marked = rows.withColumn("_place", place).withColumn("_quota", quota).withColumn("_own", F.row_number().over(own))
-    marked = marked.withColumn("by_quota", F.col("_own") <= F.col("_quota"))
-    # quota rows are few; of the others no more than k can be chosen
-    few = marked.where("by_quota").unionByName(marked.where("NOT by_quota").orderBy(F.desc("score"), "row_seq").limit(k))
+    listed = marked.where(F.col("_place") < len(wanted)).withColumn("_own", F.row_number().over(own)).where(F.col("_own") <= max(wanted.values(), default=0))
+    chosen = listed.where(F.col("_own") <= F.col("_quota")).drop("_own").withColumn("by_quota", F.lit(True))
+    # of the others no more than the k best can be chosen, so the k + quotas best are enough
+    rest = marked.orderBy(F.desc("score"), "row_seq").limit(k + sum(wanted.values())).join(F.broadcast(chosen.select("row_seq")), "row_seq", "left_anti").withColumn("by_quota", F.lit(False))
+    few = chosen.unionByName(rest)
     order = Window.orderBy(F.desc("by_quota"), F.when(F.col("by_quota"), F.col("_place")).otherwise(0), F.desc("score"), "row_seq")
-    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_place", "_quota", "_own")
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_place", "_quota")
 
 
 GROUPS = {"etype_dst": ("etype", "dst"), "etype_src": ("etype", "src"), "etype_dst_port": ("etype", "dst", "dst_port"), "etype_src_port": ("etype", "src", "src_port")}
@@ -183,26 +202,10 @@ def precision_at(scores: DataFrame, ks: Sequence[int]) -> DataFrame:
     return met.groupBy("k").agg(F.sum("is_ioc").cast("bigint").alias("hits"), F.avg(F.col("is_ioc").cast("double")).alias("precision"))
 
 
-def curve(scores: DataFrame, by: Sequence[str] = (), shards: int = 64) -> DataFrame:
-    """Rows with ``tp`` and ``fp``: positives and negatives up to each row of the ranking.
-
-    Without groups the ranking is dealt into ranges of score, whose sums (one row a range)
-    are added to the running sums inside, so no task sees all rows."""
-    order = (F.desc("score"), F.asc("row_seq"))
-    if by:
-        run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return scores.withColumn("tp", F.sum("is_ioc").over(run)).withColumn("fp", F.sum(1 - F.col("is_ioc")).over(run))
-    cuts = scores.agg(F.percentile_approx("score", [i / shards for i in range(1, shards)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    shard = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("score"))) if cuts else F.lit(0)
-    dealt = scores.withColumn("_shard", shard)
-    sums = dealt.groupBy("_shard").agg(F.sum("is_ioc").alias("_p"), F.sum(1 - F.col("is_ioc")).alias("_q"))
-    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_shard", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_q0"))
-    run = Window.partitionBy("_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = dealt.withColumn("tp", F.sum("is_ioc").over(run)).withColumn("fp", F.sum(1 - F.col("is_ioc")).over(run))
-    joined = inside.join(F.broadcast(starts), "_shard")
-    return joined.withColumn("tp", F.col("tp") + F.col("_p0")).withColumn("fp", F.col("fp") + F.col("_q0")).drop("_shard", "_p0", "_q0")
+def curve(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``tp`` and ``fp``: positives and negatives up to each row of the ranking (of each
+    group). The ranking is dealt into ranges of score and place, so ties are split too."""
+    return running(scores, list(by), [-F.col("score"), F.col("row_seq")], {"tp": F.col("is_ioc"), "fp": 1 - F.col("is_ioc")})
 
 
 def curve_areas(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:

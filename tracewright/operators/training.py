@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql.window import Window
 
 from ..constants import NETWORK_IOC_TYPES
 from ..functions import scalars as S
-from .scores import with_split
+from .ranges import joined, ranked
+from .scores import with_tail
 
 
 def supervision_label(mode: str) -> Column:
@@ -62,7 +64,7 @@ def benign_only(stream: DataFrame) -> DataFrame:
 
 def label_balance(stream: DataFrame, label: str = "y_ioc", share: float = 0.7) -> DataFrame:
     """scenario, part (full, prefix, tail), n, pos, rate: one pass by grouping sets."""
-    split = with_split(stream, share).withColumn("part", F.when(F.col("is_tail"), "tail").otherwise("prefix"))
+    split = with_tail(stream, share).withColumn("part", F.when(F.col("is_tail"), "tail").otherwise("prefix"))
     split = split.withColumn("y", (F.col(label) > 0).cast("int")).select("scenario", "part", "y")
     sets = split.groupingSets([["scenario"], ["scenario", "part"]], "scenario", "part").agg(F.count("*").alias("n"), F.sum("y").cast("bigint").alias("pos"))
     return sets.select("scenario", F.coalesce("part", F.lit("full")).alias("part"), "n", "pos", (F.col("pos") / F.col("n").cast("double")).alias("rate"))
@@ -70,7 +72,7 @@ def label_balance(stream: DataFrame, label: str = "y_ioc", share: float = 0.7) -
 
 def unique_tail(stream: DataFrame, share: float = 0.7) -> DataFrame:
     """scenario, unique tail edges, and how many of them any indicator touches."""
-    tail = with_split(stream, share).where("is_tail")
+    tail = with_tail(stream, share).where("is_tail")
     once = tail.groupBy("scenario", "t", "etype", "src", "dst").agg(F.max("y_ioc").alias("y"))
     return once.groupBy("scenario").agg(F.count("*").alias("n_unique"), F.count_if(F.col("y") > 0).alias("n_unique_ioc"))
 
@@ -87,48 +89,93 @@ def window_candidates(tail: DataFrame, prefix: DataFrame, width: int) -> DataFra
     return met.select("row_seq", "candidate", "candidate_seq")
 
 
-def window_candidate_counts(stream: DataFrame, width: int, share: float = 0.7) -> DataFrame:
-    """How many prefix edges of its type lie within ``width`` of each tail edge.
-
-    By running counts over time (RANGE frames) instead of pairs, so a busy window costs
-    nothing more."""
-    split = with_split(stream, share)
-    frame = Window.partitionBy("scenario", "etype").orderBy("t").rangeBetween(-width, width)
-    return split.withColumn("n_candidates", F.sum((~F.col("is_tail")).cast("bigint")).over(frame)).where("is_tail").select("row_seq", "scenario", "etype", "t", "n_candidates")
+def stretches(rows: DataFrame, width: int) -> DataFrame:
+    """Adds ``_b``, the row's stretch of ``width``."""
+    return rows.withColumn("_b", F.floor(F.col("t") / width))
 
 
-def sampled_negatives(stream: DataFrame, mode: str = "pool", share: float = 0.7, seed: int = 42, width: int = 3600) -> DataFrame:
-    """A wrong destination for each tail edge. Modes: random (any destination of the
-    scenario's training part), pool (of the edge's type), inbatch (of another tail edge),
-    window (of its type within ``width``). The choice depends on seed and row only.
+def window_candidate_counts(stream: DataFrame, width: int, share: float = 0.7) -> DataFrame:
+    """How many prefix edges of its type lie within ``width`` of each tail edge.
 
-    Distinct destinations are numbered, and each edge draws a number: an equi-join, no
-    cross join."""
-    split = with_split(stream, share)
+    By running counts over the distinct times of a stretch and its neighbours (RANGE frames), so
+    neither a busy window nor a long scenario lies in one task: prefix edges are counted by
+    time first."""
+    split = with_tail(stream, share)
+    tail = stretches(split.where("is_tail").select("row_seq", "scenario", "etype", "t"), width)
+    counts = stretches(split.where("NOT is_tail").groupBy("scenario", "etype", "t").agg(F.count("*").alias("n")), width)
+    near = counts.withColumn("_b", F.explode(F.array(*[F.col("_b") + d for d in (-1, 0, 1)])))
+    asked = tail.select("scenario", "etype", "t", "_b").distinct().withColumn("n", F.lit(0)).withColumn("_asked", F.lit(True))
+    frame = Window.partitionBy("scenario", "etype", "_b").orderBy("t").rangeBetween(-width, width)
+    summed = near.withColumn("_asked", F.lit(False)).unionByName(asked).withColumn("n_candidates", F.sum("n").over(frame)).where("_asked").select("scenario", "etype", "t", "n_candidates")
+    return tail.join(summed, ["scenario", "etype", "t"]).select("row_seq", "scenario", "etype", "t", "n_candidates")
+
+
+def sampled_negatives(stream: DataFrame, mode: str = "pool", share: float = 0.7, seed: int = 42, width: int = 3600, max_cands: int | None = None) -> DataFrame:
+    """A wrong destination for each tail edge: ``negative``, never the edge's own, null where
+    there is no other. Modes: random (any destination of the scenario's training part), pool (of
+    the edge's type), inbatch (of another tail edge), window (of its type within ``width``,
+    of the ``max_cands`` latest if given; of its type at any time where the window has none).
+    The choice depends on seed and row only.
+
+    Distinct destinations are numbered and each edge draws a number: an equi-join, no cross
+    join. An edge that draws its own destination takes the next number."""
+    split = with_tail(stream, share)
     tail = split.where("is_tail")
     if mode == "window":
-        met = window_candidates(tail, split.where("NOT is_tail"), width)
-        draw = F.xxhash64(F.lit(seed), "row_seq", "candidate_seq")
-        chosen = met.groupBy("row_seq").agg(F.min_by("candidate", draw).alias("negative"))
-        return tail.join(chosen, "row_seq", "left")
+        return window_negatives(split, seed, width, max_cands)
     keys = ["scenario", "etype"] if mode == "pool" else ["scenario"]
     source = tail if mode == "inbatch" else split.where("NOT is_tail")
-    pool = source.select(*keys, F.col("dst").alias("negative")).distinct()
-    order = Window.partitionBy(*keys).orderBy("negative")
-    pool = pool.withColumn("_i", F.row_number().over(order) - 1)
+    return drawn_negatives(tail, source, keys, seed)
+
+
+def drawn_negatives(edges: DataFrame, source: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    pool = ranked(source.select(*keys, F.col("dst").alias("negative")).distinct(), keys, [F.col("negative")], "_i")
     size = pool.groupBy(*keys).agg(F.count("*").alias("_size"))
-    drawn = tail.join(F.broadcast(size), keys, "left").withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "row_seq"), F.col("_size")).cast("int"))
-    return drawn.join(pool, [*keys, "_i"], "left").drop("_i", "_size")
+    names = [f"_{c}_" for c in keys]
+    other = size.withColumnsRenamed(dict(zip(keys, names)))
+    drawn = edges.join(F.broadcast(other), reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(keys, names)]), "left").drop(*names)
+    drawn = drawn.withColumn("_first", F.pmod(S.draw(F.lit(seed), "row_seq"), F.col("_size")))
+    # both the drawn number and the next: where the first is the edge's own, the second counts
+    tries = drawn.select("row_seq", *keys, F.col("dst").alias("_own"), F.posexplode(F.array(F.col("_first"), F.pmod(F.col("_first") + 1, F.col("_size")))).alias("_try", "_i"))
+    found = tries.join(pool, [*keys, "_i"]).where(~F.col("negative").eqNullSafe(F.col("_own"))).groupBy("row_seq").agg(F.min_by("negative", "_try").alias("negative"))
+    return edges.join(found, "row_seq", "left")
+
+
+def window_negatives(split: DataFrame, seed: int, width: int, max_cands: int | None) -> DataFrame:
+    """Negatives within ``width`` by rank: a tail edge's candidates are a run of the prefix edges
+    of its type in time order, whose ends come from running counts, so it draws one number in
+    the run and no pairs are made."""
+    order = [F.col("t"), F.col("row_seq")]
+    prefix = ranked(split.where("NOT is_tail").select("scenario", "etype", "t", "row_seq", "dst"), ["scenario", "etype"], order, "_i")
+    ends = prefix.groupBy("scenario", "etype", "t").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
+    near = stretches(ends, width).withColumn("_b", F.explode(F.array(*[F.col("_b") + d for d in (-1, 0, 1)])))
+    tail = split.where("is_tail")
+    asked = stretches(tail.select("scenario", "etype", "t").distinct(), width).withColumns({"_lo": F.lit(None).cast("bigint"), "_hi": F.lit(None).cast("bigint"), "_asked": F.lit(True)})
+    frame = Window.partitionBy("scenario", "etype", "_b").orderBy("t").rangeBetween(-width, width)
+    runs = near.withColumn("_asked", F.lit(False)).unionByName(asked).withColumns({"_a": F.min("_lo").over(frame), "_z": F.max("_hi").over(frame)}).where("_asked").select("scenario", "etype", "t", "_a", "_z")
+    placed = tail.join(runs, ["scenario", "etype", "t"])
+    if max_cands:
+        placed = placed.withColumn("_a", F.greatest("_a", F.col("_z") - (max_cands - 1)))
+    size = F.col("_z") - F.col("_a") + 1
+    placed = placed.withColumn("_first", F.pmod(S.draw(F.lit(seed), "row_seq"), size)).withColumn("_size", size)
+    tries = placed.select("row_seq", "scenario", "etype", F.col("dst").alias("_own"), F.posexplode(F.array(*[F.col("_a") + F.pmod(F.col("_first") + d, F.col("_size")) for d in range(WINDOW_TRIES)])).alias("_try", "_i"))
+    met = tries.join(prefix.select("scenario", "etype", "_i", F.col("dst").alias("negative")), ["scenario", "etype", "_i"]).where(~F.col("negative").eqNullSafe(F.col("_own")))
+    found = met.groupBy("row_seq").agg(F.min_by("negative", "_try").alias("_in"))
+    any_time = drawn_negatives(tail, split.where("NOT is_tail"), ["scenario", "etype"], seed)
+    return any_time.join(found, "row_seq", "left").withColumn("negative", F.coalesce("_in", "negative")).drop("_in")
+
+
+#: Draws in a window before the whole of the type is drawn from.
+WINDOW_TRIES = 4
 
 
 def unseen_negatives(edges: DataFrame, seed: int = 42, tries: int = 8) -> DataFrame:
     """For each edge a triple that no edge of its scenario has and that is no self-loop: the
     first of ``tries`` seeded draws among the scenario's nodes; null if all fail."""
-    node = edges.select("scenario", F.explode(F.array("src", "dst")).alias("negative")).distinct()
-    node = node.withColumn("_i", F.row_number().over(Window.partitionBy("scenario").orderBy("negative")) - 1)
+    node = ranked(edges.select("scenario", F.explode(F.array("src", "dst")).alias("negative")).distinct(), ["scenario"], [F.col("negative")], "_i")
     size = node.groupBy("scenario").agg(F.count("*").alias("_size"))
-    drawn = edges.join(F.broadcast(size), "scenario").withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    drawn = drawn.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "row_seq", "_try"), F.col("_size")).cast("int"))
+    drawn = joined(edges, size, ["scenario"]).withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    drawn = drawn.withColumn("_i", F.pmod(S.draw(F.lit(seed), "row_seq", "_try"), F.col("_size")))
     named = drawn.join(node, ["scenario", "_i"]).where("negative <> src")
     seen = edges.select("scenario", "src", "etype", F.col("dst").alias("negative")).distinct()
     fresh = named.join(seen, ["scenario", "src", "etype", "negative"], "left_anti")

@@ -376,7 +376,7 @@ def edge_features(spark, sf_dir):
 @query(f"""{SPLIT}, ends AS (SELECT scenario, etype, src AS node, 1 AS o, 0 AS i FROM prefix UNION ALL SELECT scenario, etype, dst, 0, 1 FROM prefix)
 SELECT scenario, node, round(ln(1 + sum(i)), 6) AS log_in, round(ln(1 + sum(o)), 6) AS log_out, {", ".join(f"round(sum(CASE WHEN etype = {k} THEN o ELSE 0 END) / CAST(greatest(1, sum(o)) AS DOUBLE), 6) AS share_{k}" for k in range(5))} FROM ends GROUP BY scenario, node""")
 def degree_shares(spark, sf_dir):
-    prefix = R.with_split(I.scores(spark, sf_dir)).where("NOT is_tail")
+    prefix = R.with_tail(I.scores(spark, sf_dir)).where("NOT is_tail")
     d = G.degrees(prefix, 5)
     return d.select("scenario", "node", *[F.round(c, 6).alias(c) for c in d.columns[2:]])
 
@@ -477,7 +477,7 @@ def neg_window_candidates(spark, sf_dir):
 
 @query(f"{SPLIT} SELECT t.row_seq, p.row_seq AS candidate_seq, p.dst AS candidate FROM tail t JOIN prefix p ON p.scenario = t.scenario AND p.etype = t.etype AND abs(p.t - t.t) <= 3600")
 def neg_window_pairs(spark, sf_dir):
-    split = R.with_split(I.scores(spark, sf_dir))
+    split = R.with_tail(I.scores(spark, sf_dir))
     return D.window_candidates(split.where("is_tail"), split.where("NOT is_tail"), 3600).select("row_seq", "candidate_seq", "candidate")
 
 

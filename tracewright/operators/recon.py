@@ -36,10 +36,11 @@ def predicted_stage(least: float = 0.0) -> Column:
     return F.when(s.isin(list(STAGES)) & sure, s).otherwise("")
 
 
-def has_predictions(scores: DataFrame, rows: int = 200) -> bool:
-    """Whether one of the first ``rows`` rows has a predicted stage."""
+def has_predictions(scores: DataFrame, rows: int | None = None) -> bool:
+    """Whether a row (one of the first ``rows``, if given) has a predicted stage."""
     s = F.trim(F.coalesce("pred_stage", F.lit("")))
-    return not scores.where((F.col("row_seq") < rows) & (s != "") & (s != "none")).isEmpty()
+    looked = scores if rows is None else scores.where(F.col("row_seq") < rows)
+    return not looked.where((s != "") & (s != "none")).isEmpty()
 
 
 def votes(rows: DataFrame, least: int = 1, by: Sequence[str] = ()) -> DataFrame:

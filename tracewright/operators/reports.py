@@ -22,6 +22,12 @@ def fields(runs: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return runs.select("*", *[F.get_json_object("json", p).alias(c) for c, p in wanted.items()])
 
 
+def summaries(spark: SparkSession, path: str, wanted: dict[str, tuple[str, str]], name: str = "run_summary.json") -> DataFrame:
+    """``run_files`` with typed columns: name -> (JSON path, type); null where absent or no such value."""
+    runs = fields(run_files(spark, path, name), {c: p for c, (p, _) in wanted.items()})
+    return runs.select("path", "run", "scenario", *[F.col(c).try_cast(kind).alias(c) for c, (_, kind) in wanted.items()])
+
+
 def not_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 

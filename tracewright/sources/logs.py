@@ -92,8 +92,10 @@ def azure_events(df: DataFrame) -> DataFrame:
         S.host_prefix(F.col("scenario"), column(df, "Computer")).alias("prefix"), S.event_data(text(df, "EventData")).alias("m"), text(df, "RenderedDescription", "Message").alias("msg"),
     )
     field = lambda *names: F.coalesce(*[S.blank_to_null(F.try_element_at("m", F.lit(n))) for n in names])
+    # a generator is evaluated once for a row; columns would be for each use of the map
+    f = f.select("scenario", "source_file", "row_idx", "ts", "prefix", F.explode(F.array("m")).alias("m"), "msg")
     f = f.select(
-        "*", field("Image", "TargetImage").alias("img"), field("ParentImage").alias("pimg"), field("ProcessId", "ProcessID").alias("pid"), field("ParentProcessId", "ParentProcessID").alias("ppid"),
+        *[c for c in f.columns if c != "m"], field("Image", "TargetImage").alias("img"), field("ParentImage").alias("pimg"), field("ProcessId", "ProcessID").alias("pid"), field("ParentProcessId", "ParentProcessID").alias("ppid"),
         F.coalesce(field("CommandLine", "Commandline"), F.lit("")).alias("cmd"), field("DestinationIp").alias("dip"), field("DestinationPort", "DestinationPortName").alias("dport"), field("DestinationHostname").alias("dhost"),
         F.when(F.lower(field("Initiated")) == "true", "outbound").otherwise("unknown").alias("dir"), F.lower(F.coalesce(field("Protocol", "DestinationPortName"), F.lit(""))).alias("proto_"),
     )
@@ -210,7 +212,7 @@ def numbered(df: DataFrame, limit: int | None = None) -> DataFrame:
     counted = keyed.groupBy("_file", "_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))
     before = Window.partitionBy("_file").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     start = counted.select("_file", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    out = keyed.withColumn("_n", F.row_number().over(within)).join(F.broadcast(start), ["_file", "_p"])
+    out = keyed.withColumn("_n", F.row_number().over(within)).join(start, ["_file", "_p"])  # a row for each part of a file: not broadcast
     out = out.withColumn("row_idx", (F.col("_start") + F.col("_n") - 1).cast("bigint")).drop("_file", "_p", "_m", "_c", "_n", "_start")
     return out if limit is None else out.where(F.col("row_idx") < limit)
 
@@ -221,10 +223,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_log(spark: SparkSession, path: str, log: str, scenario: str, limit: int | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str, log: str, scenario: str, limit: int | None = None, multi_line: bool = True) -> DataFrame:
     """Raw rows of a log, all fields text, with scenario, source_file and row_idx.
 
-    A Parquet file beside a CSV file is preferred. IDS lines that are blank or no JSON are
+    A Parquet file beside a CSV file is preferred. With ``multi_line`` fields may hold line breaks
+    and one task reads a CSV file; without, files are split. IDS lines that are blank or no JSON are
     skipped before rows are numbered."""
     name = path.rsplit("/", 1)[-1]
     if log == "eve":
@@ -238,16 +241,17 @@ def read_log(spark: SparkSession, path: str, log: str, scenario: str, limit: int
         if path.endswith(".parquet"):
             raw = spark.read.parquet(path)
         else:
-            raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+            raw = spark.read.option("header", "true").option("multiLine", multi_line).option("escape", '"').csv(path)
         have = [c for c in raw.columns if c in COLUMNS[log]]
         rows = numbered(raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in have], "_metadata"), limit).drop("_metadata")
     return rows.withColumn("scenario", F.lit(scenario)).withColumn("source_file", F.lit(name))
 
 
 def with_sequence(events: DataFrame, logs: list[str]) -> DataFrame:
-    """Adds ``event_seq``, unique and ordered by log (as configured), row and part."""
+    """Adds ``event_seq``, unique and ordered by log (as configured), row (up to 2^34) and part (up
+    to 2^20, as many answers as a DNS row may have)."""
     place = F.coalesce(*[F.when(F.col("log") == log, F.lit(i)) for i, log in enumerate(logs)], F.lit(len(logs)))
-    return events.withColumn("event_seq", F.shiftleft(place.cast("bigint"), 54) + F.shiftleft(F.col("row_idx"), 10) + F.col("part"))
+    return events.withColumn("event_seq", F.shiftleft(place.cast("bigint"), 54) + F.shiftleft(F.col("row_idx"), 20) + F.col("part"))
 
 
 def load_scenario(spark: SparkSession, root: str, catalog: dict, scenario: str, family: str = "full", only_ioc_logs: bool = True, limit: int | None = None) -> DataFrame | None:

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import RULES, SCENARIO_FILES
 from ..functions import scalars as S
@@ -95,6 +96,76 @@ def write_partitioned(df: DataFrame, path: str, by: str = "scenario") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def read_stream(spark: SparkSession, path: str, wanted: tuple[str, ...] = ("scenario", "src", "dst", "t", "etype")) -> DataFrame:
+    """A stored stream; an error says which of the ``wanted`` columns it lacks."""
+    found = spark.read.parquet(path)
+    missing = [c for c in wanted if c not in found.columns]
+    if missing:
+        raise ValueError(f"{path} is no stream: it lacks {', '.join(missing)}")
+    return found
+
+
+def ensure_stream(spark: SparkSession, events: str, path: str, regenerate: bool = False, precision: str = "double") -> DataFrame:
+    """The stored stream, made from stored events first where it is missing (or ``regenerate``)."""
+    from ..operators.graph import edge_stream
+    from .logs import exists
+
+    if regenerate or not exists(spark, path):
+        write_partitioned(edge_stream(spark.read.parquet(events), precision), path)
+    return read_stream(spark, path)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts) of a stored graph."""
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges", "counts"))
+
+
+def write_graph(events: DataFrame, path: str, attributes: list[str] = ()) -> None:
+    """Nodes with their latest attributes, edges and counts by type, each by scenario."""
+    from ..operators.graph import edge_stream, graph_counts, nodes
+
+    for part, table in (("nodes", nodes(events, attributes)), ("edges", edge_stream(events)), ("counts", graph_counts(events))):
+        write_partitioned(table, f"{path}/{part}")
+
+
+def decode_meta(events: DataFrame) -> DataFrame:
+    """What decodes a stream: scenario, kind ('node' or 'edge'), type, first id and number of a node
+    type, number of an edge type (by name)."""
+    from ..operators.graph import nodes
+
+    n = nodes(events).groupBy("scenario", F.lit("node").alias("kind"), F.col("node_type").alias("type")).agg(F.min("global_id").alias("first"), F.count("*").alias("n"))
+    kinds = events.select("scenario", F.concat_ws(">", "src_type", "edge_type", "dst_type").alias("type")).groupBy("scenario", "type").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("scenario").orderBy("type")  # one row for each kind of edge
+    return n.unionByName(kinds.select("scenario", F.lit("edge").alias("kind"), "type", (F.row_number().over(order) - 1).cast("bigint").alias("first"), "n"))
+
+
+def patch_latency(spark: SparkSession, path: str, milliseconds: float, out: str) -> None:
+    """A stored JSON result with its latency set, written to ``out``."""
+    spark.read.json(path).withColumn("latency_ms_per_1k", F.lit(float(milliseconds))).write.mode("overwrite").json(out)
+
+
+def stage_maps(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
+    """A stage-map file: ``stages``, and maps from indicator types and tactics to them."""
+    found = json.loads(whole_text(spark, path).first()[0])
+    known = set(found.get("stages", []))
+    for name in ("ioc_type_to_stage", "tactic_to_stage"):
+        unknown = {s for s in found.get(name, {}).values()} - known
+        if unknown:
+            raise ValueError(f"{name} names unknown stages: {', '.join(sorted(unknown))}")
+    return found
+
+
+def write_text(rows: DataFrame, folder: str, name: str) -> None:
+    """The one text row as the file ``name`` in ``folder``."""
+    hadoop = rows.sparkSession._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{folder}/{name}")
+    out = path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(rows.first()[0].encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_alerts(df: DataFrame, path: str) -> None:
     """Alerts as JSON lines, and a CSV summary without nested columns."""
     df.write.mode("overwrite").json(f"{path}/alerts_json")
@@ -119,7 +190,7 @@ def graphml(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 def with_dense_ids(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """Edges with 0-based node numbers in place of keys."""
-    from pyspark.sql.window import Window
+    from ..operators.ranges import ranked
 
-    ids = nodes.select(F.col(key)).distinct().withColumn("n", F.row_number().over(Window.orderBy(key)) - 1)
+    ids = ranked(nodes.select(F.col(key)).distinct(), [], [F.col(key)], "n")
     return edges.join(ids.select(F.col(key).alias("source"), F.col("n").alias("src")), "source").join(ids.select(F.col(key).alias("target"), F.col("n").alias("dst")), "target")

@@ -92,7 +92,11 @@ def path_outlier_scores(spark, sf_dir):
     return R.path_outlier(I.scores(spark, sf_dir)).select("scenario", "row_seq", F.round("score", 6).alias("score"))
 
 
-@query()
+def drawn(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 13) AS BIGINT)"
+
+
+@query(f"{SPLIT} SELECT scenario, row_seq, {drawn('42', 'scenario', 'row_seq')} / CAST({1 << 52} AS DOUBLE) AS score FROM tail")
 def random_scores(spark, sf_dir):
     return R.random_scores(I.scores(spark, sf_dir)).select("scenario", "row_seq", "score")
 
@@ -152,6 +156,17 @@ def topk_group_cap(spark, sf_dir):
     return shown(R.top_k_group_cap(I.scores(spark, sf_dir), 100))
 
 
+PORTED = "ported AS (SELECT *, CASE WHEN dst % 3 = 0 THEN 443 ELSE 4444 END AS dst_port, src % 2 AS src_port FROM pairs)"
+CAPPED = " UNION ALL ".join(f"SELECT '{name}' AS key, {SHOWN} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, row_seq) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY score DESC, row_seq) AS gn FROM ported) WHERE gn <= 2) WHERE rank <= 50" for name, by in R.GROUPS.items())
+
+
+@query(f"{BASE}, {PAIRS}, {PORTED} {CAPPED}")
+def topk_group_cap_keys(spark, sf_dir):
+    s = I.scores(spark, sf_dir).withColumns({"dst_port": F.when(F.col("dst") % 3 == 0, 443).otherwise(4444), "src_port": F.col("src") % 2})
+    found = [R.top_k_group_cap(s, 50, key, 2).select(F.lit(key).alias("key"), *SHOWN.split(", ")) for key in R.GROUPS]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query(f"""{BASE}, {PAIRS}, hot AS (SELECT etype, src FROM (SELECT * FROM pairs ORDER BY score DESC, row_seq LIMIT 500) GROUP BY etype, src HAVING count(*) >= 4),
 capped AS (SELECT p.*, row_number() OVER (PARTITION BY p.etype, p.src ORDER BY score DESC, row_seq) AS gn, h.etype IS NOT NULL AS is_hot FROM pairs p LEFT JOIN hot h ON h.etype = p.etype AND h.src = p.src)
 SELECT {SHOWN} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, row_seq) AS rank FROM capped WHERE NOT is_hot OR gn <= 2) WHERE rank <= 100""")
@@ -250,11 +265,41 @@ def line_truth_stage(spark, sf_dir):
     return C.with_stage(I.scores(spark, sf_dir), truth_lines(spark, sf_dir)).select("row_seq", "stage")
 
 
-@query()
+def top_sql(name: str, source: str) -> str:
+    """``name`` (row_seq, rank): the best events of ``source``, shown as their last rows."""
+    return f"""{name} AS (SELECT l.row_seq, row_number() OVER (ORDER BY d.score DESC, d.row_seq) AS rank FROM (SELECT scenario, t, etype, src, dst, max(score) AS score, min(row_seq) AS row_seq FROM {source} GROUP BY ALL) d
+JOIN (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY scenario, t, etype, src, dst ORDER BY row_seq DESC) = 1) l USING (scenario, t, etype, src, dst))"""
+
+
+def adaptive_sql(k: int) -> str:
+    return f"""hot{k} AS (SELECT etype, src FROM (SELECT * FROM pairs ORDER BY score DESC, row_seq LIMIT {5 * k}) GROUP BY etype, src HAVING count(*) >= 4),
+adaptive{k} AS (SELECT row_seq, row_number() OVER (ORDER BY score DESC, row_seq) AS rank FROM (SELECT p.*, row_number() OVER (PARTITION BY p.etype, p.src ORDER BY score DESC, row_seq) AS gn, h.etype IS NOT NULL AS is_hot FROM pairs p LEFT JOIN hot{k} h ON h.etype = p.etype AND h.src = p.src) WHERE NOT is_hot OR gn <= 2)"""
+
+
+def recon_sql() -> str:
+    modes = {"by_k": "best", "by_k_pair_dedupe": "paired", "by_k_ioc_log_sources": "of_logs", "by_k_source_quota": "quota", "by_k_group_cap": "capped", "by_k_group_cap_adaptive": "adaptive{k}", "by_k_ioc_pool_upper_bound": "of_iocs", "by_k_pred_stage": "best"}
+    parts = [f"SELECT '{m}' AS mode, {k} AS k, stage FROM staged JOIN {t.format(k=k)} USING (row_seq) WHERE rank <= {k} AND {'TRUE' if m.endswith('pred_stage') else 'is_ioc = 1'}".replace(" AS k, stage", " AS k, pred AS stage" if m.endswith("pred_stage") else " AS k, stage") for m, t in modes.items() for k in (10, 100)]
+    parts += [f"SELECT '{m}', NULL, {c} FROM staged JOIN shown_alerts USING (row_seq)" for m, c in (("by_alert_rule", "stage"), ("by_alert_pred_stage", "pred"))]
+    every = " UNION ALL ".join([f"SELECT '{m}' AS mode, {k} AS k" for m in modes for k in (10, 100)] + [f"SELECT '{m}', NULL" for m in ("by_alert_rule", "by_alert_pred_stage")])
+    return f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, lines AS (SELECT DISTINCT source_file, row_idx + row_idx % 2 AS line FROM scores WHERE row_idx % 11 = 0),
+staged AS (SELECT s.*, {STAGE} AS pred, CASE WHEN a.line IS NOT NULL OR b.line IS NOT NULL THEN 'exfiltration_impact' ELSE {STAGE} END AS stage FROM scores s LEFT JOIN lines a ON a.source_file = s.source_file AND a.line = s.row_idx LEFT JOIN lines b ON b.source_file = s.source_file AND b.line = s.row_idx + 1),
+{PAIRS}, {top_sql("best", "scores")}, in_logs AS (SELECT * FROM scores WHERE source_file = 'eve.json'), {top_sql("of_logs", "in_logs")}, iocs AS (SELECT * FROM scores WHERE is_ioc = 1), {top_sql("of_iocs", "iocs")},
+paired AS (SELECT row_seq, row_number() OVER (ORDER BY score DESC, row_seq) AS rank FROM pairs),
+placed_sources AS (SELECT *, CASE source_file WHEN 'eve.json' THEN 0 WHEN 'zeek_conn.csv' THEN 1 ELSE 2 END AS place FROM pairs), own AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, row_seq) <= CASE place WHEN 0 THEN 30 WHEN 1 THEN 20 ELSE 0 END AS by_quota FROM placed_sources),
+quota AS (SELECT row_seq, row_number() OVER (ORDER BY by_quota DESC, CASE WHEN by_quota THEN place ELSE 0 END, score DESC, row_seq) AS rank FROM own),
+capped AS (SELECT row_seq, row_number() OVER (ORDER BY score DESC, row_seq) AS rank FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY etype, dst ORDER BY score DESC, row_seq) <= 5)), {adaptive_sql(10)}, {adaptive_sql(100)},
+{DEDUPED.format("scores")}, {HIGH.format("0.99")}, {WINDOWS}, {REACH}, clustered AS (SELECT p.*, count(*) OVER (PARTITION BY p.scenario, p.window_no, l.component) AS size FROM placed p JOIN labels l ON l.scenario = p.scenario AND l.window_no = p.window_no AND l.node = p.src),
+shown_alerts AS (SELECT l.row_seq FROM clustered c JOIN (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY scenario, t, etype, src, dst ORDER BY row_seq DESC) = 1) l USING (scenario, t, etype, src, dst) WHERE size >= 3),
+chosen AS ({" UNION ALL ".join(parts)}), every_mode AS ({every}),
+p AS (SELECT mode, k, count(*) AS n, count(*) FILTER (stage IN ({", ".join(f"'{x}'" for x in OBSERVED)})) AS m, string_agg(stage, ',' ORDER BY stage) AS s FROM (SELECT DISTINCT mode, k, stage FROM chosen WHERE stage <> '') GROUP BY mode, k)
+SELECT e.mode, e.k, coalesce(s, '') AS predicted_stages, round(coalesce(m, 0) / 4.0, 6) AS stage_recall, round(coalesce(m, 0) / CAST(greatest(1, coalesce(n, 0)) AS DOUBLE), 6) AS stage_precision, coalesce(m, 0) AS lcs_length, round(coalesce(m, 0) / 4.0, 6) AS ordered_stage_recall_lcs FROM every_mode e LEFT JOIN p ON p.mode = e.mode AND p.k IS NOT DISTINCT FROM e.k"""
+
+
+@query(recon_sql())
 def recon_all_modes(spark, sf_dir):
     s = I.scores(spark, sf_dir).withColumn("pred_stage", S.stage_of_type(F.col("ioc_type"))).withColumn("pred_stage_prob", F.lit(0.9))
     found = C.evaluate(s, OBSERVED, (10, 100), truth_lines(spark, sf_dir), ["eve.json"], QUOTAS, {}, {"hot": 4, "cap": 2}, True, {"width": DAY})
-    return found.withColumn("predicted_stages", F.array_join("predicted_stages", ","))
+    return found.select("mode", "k", F.array_join("predicted_stages", ",").alias("predicted_stages"), F.col("lcs_length").cast("bigint").alias("lcs_length"), *[F.round(c, 6).alias(c) for c in ("stage_recall", "stage_precision", "ordered_stage_recall_lcs")])
 
 
 @query(f"{BASE} SELECT count(*) AS n_rows_total, count(*) FILTER (source_file IN ('eve.json', 'zeek_conn.csv')) AS n_rows_candidate, count(*) FILTER (source_file NOT IN ('eve.json', 'zeek_conn.csv')) AS n_rows_excluded FROM scores")
@@ -283,13 +328,14 @@ TACTICS = sorted(K.TACTIC_STAGE)
 
 @query(f"""{BASE}, seen AS (SELECT DISTINCT scenario, {STAGE} AS stage FROM scores WHERE is_ioc = 1 AND ioc_type <> 'data_exfiltration'),
 sem AS (SELECT DISTINCT scenario, CASE etype {" ".join(f"WHEN {i} THEN '{K.TACTIC_STAGE[t]}'" for i, t in enumerate(TACTICS[:5]))} END AS stage FROM scores),
-o AS (SELECT scenario, string_agg(stage, ',' ORDER BY {ORDERED}) AS observable FROM seen WHERE stage <> '' GROUP BY scenario), m AS (SELECT scenario, string_agg(stage, ',' ORDER BY {ORDERED}) AS semantic FROM sem GROUP BY scenario)
-SELECT m.scenario, semantic, coalesce(observable, '') AS observable FROM m LEFT JOIN o ON o.scenario = m.scenario""")
+o AS (SELECT scenario, string_agg(stage, ',' ORDER BY {ORDERED}) AS observable FROM seen WHERE stage <> '' GROUP BY scenario), m AS (SELECT scenario, string_agg(stage, ',' ORDER BY {ORDERED}) AS semantic FROM sem GROUP BY scenario),
+u AS (SELECT s.scenario, string_agg(s.stage, ',' ORDER BY s.stage) AS unobserved FROM sem s LEFT JOIN seen x ON x.scenario = s.scenario AND x.stage = s.stage WHERE x.stage IS NULL GROUP BY s.scenario)
+SELECT m.scenario, semantic, coalesce(observable, '') AS observable, coalesce(unobserved, '') AS unobserved FROM m LEFT JOIN o ON o.scenario = m.scenario LEFT JOIN u ON u.scenario = m.scenario""")
 def stage_truth(spark, sf_dir):
     s = I.scores(spark, sf_dir)
     tactic = F.element_at(F.array(*[F.lit(t.replace("-", "_").upper()) for t in TACTICS[:5]]), F.col("etype") + 1)
     truth = C.stage_truth(s.select("scenario", tactic.alias("tactic")), s.where("is_ioc = 1 AND ioc_type <> 'data_exfiltration'"))
-    return truth.select("scenario", F.array_join("semantic", ",").alias("semantic"), F.array_join("observable", ",").alias("observable"))
+    return truth.select("scenario", F.array_join("semantic", ",").alias("semantic"), F.array_join("observable", ",").alias("observable"), F.array_join("unobserved", ",").alias("unobserved"))
 
 
 # --- events and graphs -------------------------------------------------------------------
@@ -308,13 +354,8 @@ SELECT scenario, src_key, ts, last_ord + nth AS ord, delta_t, CASE lvl WHEN 0 TH
 LINKED = ("scenario", "src_key", "ts", "ord", "delta_t", "cause_rule", "confidence")
 
 
-@query(CAUSAL.format(3, "FALSE"))
-def causal_level0(spark, sf_dir):
-    return G.causal_edges(I.canon(spark, sf_dir), "level0", 5000.0, 3).select(*LINKED)
-
-
 @query(CAUSAL.format(1000, "FALSE"))
-def causal_level0_all(spark, sf_dir):
+def causal_level0(spark, sf_dir):
     return G.causal_edges(I.canon(spark, sf_dir), "level0", 5000.0).select(*LINKED)
 
 
@@ -364,13 +405,15 @@ def hashed(c: str) -> str:
     return f"CAST('0x' || substr(md5('{c}=' || {c}), 1, 7) AS BIGINT) % 8"
 
 
+FLAG_SQL = " || '|' || ".join(f"CAST(CAST(regexp_matches(lower(cmdline), '{p}') AS INT) AS VARCHAR)" for p in (K.COMMAND_FLAGS[f] for f in K.FEATURE_FLAGS[:8]))
+
+
 @query(f"""{CANON}, v AS (SELECT *, {hashed('proto')} AS h1, {hashed('service')} AS h2, lower(trim(coalesce(direction, ''))) AS d FROM canon)
-SELECT event_seq, {" || '|' || ".join(["CAST(CAST(coalesce(bytes_sent, 0) AS BIGINT) AS VARCHAR)", "CASE WHEN d IN ('in', 'inbound') THEN '100' WHEN d IN ('out', 'outbound') THEN '010' ELSE '001' END", *[f"CAST(coalesce(CAST(h1 = {i} AS INT), 0) + coalesce(CAST(h2 = {i} AS INT), 0) AS VARCHAR)" for i in range(8)]])} AS features FROM v""")
+SELECT event_seq, CAST(coalesce(bytes_sent, 0) AS VARCHAR) || '|' || CAST(coalesce(bytes_sent, 0) * 2 AS VARCHAR) || '|' || CAST(event_seq % 5 AS VARCHAR) || '|' || CAST(event_seq % 3 AS VARCHAR) || '|' || CASE WHEN d IN ('in', 'inbound') THEN '1|0|0' WHEN d IN ('out', 'outbound') THEN '0|1|0' ELSE '0|0|1' END || '|' || {FLAG_SQL} || '|' || CAST(event_seq % 2 AS VARCHAR) || '|0|0|' || CAST(CAST(event_seq % 7 = 0 AS INT) AS VARCHAR) || '|' || {" || '|' || ".join(f"CAST(coalesce(CAST(h1 = {i} AS INT), 0) + coalesce(CAST(h2 = {i} AS INT), 0) AS VARCHAR)" for i in range(8))} AS features FROM v""")
 def edge_features(spark, sf_dir):
     e = I.canon(spark, sf_dir)
-    v = e.select("event_seq", G.edge_features(e).alias("v"))
-    whole = lambda i: F.get("v", F.lit(i)).cast("bigint").cast("string")
-    return v.select("event_seq", F.concat_ws("|", whole(0), F.concat(*[whole(i) for i in (4, 5, 6)]), *[whole(19 + i) for i in range(8)]).alias("features"))
+    e = e.withColumns({"bytes_recv": F.col("bytes_sent") * 2, "bytes": F.col("event_seq") % 5, "delta_t": F.col("event_seq") % 3, **X.command_flags(F.col("cmdline")), "has_jwt": F.col("event_seq") % 2 == 1, "has_known_registry_domain": F.when(F.col("event_seq") % 7 == 0, True)})
+    return e.select("event_seq", F.array_join(F.transform(G.edge_features(e), lambda x: x.cast("bigint").cast("string")), "|").alias("features"))
 
 
 @query(f"""{SPLIT}, ends AS (SELECT scenario, etype, src AS node, 1 AS o, 0 AS i FROM prefix UNION ALL SELECT scenario, etype, dst, 0, 1 FROM prefix)
@@ -481,16 +524,61 @@ def neg_window_pairs(spark, sf_dir):
     return D.window_candidates(split.where("is_tail"), split.where("NOT is_tail"), 3600).select("row_seq", "candidate_seq", "candidate")
 
 
-@query()
+def pooled(keys: str, source: str = "prefix") -> str:
+    """Draws from the numbered distinct destinations of ``keys``: the first that isn't the edge's own."""
+    by = " AND ".join(f"p.{c} = t.{c}" for c in keys.split(", "))
+    n = " AND ".join(f"n.{c} = t.{c}" for c in keys.split(", "))
+    return f"""pool AS (SELECT {keys}, dst, row_number() OVER (PARTITION BY {keys} ORDER BY dst) - 1 AS i FROM (SELECT DISTINCT {keys}, dst FROM {source})), sizes AS (SELECT {keys}, count(*) AS size FROM pool GROUP BY {keys}),
+tries AS (SELECT t.row_seq, x.d, p.dst AS negative FROM tail t JOIN sizes n ON {n} CROSS JOIN (VALUES (0), (1)) x(d) JOIN pool p ON {by} AND p.i = ({drawn('42', 't.row_seq')} % n.size + x.d) % n.size WHERE p.dst <> t.dst),
+drawn AS (SELECT row_seq, arg_min(negative, d) AS negative FROM tries GROUP BY row_seq)"""
+
+
+@query(f"{SPLIT}, {pooled('scenario, etype')} SELECT row_seq, scenario, etype, src, dst, negative FROM tail LEFT JOIN drawn USING (row_seq)")
 def sampled_negatives(spark, sf_dir):
     return D.sampled_negatives(I.scores(spark, sf_dir), "pool").select("row_seq", "scenario", "etype", "src", "dst", "negative")
 
 
-@query()
+@query(f"{SPLIT}, {pooled('scenario')} SELECT row_seq, negative FROM tail LEFT JOIN drawn USING (row_seq)")
+def random_negatives(spark, sf_dir):
+    return D.sampled_negatives(I.scores(spark, sf_dir), "random").select("row_seq", "negative")
+
+
+@query(f"{SPLIT}, {pooled('scenario', 'tail')} SELECT row_seq, negative FROM tail LEFT JOIN drawn USING (row_seq)")
+def inbatch_negatives(spark, sf_dir):
+    return D.sampled_negatives(I.scores(spark, sf_dir), "inbatch").select("row_seq", "negative")
+
+
+@query(f"""{SPLIT}, {pooled('scenario, etype')}, numbered AS (SELECT *, row_number() OVER (PARTITION BY scenario, etype ORDER BY t, row_seq) - 1 AS i FROM prefix),
+runs AS (SELECT t.row_seq, t.scenario, t.etype, t.dst, greatest(min(p.i), max(p.i) - 49) AS a, max(p.i) AS z FROM tail t JOIN numbered p ON p.scenario = t.scenario AND p.etype = t.etype AND p.t BETWEEN t.t - {DAY} AND t.t + {DAY} GROUP BY ALL),
+near AS (SELECT r.row_seq, arg_min(p.dst, x.d) AS negative FROM runs r CROSS JOIN (VALUES (0), (1), (2), (3)) x(d) JOIN numbered p ON p.scenario = r.scenario AND p.etype = r.etype AND p.i = a + ({drawn('42', 'r.row_seq')} % (z - a + 1) + x.d) % (z - a + 1) WHERE p.dst <> r.dst GROUP BY r.row_seq)
+SELECT row_seq, coalesce(n.negative, d.negative) AS negative FROM tail LEFT JOIN near n USING (row_seq) LEFT JOIN drawn d USING (row_seq)""")
+def window_negatives(spark, sf_dir):
+    return D.sampled_negatives(I.scores(spark, sf_dir), "window", width=DAY, max_cands=50).select("row_seq", "negative")
+
+
+@query(f"""{BASE}, node AS (SELECT scenario, n, row_number() OVER (PARTITION BY scenario ORDER BY n) - 1 AS i FROM (SELECT scenario, src AS n FROM scores UNION SELECT scenario, dst FROM scores)), sizes AS (SELECT scenario, count(*) AS size FROM node GROUP BY scenario),
+seen AS (SELECT DISTINCT scenario, src, etype, dst FROM scores), tries AS (SELECT s.row_seq, x.d, n.n AS negative FROM scores s JOIN sizes z USING (scenario) CROSS JOIN (SELECT unnest(range(8)) AS d) x JOIN node n ON n.scenario = s.scenario AND n.i = {drawn('42', 's.row_seq', 'x.d')} % z.size
+LEFT JOIN seen e ON e.scenario = s.scenario AND e.src = s.src AND e.etype = s.etype AND e.dst = n.n WHERE n.n <> s.src AND e.dst IS NULL), first AS (SELECT row_seq, arg_min(negative, d) AS negative FROM tries GROUP BY row_seq)
+SELECT row_seq, scenario, etype, src, negative FROM scores LEFT JOIN first USING (row_seq)""")
 def unseen_negatives(spark, sf_dir):
     return D.unseen_negatives(I.scores(spark, sf_dir)).select("row_seq", "scenario", "etype", "src", "negative")
 
 
+@query(f"""{SPLIT}, w AS (SELECT *, CASE WHEN pos < cut THEN 1 ELSE 0 END AS seen FROM parts)
+SELECT scenario, row_seq, {", ".join(f"round(ln(1 + coalesce(sum(seen) OVER (PARTITION BY scenario, {by} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 6) AS {name}" for name, by in (("log_src", "src"), ("log_dst", "dst"), ("log_pair", "src, dst"), ("log_triple", "src, dst, etype"), ("log_dst_etype", "dst, etype")))},
+round(coalesce(ln(1 + greatest(0, t - max(CASE WHEN seen = 1 THEN t END) OVER (PARTITION BY scenario, src ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), -1), 6) AS log_idle FROM w""")
+def link_history(spark, sf_dir):
+    """What the learned scores know of an edge's ends."""
+    return L.history(R.with_split(I.scores(spark, sf_dir))).select("scenario", "row_seq", *[F.round(c, 6).alias(c) for c in L.FEATURES])
+
+
+@query(f"{BASE} SELECT row_seq, {', '.join(f'CAST({c} > 0 AS INT) AS {n}' for n, c in (('ioc', 'y_ioc'), ('rule', 'y_rule'), ('rule_high', 'y_rule_high')))}, 0 AS off, CASE WHEN y_ioc = 0 THEN 1 ELSE 0 END AS benign FROM scores")
+def supervision_labels(spark, sf_dir):
+    s = I.scores(spark, sf_dir)
+    benign = D.benign_only(s).select("row_seq", F.lit(1).alias("benign"))
+    return s.join(benign, "row_seq", "left").select("row_seq", *[D.supervision_label(m).alias(m) for m in ("ioc", "rule", "rule_high", "off")], F.coalesce("benign", F.lit(0)).alias("benign"))
+
+
 @query()
 def learned_link_scores(spark, sf_dir):
     return L.link_scores(I.scores(spark, sf_dir).drop("score")).select("scenario", "row_seq", "score")
@@ -512,22 +600,31 @@ def stage_predictions(spark, sf_dir):
 
 
 # --- text and logs -----------------------------------------------------------------------
-@query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(url, '(?i)\bhttps?://[^\s"''<>]+'))) AS n_urls, len(list_distinct(regexp_extract_all(url, '(?i)\b(?:(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)\.)+(?:[a-z]{2,63})\b'))) AS n_domains FROM pages""")
+def plain(text: str) -> str:
+    """A text in which DuckDB's word boundaries, which are those of ASCII, lie where Unicode's do:
+    other letters and digits become an x, all else a blank."""
+    return f"regexp_replace(regexp_replace(coalesce({text}, ''), '[^\\x00-\\x7F\\pL\\pM\\pN]', ' ', 'g'), '[^\\x00-\\x7F]', 'x', 'g')"
+
+
+QUOTED = lambda p: p.replace("'", "''")
+URL_SQL = QUOTED(K.URL).replace("\\s", "\\s\\x0B")
+TLDS = "[s.e FOR s IN list_sort([{'n': -len([x FOR x IN ends IF x = e]), 'e': e} FOR e IN list_distinct(ends)])]"
+SIGNALS_SQL = rf"""WITH p AS (SELECT page_id, html AS raw, {plain('html')} AS t FROM pages), m AS (SELECT *, list_distinct(regexp_extract_all(t, '(?i){K.DOMAIN}')) AS domains FROM p),
+e AS (SELECT *, [lower(split_part(d, '.', -1)) FOR d IN domains] AS ends FROM m), r AS (SELECT *, {TLDS} AS tops FROM e)
+SELECT page_id, len(list_distinct(regexp_extract_all(raw, '(?i){URL_SQL}'))) AS n_urls, len(domains) AS n_domains, {", ".join(f"len(list_distinct(regexp_extract_all(t, '(?i){p}'))) AS {n}" for n, p in (("n_md5", K.MD5), ("n_sha1", K.SHA1), ("n_sha256", K.SHA256)))},
+CAST(len([d FOR d IN domains IF lower(d) IN ({", ".join(f"'{r}'" for r in K.REGISTRIES)})]) > 0 AS INT) AS has_known_registry_domain, {", ".join(f"coalesce(tops[{i}], '') AS top_tld_{i}" for i in (1, 2, 3))},
+{", ".join(f"CAST(regexp_matches(t, '{f}{p}') AS INT) AS {n}" for n, p, f in (("has_jwt", K.JWT, ""), ("has_base64_blob", K.BASE64, ""), ("has_azure_secret_hint", K.CLOUD_SECRET, "(?i)")))} FROM r"""
+
+
+@query(SIGNALS_SQL)
 def text_signals(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    s = X.signals(F.col("url"))
-    return p.select("page_id", s["n_urls"].cast("bigint").alias("n_urls"), s["n_domains"].cast("bigint").alias("n_domains"))
+    kind = lambda n: "string" if n.startswith("top_") else "int" if n.startswith("has_") else "bigint"
+    return p.select("page_id", *[c.cast(kind(n)).alias(n) for n, c in X.signals(F.col("html")).items()])
 
 
-@query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b'))) AS n_ips FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')""")
+@query(f"SELECT doc_id, len(list_distinct(regexp_extract_all({plain('text')}, '{K.IP}'))) AS n_ips FROM documents")
 def address_extract(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return d.select("doc_id", F.size(X.addresses(F.col("text"))).cast("bigint").alias("n_ips"))
-
-
-# no SQL: DuckDB's word boundaries are ASCII's, so address_extract compares texts of ASCII only
-@query()
-def address_extract_all(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.size(X.addresses(F.col("text"))).cast("bigint").alias("n_ips"))
 
@@ -543,11 +640,17 @@ def ports_of_keys(spark, sf_dir):
     return I.canon(spark, sf_dir).select("event_seq", S.port_of_key(F.col("dst_key")).alias("port"))
 
 
-@query("""SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS iso, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS day_first FROM events""")
+#: Formats of a timestamp's text, and what is added to the whole seconds.
+STAMPS = {"yyyy-MM-dd HH:mm:ss": 0, "yyyy-MM-dd'T'HH:mm:ss": 0, "yyyy-MM-dd HH:mm:ss.'125'": 0.125, "yyyy-MM-dd'T'HH:mm:ss.'250000Z'": 0.25, "yyyy-MM-dd'T'HH:mm:ss'-0500'": 18000, "yyyy-MM-dd'T'HH:mm:ss.'500+01:00'": -3599.5, "dd/MM/yyyy, HH:mm:ss": 0, "dd/MM/yyyy, HH:mm:ss.'125'": 0.125, "dd/MM/yyyy, hh:mm:ss a": 0, "dd/MM/yyyy HH:mm:ss": 0, "dd/MM/yyyy HH:mm:ss.'750'": 0.75}
+STAMP_NAMES = [f"t{i}" for i in range(len(STAMPS))]
+
+
+@query(f"""WITH {I.SQL_FIRST} SELECT event_id, {", ".join(f"CAST(tsec + {more} AS DOUBLE) AS {n}" for n, more in zip(STAMP_NAMES, STAMPS.values()))}, CAST(tsec - tsec % 86400 AS DOUBLE) AS day, CAST(tsec AS DOUBLE) AS epoch, CAST(NULL AS DOUBLE) AS bad FROM first_step""")
 def timestamps(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    iso, day = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.date_format("ts", "dd/MM/yyyy, HH:mm:ss")
-    return e.select("event_id", S.unix_seconds(iso).alias("iso"), S.unix_seconds(day).alias("day_first"))
+    e = I.first_step(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("ts", F.timestamp_seconds("tsec"))
+    text = lambda f: F.date_format("ts", f)
+    bad = F.element_at(F.array(*[F.lit(x) for x in ("", " ", "nan", "NaN", "no time", "1765728640", "2025-13-45", "45/13/2025")]), (F.col("event_id") % 8 + 1).cast("int"))
+    return e.select("event_id", *[S.unix_seconds(text(f)).alias(n) for n, f in zip(STAMP_NAMES, STAMPS)], S.unix_seconds(text("dd/MM/yyyy")).alias("day"), S.unix_seconds(F.col("tsec").cast("string"), True).alias("epoch"), S.unix_seconds(bad).alias("bad"))
 
 
 KEYS = "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE '10.0.0.' || CAST(s_suppkey % 9 AS VARCHAR(9)) END"

@@ -31,10 +31,12 @@ def history(split: DataFrame) -> DataFrame:
     return split.withColumns({"log_src": count("src"), "log_dst": count("dst"), "log_pair": count("src", "dst"), "log_triple": count("src", "dst", "etype"), "log_dst_etype": count("dst", "etype"), "log_idle": F.coalesce(F.log1p(F.greatest(idle, F.lit(0))), F.lit(-1.0))})
 
 
-def link_features(stream: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
+def link_features(stream: DataFrame, share: float = 0.7, seed: int = 42, benign: bool = False) -> DataFrame:
     """Training edges with sampled wrong ones (y = 1, 0) and the tail, with ``features``.
 
-    Negatives of training edges go through the same features, so both see the same past."""
+    Negatives of training edges go through the same features, so both see the same past. With
+    ``benign`` training edges that an indicator touches teach nothing (``y`` is null), but
+    are part of the past."""
     stream = stream.drop("score")
     split = with_split(stream, share)
     train = split.where("NOT is_tail").drop("is_tail", "pos")
@@ -43,11 +45,13 @@ def link_features(stream: DataFrame, share: float = 0.7, seed: int = 42) -> Data
     marked = split.withColumn("known", F.col("is_tail")).withColumn("y", F.lit(1.0))
     at = split.select("scenario", "row_seq", "pos")
     fake = wrong.join(at, ["scenario", "row_seq"]).withColumn("is_tail", F.lit(False)).withColumn("known", F.lit(True)).withColumn("y", F.lit(0.0))
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(history(marked.unionByName(fake)))
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(history(marked.unionByName(fake)))
+    return ready.withColumn("y", F.when((F.col("y_ioc") == 0) | F.col("is_tail"), F.col("y"))) if benign else ready
 
 
 def fit_link(learn: DataFrame, model: str = "logistic", seed: int = 42):
     """A fitted classifier of real edges (``y`` = 1); has ``write()`` and can be loaded again."""
+    learn = learn.where("y IS NOT NULL")
     if model == "mlp":
         return MultilayerPerceptronClassifier(layers=[len(FEATURES), 16, 2], seed=seed, maxIter=60, labelCol="y").fit(learn)
     return LogisticRegression(labelCol="y", maxIter=50, regParam=1e-4).fit(learn)
@@ -59,10 +63,11 @@ def anomaly(scored: DataFrame, columns: list[str]) -> DataFrame:
     return scored.select(*columns, (-F.log(F.greatest(p, F.lit(1e-12)))).alias("score"))
 
 
-def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic", seed: int = 42, fitted=None) -> DataFrame:
-    """Tail rows with an anomaly score, by ``fitted`` or a model of the training part."""
+def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic", seed: int = 42, fitted=None, benign: bool = False) -> DataFrame:
+    """Tail rows with an anomaly score, by ``fitted`` or a model of the training part (of its
+    benign edges only with ``benign``)."""
     stream = stream.drop("score")
-    vectors = link_features(stream, share, seed)
+    vectors = link_features(stream, share, seed, benign)
     fitted = fitted or fit_link(vectors.where("NOT is_tail"), model, seed)
     return anomaly(fitted.transform(vectors.where("is_tail")), [*stream.columns, "pos"])
 
@@ -92,10 +97,11 @@ def stage_scores(stream: DataFrame, mode: str = "rule_high", share: float = 0.7)
     return fitted.transform(ready.where("is_tail")).select(*stream.columns, stage.alias("pred_stage"), p.alias("pred_stage_prob"))
 
 
-def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_relation: bool = False, seed: int = 42) -> DataFrame:
+def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_relation: bool = False, seed: int = 42, attributes: DataFrame | None = None) -> DataFrame:
     """Tail rows with ``score``, from a static graph of the training part.
 
-    Node features (degrees, shares of edge types) are averaged over in-neighbours, layer by
+    Node features (degrees, shares of edge types, and the ``attributes`` of ``node_features``,
+    if given: scenario, node, x) are averaged over in-neighbours, layer by
     layer (for each edge type with ``by_relation``), and a logistic model tells training
     edges from sampled ones by the features of both ends and their products."""
     stream = stream.drop("score")
@@ -106,6 +112,11 @@ def graph_scores(stream: DataFrame, share: float = 0.7, layers: int = 2, by_rela
     names = [c for c in d.columns if c not in ("scenario", "node")]
     x = d.select("scenario", "node", F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
     width = len(names)
+    if attributes is not None:
+        more = attributes.select("scenario", "node", F.col("x").alias("_more"))
+        extra = len(more.first()["_more"])
+        x = x.join(more, ["scenario", "node"], "left").select("scenario", "node", F.concat("x", F.coalesce("_more", F.array(*[F.lit(0.0)] * extra))).alias("x"))
+        width += extra
     edges = both_ways(train.select("scenario", "src", "dst", "etype"), etypes)
     for _ in range(layers):
         mean = neighbour_means(edges, x, width, by_relation)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import graph as G
+from ..operators import protocols as T
+from ..operators import scores as R
 from ..operators.ranges import persisted
 from ..sources import logs as Z
 from ..sources import side
 from . import adapters as I
-from .catalog import DAY, FLAGS, ORACLES, QUERIES, query  # noqa: F401
+from .catalog import AREAS, BASE, FLAGS, NODES, RARITY, SPLIT, drawn, query
 
 # --- pieces of SQL -----------------------------------------------------------------------
 STAMPS = {"2025-12-14 16:00:00.250000": "1765728000.25", "22/04/2025, 13:03:00.020": "1745326980.02", "2025-12-14T06:16:15.290604-0500": "1765710975.290604", "": None, "nan": None, "1765728640": None, "no time": None, "14/12/2025 16:00:00": "1765728000", "14/12/2025": "1765670400", "2025-12-14 16:00:00": "1765728000", "14/12/2025, 04:00:00 PM": "1765728000", "2025-12-14T16:00:00Z": "1765728000"}
@@ -352,3 +354,119 @@ def stream_of_graph(spark, sf_dir):
     side.ensure_stream(spark, f"{top}/events", f"{top}/stream")  # stored by now
     found = reports.stream_consistency(stream, G.graph_counts(spark.read.parquet(f"{top}/events")))
     return found.withColumn("consistent", F.col("consistent").cast("int"))
+
+
+@query(f"""{NODES}, kinds AS (SELECT scenario, src_type || '>' || edge_type || '>' || dst_type AS type, count(*) AS n FROM canon GROUP BY ALL)
+SELECT scenario, 'node' AS kind, node_type AS type, min(global_id) AS first, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT scenario, 'edge', type, row_number() OVER (PARTITION BY scenario ORDER BY type) - 1, n FROM kinds""")
+def stream_decode_meta(spark, sf_dir):
+    return side.decode_meta(I.canon(spark, sf_dir))
+
+
+@query(f"""{NODES}, named AS (SELECT scenario, dst_type AS node_type, dst_key AS key, arg_max(port, event_seq) FILTER (port IS NOT NULL) AS port FROM (SELECT *, CASE WHEN event_seq % 4 > 0 THEN event_seq % 6 END AS port FROM canon) GROUP BY ALL)
+SELECT n.scenario, n.node_type, n.key, n.global_id, a.port FROM nodes n LEFT JOIN named a ON a.scenario = n.scenario AND a.node_type = n.node_type AND a.key = n.key""")
+def stored_node_attributes(spark, sf_dir):
+    """Nodes of a stored graph with the latest attribute that an event gave them."""
+    e = I.canon(spark, sf_dir).withColumn("port", F.when(F.col("event_seq") % 4 > 0, F.col("event_seq") % 6))
+    path = scratch(spark)
+    side.write_graph(e, path, ["port"])
+    nodes, _, _ = side.read_graph(spark, path)
+    return nodes.select("scenario", "node_type", "key", "global_id", "port")
+
+
+@query(f"""{NODES}, sensitive AS (SELECT scenario, dst_type AS node_type, dst_key AS key, arg_max(event_seq % 6, event_seq) AS v FROM canon GROUP BY ALL)
+SELECT n.scenario, n.global_id AS node, {" || '|' || ".join(f"CAST(CAST(n.node_type = '{t}' AS INT) AS VARCHAR)" for t in K.NODE_TYPES)} || '|0|0|0|' || CAST(coalesce(v, 0) AS VARCHAR) || '|0|0' AS x FROM nodes n LEFT JOIN sensitive a ON a.scenario = n.scenario AND a.node_type = n.node_type AND a.key = n.key""")
+def node_vectors(spark, sf_dir):
+    """One-hot node type and attribute numbers, as the static graph takes them."""
+    e = I.canon(spark, sf_dir).withColumn("port_sensitivity", F.col("event_seq") % 6)
+    x = G.node_features(G.nodes(e, ["port_sensitivity"]))
+    return x.select("scenario", "node", F.array_join(F.transform("x", lambda v: v.cast("bigint").cast("string")), "|").alias("x"))
+
+
+HOLDOUT = f"""{RARITY}, {AREAS.format('rare', 'PARTITION BY scenario', 'scenario,').replace('))' + chr(10) + 'SELECT', ')), areas AS (SELECT', 1)} GROUP BY scenario),
+best AS (SELECT scenario, is_ioc, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, row_seq) AS rn FROM rare), p AS (SELECT scenario, round(avg(CASE WHEN rn <= 10 THEN CAST(is_ioc AS DOUBLE) END), 6) AS p_at_10, round(avg(CASE WHEN rn <= 100 THEN CAST(is_ioc AS DOUBLE) END), 6) AS p_at_100 FROM best GROUP BY scenario),
+folds AS (SELECT scenario AS holdout, positives, negatives, roc_auc, pr_auc, p_at_10, p_at_100 FROM areas JOIN p USING (scenario))"""
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in T.METRICS else F.col(c) for c in df.columns])
+
+
+@query(f"{HOLDOUT} SELECT * FROM folds")
+def leave_one_out_folds(spark, sf_dir):
+    return rounded(T.leave_one_out(I.scores(spark, sf_dir).drop("score"), "freq_rarity"))
+
+
+@query(f"{HOLDOUT} SELECT count(*) AS n_folds, {', '.join(f'round(avg({m}), 4) AS {m}' for m in T.METRICS)} FROM folds")
+def leave_one_out_means(spark, sf_dir):
+    found = T.fold_means(rounded(T.leave_one_out(I.scores(spark, sf_dir).drop("score"), "freq_rarity")))
+    return found.select("n_folds", *[F.round(m, 4).alias(m) for m in T.METRICS])
+
+
+@query()
+def leave_one_out_learned(spark, sf_dir):
+    """All folds of the learned scores: as many fits as scenarios."""
+    return rounded(T.leave_one_out(I.scores(spark, sf_dir)))
+
+
+@query(f"{SPLIT}, counts AS (SELECT scenario, etype, src, dst, count(*) AS c FROM prefix GROUP BY ALL), s AS (SELECT scenario, greatest(max(src), max(dst)) + 1 AS n FROM scores GROUP BY scenario), b AS (SELECT scenario, coalesce(sum(n) OVER (ORDER BY scenario ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM s) SELECT t.scenario, t.row_seq, CAST(t.src + base AS BIGINT) AS src, CAST(t.dst + base AS BIGINT) AS dst, round(-ln((coalesce(c, 0) + 1) / CAST(greatest(cut, 1) + 1 AS DOUBLE)), 6) AS score FROM tail t JOIN b USING (scenario) LEFT JOIN counts c ON c.scenario = t.scenario AND c.etype = t.etype AND c.src = t.src AND c.dst = t.dst")
+def joint_scores(spark, sf_dir):
+    """All scenarios as one graph whose node ids don't meet."""
+    return T.joint(I.scores(spark, sf_dir).drop("score"), R.rarity).select("scenario", "row_seq", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.round("score", 6).alias("score"))
+
+
+def family_sql(family: str, where: str) -> str:
+    """Rarity over one family's rows alone, as a query of its own."""
+    inner = RARITY.replace("count(*) OVER (PARTITION BY scenario) AS n FROM scores", f"count(*) OVER (PARTITION BY scenario) AS n FROM scores WHERE {where}")
+    return f"SELECT '{family}' AS family, * FROM ({inner}, {AREAS.format('rare', '', '')})"
+
+
+@query(" UNION ALL ".join(family_sql(f, w) for f, w in (("full", "TRUE"), ("audit", "source_file = 'azure_events.csv'"), ("zeek", "source_file = 'zeek_conn.csv'"), ("eve", "source_file = 'eve.json'"))))
+def ablation_by_family(spark, sf_dir):
+    return rounded(T.ablation(I.scores(spark, sf_dir).drop("score")))
+
+
+@query(f"""{BASE}, benign AS (SELECT scenario, score, row_number() OVER (PARTITION BY scenario ORDER BY row_seq) - 1 AS i FROM scores WHERE is_ioc = 0), sizes AS (SELECT scenario, count(*) AS size FROM benign GROUP BY scenario)
+SELECT s.scenario, count(*) AS n, round(avg(greatest(CAST(0 AS DOUBLE), 5 - (s.score - b.score))), 6) AS loss FROM scores s JOIN sizes z USING (scenario) JOIN benign b ON b.scenario = s.scenario AND b.i = {drawn('42', 's.row_seq')} % z.size WHERE s.is_ioc = 1 GROUP BY s.scenario""")
+def rank_margin_loss(spark, sf_dir):
+    return T.rank_margin(I.scores(spark, sf_dir), 5.0).withColumn("loss", F.round("loss", 6))
+
+
+@query()
+def rank_supervised_scores(spark, sf_dir):
+    return T.rank_scores(I.scores(spark, sf_dir)).select("scenario", "row_seq", "score")
+
+
+@query()
+def benign_link_scores(spark, sf_dir):
+    """Link scores learnt from benign training edges only."""
+    from ..operators import learned
+
+    return learned.link_scores(I.scores(spark, sf_dir), benign=True).select("scenario", "row_seq", "score")
+
+
+@query("SELECT r_name AS name, CAST(r_regionkey AS BIGINT) AS n, CAST(1.5 AS DOUBLE) AS latency_ms_per_1k FROM region")
+def latency_patch(spark, sf_dir):
+    """A stored JSON result, and the same with its latency filled in."""
+    path = scratch(spark)
+    side.write_json(spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("n"), F.lit(None).cast("double").alias("latency_ms_per_1k")), f"{path}/before")
+    side.patch_latency(spark, f"{path}/before", 1.5, f"{path}/after")
+    return spark.read.json(f"{path}/after").select("name", "n", "latency_ms_per_1k")
+
+
+@query(f"{BASE}, a AS (SELECT scenario, source_file, avg(score) AS m FROM scores GROUP BY ALL), w AS (PIVOT a ON source_file IN ('azure_events.csv', 'eve.json', 'zeek_conn.csv') USING first(m) GROUP BY scenario) SELECT scenario, round(\"azure_events.csv\", 6) AS azure, round(\"eve.json\", 6) AS eve, round(\"zeek_conn.csv\", 6) AS zeek FROM w")
+def wide_summary(spark, sf_dir):
+    """A nested summary as one wide row for each scenario."""
+    from ..operators import reports
+
+    a = I.scores(spark, sf_dir).groupBy("scenario").agg(F.struct(*[F.round(F.avg(F.when(F.col("source_file") == f, F.col("score"))), 6).alias(n) for n, f in (("azure", "azure_events.csv"), ("eve", "eve.json"), ("zeek", "zeek_conn.csv"))]).alias("by"))
+    return reports.flattened(a, "by").withColumnsRenamed({f"by_{n}": n for n in ("azure", "eve", "zeek")})
+
+
+@query(f"{BASE}, b AS (SELECT scenario, avg(score) AS x FROM scores WHERE etype < 2 GROUP BY scenario), a AS (SELECT scenario, avg(score) AS x FROM scores WHERE etype > 1 AND scenario <> 'sc1' GROUP BY scenario) SELECT coalesce(b.scenario, a.scenario) AS scenario, round(b.x, 6) AS x_before, round(a.x, 6) AS x_after, round(a.x - b.x, 6) AS x_delta FROM b FULL JOIN a ON a.scenario = b.scenario")
+def runs_compared(spark, sf_dir):
+    from ..operators import reports
+
+    s = I.scores(spark, sf_dir)
+    of = lambda rows: rows.groupBy("scenario").agg(F.avg("score").alias("x"))
+    found = reports.compared_runs(of(s.where("etype < 2")), of(s.where("etype > 1 AND scenario <> 'sc1'")), ["x"])
+    return found.select("scenario", *[F.round(c, 6).alias(c) for c in ("x_before", "x_after", "x_delta")])

@@ -787,3 +787,28 @@ def test_bounded_sample(spark):
     d = docs(spark, ["t"] * 500)
     assert bounded_sample(d, "doc_id", 50).count() == 50 and bounded_sample(d, "doc_id", 1000).count() == 500
     assert bounded_sample(docs(spark, []), "doc_id", 5).count() == 0
+
+
+LONG = " ".join(f"the house of word{i % 997}" for i in range(8000))  # 140,000 characters
+
+
+def test_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    d = docs(spark, [LONG, LONG + " end", "x" * 150_000, "a short one", LONG])
+    assert [r.class_id for r in neardup.classes(d).orderBy("doc_id").collect()] == [0, 0, 2, 3, 0]
+    words = len(LONG.split())
+    assert [r.n_words for r in licenses.scan(d).orderBy("doc_id").collect()] == [words, words + 1, 1, 3, words]
+    library = Tokenizer.from_file(packing.default_path())
+    tokens = [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in (LONG, LONG + " end", "x" * 150_000, "a short one", LONG)]
+    packed = {r.doc_id: r.n for r in packing.pack(d).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert packed == dict(enumerate(tokens))
+    word_library = Tokenizer.from_file(bpe.default_path())
+    assert [r.n_tokens for r in bpe.encode(d).orderBy("doc_id").collect()] == [len(word_library.encode(t, add_special_tokens=False).ids) for t in (LONG, LONG + " end", "x" * 150_000, "a short one", LONG)]
+    half = len(LONG) // 2
+    (first,) = fingerprints.compare(d).where("doc_id = 0").collect()
+    assert first.n_chars == len(LONG) and first.edited_sha256 == hashlib.sha256((LONG[: len(LONG) - half] + LONG[:half]).encode()).hexdigest()
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs(spark, [LONG + " token='abcdef'"]), markov_model()).collect()}
+    assert spans == {0: f"assign:{len(LONG) + 1}:{len(LONG) + 14}"}
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id bigint, toxic int, quality int")
+    assert toxicity.score(d, labels).count() == quality.score(d, labels).count() == 5

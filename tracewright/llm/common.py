@@ -6,9 +6,11 @@ counts exact, and bounds whatever reaches the driver by a stated parameter.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -37,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if sc.applicationId in _shipped or not os.path.isdir(top):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "tracewright.zip")
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, True)  # executors may fetch it until the end
+    path = os.path.join(folder, "tracewright.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(top):
             for f in sorted(files):

@@ -80,6 +80,10 @@ def fingerprints(docs: DataFrame, anchors=ANCHORS, chain: int = CHAIN) -> DataFr
     return marked.select("doc_id", "signatures", digest(F.col("signatures")).alias("fingerprint"))
 
 
+#: Hashed cells in which signatures are counted, to put rare ones first.
+CELLS = 1 << 16
+
+
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
     """Pairs of different fingerprints with Jaccard similarity of at least ``threshold``.
 
@@ -87,20 +91,21 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, anchors=ANCHORS
     ``a``, ``b`` (class ids, a < b) and ``similarity``. Classes are dealt into partitions
     of set length, so wide that partners lie in the same or the next one. Inside, only sets
     that share one of their rarest signatures (prefix filter: the first
-    ``n - ceil(t * n) + 1`` by corpus frequency) and whose lengths allow the threshold
-    meet; the similarity is then exact. No cap on partners; empty sets pair with none.
+    ``n - ceil(t * n) + 1`` in an order by hashed corpus frequency, which any order makes exact)
+    and whose lengths allow the threshold meet; the similarity is then exact. No cap on
+    partners; empty sets pair with none.
     """
     prints = fingerprints(docs, anchors, chain).where(F.size("signatures") > 0)
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("signatures"))
-    frequency = classes.select(F.explode("signatures").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    ordered = (
-        classes.select("id", F.size("signatures").alias("size"), F.explode("signatures").alias("s"))
-        .join(frequency, "s")
-        .withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n", "s")))
-        .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
-        .withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold))))
-        .select("id", "size", "s", "place", "band")
-    )
+    cell = lambda s: F.pmod(s, F.lit(CELLS)).cast("int")
+    counts = np.zeros(CELLS, np.int64)
+    for r in classes.select(F.explode("signatures").alias("s")).groupBy(cell(F.col("s")).alias("c")).count().collect():  # CELLS rows at most
+        counts[r["c"]] = r["count"]
+    listed = F.lit(counts)
+    ranked = F.array_sort(F.transform("signatures", lambda s: F.struct(F.get(listed, cell(s)).alias("n"), s.alias("s"))))
+    prefix = F.size("signatures") - F.ceil(F.size("signatures") * threshold - 1e-9).cast("int") + 1
+    ordered = classes.select("id", F.size("signatures").alias("size"), F.explode(F.transform(F.slice(ranked, 1, prefix), lambda x: x["s"])).alias("s"))
+    ordered = ordered.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold))))
     left = ordered.select(*[F.col(c).alias(f"l_{c}") for c in ordered.columns])
     right = ordered.select(*[F.col(c).alias(f"r_{c}") for c in ordered.columns if c != "band"], F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("r_band"))
     met = left.join(

@@ -49,9 +49,9 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float =
     size = 1 << BITS
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     z0 = n0 = w0 = 0.0
-    valued = [(x, y, values(x)) for x, y in examples]
     for _ in range(epochs):
-        for x, y, v in valued:
+        for x, y in examples:
+            v = values(x)
             p = 1.0 / (1.0 + np.exp(-np.clip(w0 + (w[x] * v).sum(), -30, 30)))
             g = p - y
             root = np.sqrt(n[x])

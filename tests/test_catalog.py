@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tracewright.plans import catalog
+from tracewright.plans import logs as _logs  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -72,11 +72,12 @@ def link_scores(stream: DataFrame, share: float = 0.7, model: str = "logistic",
     return anomaly(fitted.transform(vectors.where("is_tail")), [*stream.columns, "pos"])
 
 
-def leave_one_out_scores(stream: DataFrame, holdout: str, share: float = 0.7, model: str = "logistic", seed: int = 42) -> DataFrame:
+def leave_one_out_scores(stream: DataFrame, holdout: str, share: float = 0.7, model: str = "logistic", seed: int = 42, vectors: DataFrame | None = None) -> DataFrame:
     """Tail scores of one scenario by a model of the other scenarios' training parts; the
-    scenario's own prefix only warms up the history."""
+    scenario's own prefix only warms up the history. ``vectors``: ``link_features`` of the
+    stream, where several scenarios are left out in turn."""
     stream = stream.drop("score")
-    vectors = link_features(stream, share, seed)
+    vectors = link_features(stream, share, seed) if vectors is None else vectors
     fitted = fit_link(vectors.where((F.col("scenario") != holdout) & ~F.col("is_tail")), model, seed)
     return anomaly(fitted.transform(vectors.where((F.col("scenario") == holdout) & F.col("is_tail"))), [*stream.columns, "pos"])
 

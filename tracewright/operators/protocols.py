@@ -43,7 +43,8 @@ def leave_one_out(stream: DataFrame, method: str | None = None, share: float = 0
     if method is not None:
         return by_holdout(evaluate.score_tail(stream, method, "full", share))
     scenarios = scenarios or sorted(r[0] for r in stream.select("scenario").distinct().collect())  # a row a scenario
-    return by_holdout(persisted(union(learned.leave_one_out_scores(stream, sc, share).select("scenario", "row_seq", "is_ioc", "score") for sc in scenarios)))
+    vectors = persisted(learned.link_features(stream, share))  # every fold reads them
+    return by_holdout(persisted(union(learned.leave_one_out_scores(stream, sc, share, vectors=vectors).select("scenario", "row_seq", "is_ioc", "score") for sc in scenarios)))
 
 
 def by_scenario(stream: DataFrame, scenario: str, share: float = 0.7, **how) -> DataFrame:

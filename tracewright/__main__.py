@@ -41,6 +41,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         p.add_argument("--quantile", type=float, default=alerts.QUANTILE)
         p.add_argument("--min-events", type=int, default=alerts.MIN_EVENTS)
         p.add_argument("--top", type=int, help="events of each scenario, instead of a quantile")
+    r.add_argument("--scenario", help="only its rows")
     r.add_argument("--observed", required=True, help="comma list of stages")
     r.add_argument("--top-k", default="10,50,100")
     r.add_argument("--quotas", help="JSON object: source file to least number of edges")
@@ -73,9 +74,11 @@ def main(argv: list[str] | None = None) -> None:
         side.write_alerts(alerts.alerts(side.scores(spark, o.scores), o.window, o.quantile, o.top, o.min_events), o.out)
     elif o.command == "recon":
         how = {"width": o.window, "quantile": o.quantile, "top_k": o.top, "min_events": o.min_events}
-        side.write_json(recon.evaluate(side.scores(spark, o.scores), o.observed.split(","), scores.parse_ks(o.top_k), quotas=json.loads(o.quotas) if o.quotas else None, alert=how), o.out)
+        found = side.scores(spark, o.scores)
+        found = recon.only_scenario(found, o.scenario) if o.scenario else found
+        side.write_json(recon.evaluate(found, o.observed.split(","), scores.parse_ks(o.top_k), quotas=json.loads(o.quotas) if o.quotas else None, alert=how), o.out)
     else:
-        side.write_json(training.label_balance(spark.read.parquet(o.stream)), o.out)
+        side.write_json(training.balance_report(side.read_stream(spark, o.stream)), o.out)
     spark.stop()
 
 

@@ -123,6 +123,23 @@ def evaluate_alerts(scores: DataFrame, observed: Iterable[str], lines: DataFrame
     return recon_scores(stage_set(votes(staged, least, ["alert_id"])), observed).crossJoin(F.broadcast(number))  # one row each
 
 
+def only_scenario(scores: DataFrame, scenario: str) -> DataFrame:
+    """The rows of one scenario; an error where there are none."""
+    found = scores.where(F.trim("scenario") == scenario.strip())
+    if found.isEmpty():
+        raise ValueError(f"no scores of scenario {scenario!r}")
+    return found
+
+
+def alert_stages(scores: DataFrame, lines: DataFrame | None = None, most: int = 50, **how) -> DataFrame:
+    """alert_id, n_edges, stages (sorted) and their numbers of edges, of the first ``most`` alerts."""
+    rows = with_stage(A.alert_rows(scores, **how).where(F.col("alert_id") <= most), lines)
+    counted = rows.groupBy("alert_id", "stage").agg(F.count("*").alias("n"))
+    known = F.array_sort(F.collect_list(F.when(F.col("stage") != "", F.struct("stage", "n"))))
+    out = counted.groupBy("alert_id").agg(F.sum("n").alias("n_edges"), known.alias("_k"))
+    return out.select("alert_id", "n_edges", F.transform("_k", lambda x: x["stage"]).alias("stages"), F.transform("_k", lambda x: x["n"]).alias("stage_edges"))
+
+
 def evaluate(scores: DataFrame, observed: Iterable[str], ks: Sequence[int] = (10, 50, 100), lines: DataFrame | None = None, ioc_files: Iterable[str] | None = None, quotas: dict[str, int] | None = None, group_cap: dict | None = None, adaptive: dict | None = None, upper_bound: bool = True, alert: dict | None = None, least_prob: float = 0.0, least: int = 1) -> DataFrame:
     """All reconstructions in one table, one row for each mode and k (k is null for alerts).
 
@@ -160,5 +177,21 @@ def stage_truth(layers: DataFrame, lines: DataFrame) -> DataFrame:
     return both.withColumn("unobserved", F.array_sort(F.array_except("semantic", "observable")))
 
 
+def stage_truth_report(layers: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row a scenario: semantic (stages, techniques, layer_files) and observable (stages,
+    ioc_counts_by_stage) as structs, as they are stored. ``layers``: scenario, technique, tactic,
+    layer_file."""
+    of_layers = layers.withColumn("s", S.stage_of_tactic(F.col("tactic"))).groupBy("scenario").agg(
+        F.array_sort(F.collect_set(F.when(F.col("s") != "", F.col("s")))).alias("stages"), F.array_sort(F.collect_set("technique")).alias("techniques"), F.array_sort(F.collect_set("layer_file")).alias("layer_files")
+    )
+    counts = ioc_counts_by_stage(lines).groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("stage", "n"))).alias("c"))
+    none = F.array().cast("array<string>")
+    both = of_layers.join(counts, "scenario", "full")
+    semantic = F.struct(*[F.coalesce(c, none).alias(c) for c in ("stages", "techniques", "layer_files")])
+    pairs = F.coalesce("c", F.array().cast("array<struct<stage:string,n:bigint>>"))
+    observable = F.struct(F.transform(pairs, lambda x: x["stage"]).alias("stages"), F.map_from_entries(pairs).alias("ioc_counts_by_stage"))
+    return both.select("scenario", semantic.alias("semantic"), observable.alias("observable"))
+
+
 def ioc_counts_by_stage(lines: DataFrame) -> DataFrame:
     return lines.withColumn("stage", S.stage_of_type(F.trim("ioc_type"))).where("stage <> ''").groupBy("scenario", "stage").agg(F.count("*").alias("n"))

@@ -45,6 +45,18 @@ def stage_label_counts(stream: DataFrame, mode: str) -> DataFrame:
     return stream.groupBy("scenario").agg(F.count_if(stage_label(mode) > 0).alias("n_eligible"))
 
 
+def supervision_diagnosis(stream: DataFrame, modes: Sequence[str] = ("rule_high", "rule")) -> DataFrame:
+    """scenario, mode, n_eligible: edges that each mode could learn stages from."""
+    found = [stage_label_counts(stream, m).select("scenario", F.lit(m).alias("mode"), "n_eligible") for m in modes]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def balance_report(stream: DataFrame, labels: Sequence[str] = ("y_ioc", "y_rule", "y_rule_high"), share: float = 0.7) -> DataFrame:
+    """``label_balance`` of every label the stream has, under ``label``."""
+    found = [label_balance(stream, c, share).withColumn("label", F.lit(c)) for c in labels if c in stream.columns]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def resolve_stage_supervision(stream: DataFrame, mode: str) -> tuple[str, bool]:
     """(mode, whether stages can be learnt). Rule modes need labels in every scenario;
     otherwise rule_high falls back to rule where any scenario has some."""

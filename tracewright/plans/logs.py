@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import graph as G
 from ..operators import protocols as T
+from ..operators import recon as C
 from ..operators import scores as R
+from ..operators import training as D
 from ..operators.ranges import persisted
 from ..sources import logs as Z
 from ..sources import side
 from . import adapters as I
-from .catalog import AREAS, BASE, FLAGS, NODES, RARITY, SPLIT, drawn, query
+from .catalog import AREAS, BASE, DAY, DEDUPED, FLAGS, HIGH, NETWORK, NODES, RARITY, REACH, SPLIT, STAGE, WINDOWS, drawn, query
 
 # --- pieces of SQL -----------------------------------------------------------------------
 STAMPS = {"2025-12-14 16:00:00.250000": "1765728000.25", "22/04/2025, 13:03:00.020": "1745326980.02", "2025-12-14T06:16:15.290604-0500": "1765710975.290604", "": None, "nan": None, "1765728640": None, "no time": None, "14/12/2025 16:00:00": "1765728000", "14/12/2025": "1765670400", "2025-12-14 16:00:00": "1765728000", "14/12/2025, 04:00:00 PM": "1765728000", "2025-12-14T16:00:00Z": "1765728000"}
@@ -470,3 +472,89 @@ def runs_compared(spark, sf_dir):
     of = lambda rows: rows.groupBy("scenario").agg(F.avg("score").alias("x"))
     found = reports.compared_runs(of(s.where("etype < 2")), of(s.where("etype > 1 AND scenario <> 'sc1'")), ["x"])
     return found.select("scenario", *[F.round(c, 6).alias(c) for c in ("x_before", "x_after", "x_delta")])
+
+
+ONE = f"{BASE}, one AS (SELECT * FROM scores WHERE scenario = 'sc3'), best AS (SELECT l.*, row_number() OVER (ORDER BY d.score DESC, d.row_seq) AS rank FROM (SELECT scenario, t, etype, src, dst, max(score) AS score, min(row_seq) AS row_seq FROM one GROUP BY ALL) d JOIN (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY scenario, t, etype, src, dst ORDER BY row_seq DESC) = 1) l USING (scenario, t, etype, src, dst))"
+
+
+@query(f"{ONE} SELECT stage, count(*) AS n FROM (SELECT {STAGE} AS stage FROM best WHERE rank <= 200 AND is_ioc = 1) WHERE stage <> '' GROUP BY stage")
+def stage_votes_of_scenario(spark, sf_dir):
+    one = C.only_scenario(I.scores(spark, sf_dir), "sc3")
+    return C.votes(C.with_stage(R.top_k(one, 200).where("is_ioc = 1")))
+
+
+@query(f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, {DEDUPED.format("scores")}, {HIGH.format("0.99")}, {WINDOWS}, {REACH},
+clustered AS (SELECT p.*, l.component, count(*) OVER (PARTITION BY p.scenario, p.window_no, l.component) AS size FROM placed p JOIN labels l ON l.scenario = p.scenario AND l.window_no = p.window_no AND l.node = p.src), big AS (SELECT * FROM clustered WHERE size >= 3),
+firsts AS (SELECT scenario, window_no, component, row_number() OVER (ORDER BY scenario, window_no, ft, fs, fr) AS alert_id FROM (SELECT scenario, window_no, component, arg_min(t, (t, -score, row_seq)) AS ft, arg_min(-score, (t, -score, row_seq)) AS fs, arg_min(row_seq, (t, -score, row_seq)) AS fr FROM big GROUP BY ALL)),
+shown AS (SELECT f.alert_id, {STAGE} AS stage FROM big b JOIN firsts f USING (scenario, window_no, component) JOIN (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY scenario, t, etype, src, dst ORDER BY row_seq DESC) = 1) l ON l.scenario = b.scenario AND l.t = b.t AND l.etype = b.etype AND l.src = b.src AND l.dst = b.dst WHERE f.alert_id <= 50),
+counted AS (SELECT alert_id, stage, count(*) AS n FROM shown GROUP BY ALL) SELECT alert_id, CAST(sum(n) AS BIGINT) AS n_edges, coalesce(string_agg(stage || ':' || n, ',' ORDER BY stage) FILTER (stage <> ''), '') AS stages FROM counted GROUP BY alert_id""")
+def alert_stages(spark, sf_dir):
+    """Stages of the first 50 alerts, each with its number of edges."""
+    found = C.alert_stages(I.scores(spark, sf_dir), width=DAY)
+    return found.select("alert_id", "n_edges", F.array_join(F.zip_with("stages", "stage_edges", lambda a, b: F.concat_ws(":", a, b)), ",").alias("stages"))
+
+
+LAYERED = "SELECT 'sc' || CAST(n_regionkey + 1 AS VARCHAR) AS scenario, 'T' || CAST(n_nationkey AS VARCHAR) AS technique, CASE n_nationkey % 4 WHEN 0 THEN 'execution' WHEN 1 THEN 'impact' WHEN 2 THEN 'discovery' ELSE 'nothing' END AS tactic, 'layer' || CAST(n_nationkey % 2 AS VARCHAR) || '.json' AS layer_file FROM nation"
+LAYER_STAGE = "CASE tactic " + " ".join(f"WHEN '{t}' THEN '{K.TACTIC_STAGE[t]}'" for t in ("execution", "impact", "discovery")) + " END"
+
+
+@query(f"""{BASE}, layers AS ({LAYERED}), l AS (SELECT scenario, coalesce(string_agg(DISTINCT {LAYER_STAGE}, ',' ORDER BY {LAYER_STAGE}), '') AS semantic, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques, string_agg(DISTINCT layer_file, ',' ORDER BY layer_file) AS layer_files FROM layers GROUP BY scenario),
+c AS (SELECT scenario, {STAGE} AS stage, count(*) AS n FROM scores WHERE is_ioc = 1 GROUP BY ALL), o AS (SELECT scenario, string_agg(stage || ':' || n, ',' ORDER BY stage) AS counts FROM c WHERE stage <> '' GROUP BY scenario)
+SELECT coalesce(l.scenario, o.scenario) AS scenario, coalesce(semantic, '') AS semantic, coalesce(techniques, '') AS techniques, coalesce(layer_files, '') AS layer_files, coalesce(counts, '') AS counts FROM l FULL JOIN o ON o.scenario = l.scenario""")
+def stage_truth_files(spark, sf_dir):
+    """Stage truth stored as JSON by scenario and read again."""
+    spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("nation")
+    layers = spark.sql(LAYERED.replace("AS VARCHAR", "AS STRING"))
+    path = scratch(spark)
+    side.write_stage_truth(C.stage_truth_report(layers, I.scores(spark, sf_dir).where("is_ioc = 1")), path)
+    kind = "scenario string, semantic struct<stages:array<string>,techniques:array<string>,layer_files:array<string>>, observable struct<stages:array<string>,ioc_counts_by_stage:map<string,bigint>>"
+    found = spark.read.schema(kind).json(f"{path}/scenarios")
+    counts = F.array_join(F.transform("observable.stages", lambda x: F.concat_ws(":", x, F.element_at("observable.ioc_counts_by_stage", x))), ",")
+    return found.select("scenario", F.array_join("semantic.stages", ",").alias("semantic"), F.array_join("semantic.techniques", ",").alias("techniques"), F.array_join("semantic.layer_files", ",").alias("layer_files"), counts.alias("counts"))
+
+
+BALANCES = " UNION ALL ".join(f"SELECT '{c}' AS label, scenario, coalesce(part, 'full') AS part, count(*) AS n, CAST(sum(CAST({c} > 0 AS INT)) AS BIGINT) AS pos, round(sum(CAST({c} > 0 AS INT)) / CAST(count(*) AS DOUBLE), 6) AS rate FROM x GROUP BY GROUPING SETS ((scenario), (scenario, part))" for c in ("y_ioc", "y_rule", "y_rule_high"))
+
+
+@query(f"{SPLIT}, x AS (SELECT *, CASE WHEN pos >= cut THEN 'tail' ELSE 'prefix' END AS part FROM parts) {BALANCES}")
+def balance_report(spark, sf_dir):
+    return D.balance_report(I.scores(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"{BASE} SELECT scenario, 'rule' AS mode, count(*) FILTER (y_rule = 1 AND rule_ioc_type NOT IN ({NETWORK})) AS n_eligible FROM scores GROUP BY scenario UNION ALL SELECT scenario, 'rule_high', count(*) FILTER (y_rule_high = 1 AND rule_ioc_type NOT IN ({NETWORK})) FROM scores GROUP BY scenario")
+def supervision_diagnosis(spark, sf_dir):
+    return D.supervision_diagnosis(I.scores(spark, sf_dir))
+
+
+@query(f"{HOLDOUT} SELECT holdout, positives, roc_auc FROM folds")
+def summary_csv(spark, sf_dir):
+    """A summary as one CSV file, read again."""
+    path = f"{scratch(spark)}/summary"
+    side.write_summary(rounded(T.leave_one_out(I.scores(spark, sf_dir).drop("score"), "freq_rarity")), path)
+    return spark.read.option("header", "true").csv(path).select("holdout", F.col("positives").cast("bigint").alias("positives"), F.col("roc_auc").cast("double").alias("roc_auc"))
+
+
+@query(f"{HOLDOUT}, m AS (SELECT count(*) AS n_folds, round(avg(roc_auc), 4) AS roc_auc FROM folds) SELECT 'run_sc3' AS run, 'sc3' AS scenario, CAST(n_folds AS BIGINT) AS n_folds, roc_auc FROM m")
+def run_summary_round_trip(spark, sf_dir):
+    """A run's summary written and read again with types."""
+    from ..operators import reports
+
+    top = scratch(spark)
+    means = T.fold_means(rounded(T.leave_one_out(I.scores(spark, sf_dir).drop("score"), "freq_rarity")))
+    side.write_run(means, f"{top}/run_sc3", {"method": "freq_rarity"})
+    found = reports.summaries(spark, top, {"n_folds": ("$.best.n_folds", "bigint"), "roc_auc": ("$.best.roc_auc", "double")})
+    return found.select("run", "scenario", "n_folds", F.round("roc_auc", 4).alias("roc_auc"))
+
+
+@query("SELECT alert_id, n FROM (" + f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, {DEDUPED.format("scores")}, {HIGH.format("0.99")}, {WINDOWS}, {REACH},
+clustered AS (SELECT p.*, l.component, count(*) OVER (PARTITION BY p.scenario, p.window_no, l.component) AS size FROM placed p JOIN labels l ON l.scenario = p.scenario AND l.window_no = p.window_no AND l.node = p.src), big AS (SELECT * FROM clustered WHERE size >= 3)
+SELECT row_number() OVER (ORDER BY scenario, window_no, min((t, -score, row_seq))) AS alert_id, count(*) AS n FROM big GROUP BY scenario, window_no, component)""")
+def alert_files(spark, sf_dir):
+    """Alerts written as JSON lines and as a summary, both read again."""
+    from ..operators import alerts
+
+    path = scratch(spark)
+    side.write_alerts(alerts.alerts(I.scores(spark, sf_dir), DAY), path)
+    told = spark.read.json(f"{path}/alerts_json").select("alert_id", F.size("evidence").alias("shown"))
+    summary = spark.read.option("header", "true").csv(f"{path}/alerts_csv").select(F.col("alert_id").cast("bigint").alias("alert_id"), F.col("num_events").cast("bigint").alias("n"))
+    return summary.join(told, "alert_id").where(F.col("shown") == F.least("n", F.lit(200))).select("alert_id", "n")

@@ -166,6 +166,27 @@ def write_text(rows: DataFrame, folder: str, name: str) -> None:
         out.close()
 
 
+def write_summary(rows: DataFrame, path: str) -> None:
+    """A small result as one CSV file with a header."""
+    rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_run(metrics: DataFrame, run: str, config: dict) -> None:
+    """``run_summary.json`` of a run: its settings and the one row of metrics."""
+    row = metrics.select(F.to_json(F.struct(F.lit(json.dumps(config)).alias("config"), F.struct("*").alias("best"))).alias("value"))
+    write_text(row, run, "run_summary.json")
+
+
+def write_stage_truth(report: DataFrame, path: str) -> None:
+    """Stage truth as JSON: one folder a scenario, and a summary of stage numbers beside them."""
+    write_json_by(report, f"{path}/scenarios")
+    write_json(report.select("scenario", F.size("semantic.stages").alias("n_semantic"), F.size("observable.stages").alias("n_observable")), f"{path}/_summary")
+
+
+def write_json_by(df: DataFrame, path: str, by: str = "scenario") -> None:
+    df.write.mode("overwrite").partitionBy(by).json(path)
+
+
 def write_alerts(df: DataFrame, path: str) -> None:
     """Alerts as JSON lines, and a CSV summary without nested columns."""
     df.write.mode("overwrite").json(f"{path}/alerts_json")

@@ -554,7 +554,9 @@ def alert_files(spark, sf_dir):
     from ..operators import alerts
 
     path = scratch(spark)
-    side.write_alerts(alerts.alerts(I.scores(spark, sf_dir), DAY), path)
-    told = spark.read.json(f"{path}/alerts_json").select("alert_id", F.size("evidence").alias("shown"))
-    summary = spark.read.option("header", "true").csv(f"{path}/alerts_csv").select(F.col("alert_id").cast("bigint").alias("alert_id"), F.col("num_events").cast("bigint").alias("n"))
+    found = alerts.alerts(I.scores(spark, sf_dir), DAY)
+    side.write_alerts(found, path)
+    # schemas are given, as there may be no alert
+    told = spark.read.schema(found.schema).json(f"{path}/alerts_json").select("alert_id", F.size("evidence").alias("shown"))
+    summary = spark.read.schema(found.drop("nodes", "evidence").schema).option("header", "true").csv(f"{path}/alerts_csv").select(F.col("alert_id").cast("bigint").alias("alert_id"), F.col("num_events").cast("bigint").alias("n"))
     return summary.join(told, "alert_id").where(F.col("shown") == F.least("n", F.lit(200))).select("alert_id", "n")

@@ -39,3 +39,21 @@ def test_equals_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def crowd(tmp_path_factory):
+    """Events of users whose numbers are also suspicious ports, as larger tables have them."""
+    path = tmp_path_factory.mktemp("crowd")
+    duckdb.sql(f"""COPY (SELECT row_number() OVER () - 1 AS event_id, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts, u AS user_id, 'error' AS event_type, 1.5 AS value, '{{"k": ' || k || '}}' AS props
+        FROM (SELECT unnest([7, 2121, 4444, 5000, 8081, 8443, 9001, 50000]) AS u), (SELECT unnest(range(36)) AS k)) TO '{path}/events.parquet'""")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["weak_rules"])
+def test_rules_of_users_like_ports(spark, crowd, name):
+    df = catalog.QUERIES[name](spark, crowd)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{crowd}/events.parquet'")
+    wanted = connection.sql(catalog.ORACLES[name])
+    assert normal([tuple(r) for r in df.collect()], df.columns) == normal(wanted.fetchall(), list(wanted.columns))

@@ -95,6 +95,22 @@ def test_rules(spark, row, types, confidence):
     assert found.is_rule_hit == bool(types) and found.is_rule_hit_high == (confidence == "high")
 
 
+@pytest.mark.parametrize(
+    "row,types",
+    [
+        ({"edge_type": "CONNECT", "src_key": "s::host::proc::4444", "dst_key": "1.1.1.1:443"}, []),
+        ({"edge_type": "CONNECT", "src_key": "s::host::proc::7", "dst_key": "1.1.1.1:4444"}, ["suspicious_port"]),
+        ({"edge_type": "RELAY", "src_type": "NET", "src_key": "1.1.1.1:4444", "dst_key": "2.2.2.2:443"}, ["suspicious_port"]),
+        ({"edge_type": "RELAY", "src_type": None, "src_key": "1.1.1.1:4444", "dst_key": "2.2.2.2:443"}, ["suspicious_port"]),
+    ],
+)
+def test_process_ids_are_no_ports(spark, row, types):
+    (found,) = N.annotate_rules(events(spark, row | {"dst_type": "NET"}), []).collect()
+    assert found.rule_types == types
+    (untyped,) = N.annotate_rules(events(spark, row).drop("src_type", "dst_type"), []).collect()
+    assert untyped.rule_types == ["suspicious_port"]
+
+
 def test_iocs(spark):
     lines = spark.createDataFrame([("f.csv", 1, "attack_ip", "v"), ("f.csv", 1, "execution", "w")], "source_file string, line bigint, type string, value string")
     known = spark.createDataFrame([("dns_indicator", "Evil.org"), ("file_artifact", "/tmp/x")], "type string, value string")

@@ -1,7 +1,8 @@
 """Labels of events: indicators of compromise, and weak rules.
 
 Events are flat rows: edge_type, src_key, dst_key, source_file, row_idx, event_seq (unique),
-cmdline, evidence, and the command flags (absent ones count as false).
+cmdline, evidence, the command flags (absent ones count as false), and src_type (weak rules
+read a port from the source's key unless this is PROC).
 """
 
 from __future__ import annotations
@@ -71,7 +72,9 @@ def rule_columns(rules: dict | None, names: set[str], ioc_log: Column) -> dict[s
     hits.append((ids, "suricata_alert", two))
     hits.append((F.col("edge_type").isin(one.get("inject_edge_types") or []), "inject_edge", two))
     ports = [int(p) for p in one.get("suspicious_ports") or []]
-    suspicious = F.coalesce(S.port_of_key(F.col("dst_key")).isin(ports), F.lit(False)) | F.coalesce(S.port_of_key(F.col("src_key")).isin(ports), F.lit(False))
+    # these edges end at a network node but may start at a process, whose key ends in its id, no port
+    network = F.coalesce(F.col("src_type") != "PROC", F.lit(True)) if "src_type" in names else F.lit(True)
+    suspicious = F.coalesce(S.port_of_key(F.col("dst_key")).isin(ports), F.lit(False)) | (network & F.coalesce(S.port_of_key(F.col("src_key")).isin(ports), F.lit(False)))
     hits.append((F.col("edge_type").isin(one.get("connect_edge_types") or []) & suspicious, "suspicious_port", weak))
     lolbin = one.get("lolbin_flags") or {}
     pair = set(one.get("lolbin_requires_second_flag_for_high") or [])

@@ -50,7 +50,7 @@ def crowd(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["rule_coverage", "weak_rules"])
+@pytest.mark.parametrize("name", ["rule_coverage", "rule_coverage_delta", "weak_rules"])
 def test_rules_of_users_like_ports(spark, crowd, name):
     df = catalog.QUERIES[name](spark, crowd)
     connection = duckdb.connect()

@@ -57,3 +57,16 @@ def test_rules_of_users_like_ports(spark, crowd, name):
     connection.execute(f"CREATE VIEW events AS SELECT * FROM '{crowd}/events.parquet'")
     wanted = connection.sql(catalog.ORACLES[name])
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(wanted.fetchall(), list(wanted.columns))
+
+
+@pytest.mark.parametrize("name", ["rule_coverage", "rule_coverage_delta"])
+def test_rules_of_no_user(spark, tmp_path, name):
+    """Events of no user have no scenario, yet a row of counts."""
+    duckdb.sql(f"""COPY (SELECT k AS event_id, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts, CASE WHEN k % 3 > 0 THEN k % 5 END AS user_id, 'error' AS event_type, 1.5 AS value, '{{"k": ' || k || '}}' AS props
+        FROM (SELECT unnest(range(72)) AS k)) TO '{tmp_path}/events.parquet'""")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    wanted = connection.sql(catalog.ORACLES[name])
+    assert any(r[wanted.columns.index("scenario")] is None for r in wanted.fetchall())
+    assert normal([tuple(r) for r in df.collect()], df.columns) == normal(wanted.fetchall(), list(wanted.columns))

@@ -119,7 +119,7 @@ def rule_coverage(events: DataFrame, rule: str | None = None) -> DataFrame:
 
 
 def coverage_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Coverage of two rule sets side by side with differences."""
-    b = before.select("scenario", *[F.col(c).alias(f"{c}_before") for c in before.columns if c != "scenario"])
-    joined = b.join(after, "scenario")
+    """Coverage of two rule sets side by side with differences. Events without a scenario have a row too."""
+    b = before.select(F.col("scenario").alias("_scenario"), *[F.col(c).alias(f"{c}_before") for c in before.columns if c != "scenario"])
+    joined = b.join(after, F.col("_scenario").eqNullSafe(F.col("scenario"))).select("scenario", *b.columns[1:], *[c for c in after.columns if c != "scenario"])
     return joined.withColumn("delta_rule_hit", F.col("n_rule_hit") - F.col("n_rule_hit_before")).withColumn("delta_rule_high", F.col("n_rule_high") - F.col("n_rule_high_before"))
